@@ -9,15 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendlane.operators.guards import BLOCKED_CHAT_PHRASES, BLOCKED_PHRASES
+from lendlane.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     # No hint: Spark broadcasts the customers only where their size allows it.
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customers = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
@@ -101,7 +106,7 @@ def turns_with(spark: SparkSession, sf_dir: str, phrases: list[str], step: int =
 
 
 def documents_with(spark: SparkSession, sf_dir: str, phrases: list[str], step: int = 11) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.withColumn("text", F.concat(F.col("text"), _plant("doc_id", phrases, step)))
 
 
@@ -129,8 +134,7 @@ def audit_from_events(events: DataFrame) -> DataFrame:
 
 def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON payloads with a message, as a guard or a tool receives them; some are broken."""
-    raw = table(spark, sf_dir, "orders")
-    return raw.selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey AS request_id",
         """CASE WHEN o_orderkey % 43 = 0 THEN '{broken'
                 WHEN o_orderkey % 47 = 0 THEN '[1, 2]'

@@ -56,7 +56,7 @@ def ingest_counts(spark, d):
 
 @query
 def chunk_counts(spark, d):
-    docs = inputs.table(spark, d, "documents")
+    docs = inputs.documents(spark, d)
     return corpora.chunk_counts(chunk.explode_chunks(docs, "doc_id", chunk.fixed_stride(F.col("text")), "source"))
 
 
@@ -116,7 +116,7 @@ def employment_labels(spark, d):
 
 @query
 def clamped_text(spark, d):
-    docs = inputs.table(spark, d, "documents")
+    docs = inputs.documents(spark, d)
     return docs.select("doc_id", clamp_text(F.col("text")).alias("head"))
 
 
@@ -266,7 +266,7 @@ def output_guard(spark, d):
 @query
 def chat_sanitize(spark, d):
     docs = inputs.documents_with(spark, d, inputs.PLANTED_PROMISES)
-    return docs.select("doc_id", guards.clean_chat(F.col("text")).alias("response"))
+    return guards.clean_chat(docs, F.col("text")).select("doc_id", "response")
 
 
 @query
@@ -280,12 +280,12 @@ def report_detect(spark, d):
 @query
 def policy_lines(spark, d):
     # A source is the document, its documents are the pages.
-    pages = inputs.table(spark, d, "documents").withColumnRenamed("doc_id", "page")
+    pages = inputs.documents(spark, d).withColumnRenamed("doc_id", "page")
     return chunk.policy_lines(pages)
 
 
 def _stride_chunks(spark, d):
-    docs = inputs.table(spark, d, "documents")
+    docs = inputs.documents(spark, d)
     cut = chunk.explode_chunks(docs, "doc_id", chunk.fixed_stride(F.col("text")))
     return cut.withColumn("chunk_id", F.format_string("%d_%d", F.col("doc_id"), F.col("chunk_no")))
 
@@ -297,7 +297,7 @@ def chunk_fixed_stride(spark, d):
 
 @query
 def chunk_recursive(spark, d):
-    return corpora.passages(inputs.table(spark, d, "documents"), "doc_id").select("chunk_id", "text")
+    return corpora.passages(inputs.documents(spark, d), "doc_id").select("chunk_id", "text")
 
 
 @query
@@ -341,11 +341,14 @@ def retrieval_confidence(spark, d):
 
 @query
 def tfidf_retrieval(spark, d):
-    cut = _stride_chunks(spark, d)
+    # The index is built once and stored; the search reads it from there.
+    cut = _stride_chunks(spark, d).select("chunk_id", "text")
     embedder = Embedder().fit(cut)
+    index = shared_folder(spark, "passages")
+    embedder.embed(cut).select("chunk_id", "embedding").write.parquet(index)
     turns = inputs.table(spark, d, "conversations").where(F.col("role") == "user")
     asked = turns.select(F.format_string("%d_%d", F.col("conv_id"), F.col("turn")).alias("query_id"), "text")
-    found = nearest(embedder.embed(asked), embedder.embed(cut))
+    found = nearest(embedder.embed(asked), spark.read.parquet(index))
     return found.select("query_id", _long("rank"), "chunk_id", F.round("distance", 6).alias("distance"))
 
 

@@ -121,9 +121,8 @@ def answer_questions(questions: DataFrame, applicants: DataFrame, key: str, ques
     """
     asked = join_unique(questions, applicants, key, F.col(spread_by), how="inner")
     answered = with_advice(evaluate(asked, rules)).withColumn("refusal", chat_guard(F.col(question)))
-    return answered.withColumn(
-        "response", F.coalesce(F.col("refusal"), clean_chat(fallback_answer(F.col(question))))
-    ).drop("refusal")
+    cleaned = clean_chat(answered, F.when(F.col("refusal").isNull(), fallback_answer(F.col(question))))
+    return cleaned.withColumn("response", F.coalesce("refusal", "response")).drop("refusal")
 
 
 def followup_prompt(customer_json: Column, decision: Column, confidence: Column, factors: Column,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lendlane.functions.numbers import above, strict_float
@@ -49,7 +52,9 @@ PROMISES = [
 ]
 SOFTENED = "subject to credit verification and formal approval"
 # Every promise holds one of these words, and the softened wording holds none.
-_PROMISE_WORDS = "(?iu)definitely|guarantee|absolutely"
+_PROMISE_WORDS = ["definitely", "guarantee", "absolutely"]
+# Fixed value: the one letter that counts as an s when case is ignored but that lower-casing leaves as it is.
+_LONG_S = "\u017f"
 
 # Wording.
 DISCLAIMER = (
@@ -80,21 +85,22 @@ def any_of(patterns) -> str:
     return "(" + "|".join(line_bound(p) for p in patterns) + ")"
 
 
-def _first_hit(fields: Column, patterns) -> Column:
-    """Reason for the first field, then the first phrase in it, that is blocked.
+def _any(conditions) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
 
-    Runs only on rows already known to hold a blocked phrase.
+def holds_any(lowered: Column, patterns) -> Column:
+    """Whether a lower-case text matches one of the patterns.
+
+    Where patterns are plain words parted by `.*`, a text without the words
+    cannot match: it is cleared by plain searches, and the regular expressions
+    run only over the few texts that hold the words of a pattern.
     """
-    pairs = F.array(*[
-        F.struct(F.lit(p).alias("shown"), F.lit(line_bound(p)).alias("regex")) for p in patterns
-    ])
-    lowered = lambda f: F.lower(f.getField("value"))
-    field = F.filter(fields, lambda f: F.rlike(lowered(f), F.lit(any_of(patterns)))).getItem(0)
-    phrase = F.filter(pairs, lambda p: F.rlike(lowered(field), p.getField("regex"))).getItem(0)
-    return F.concat(
-        F.lit("Input Guardrail Violation: Flagged content in '"), field.getField("name"),
-        F.lit("' field matching pattern '"), phrase.getField("shown"), F.lit("'."),
-    )
+    confirmed = F.rlike(lowered, F.lit(any_of(patterns)))
+    if not all(re.fullmatch(r"[\w ]+(\.\*[\w ]+)*", p) for p in patterns):
+        return confirmed
+    words = [[F.contains(lowered, F.lit(w)) for w in p.split(".*")] for p in patterns]
+    return _any([reduce(lambda a, b: a & b, w) for w in words]) & confirmed
 
 
 def input_guard(df: DataFrame, fields: Column, joined: Column, message: Column, income: Column,
@@ -104,19 +110,33 @@ def input_guard(df: DataFrame, fields: Column, joined: Column, message: Column,
     `fields` is an array of (name, value) to screen in order; `joined` holds the
     same values parted by line feeds. No phrase crosses a line feed, so one
     search over `joined` clears a clean row, and only rows that hit are looked
-    at field by field.
+    at field by field: the first field that holds a phrase, then the first
+    phrase in it.
     """
-    hits = df.withColumns({
-        "g_fields": F.rlike(F.lower(joined), F.lit(any_of(patterns))),
-        "g_message": F.rlike(F.lower(F.coalesce(message, F.lit(""))), F.lit(any_of(patterns))),
+    lowered = df.withColumns({"g_joined": F.lower(joined), "g_said": F.lower(F.coalesce(message, F.lit("")))})
+    hits = lowered.withColumns({
+        "g_hit": holds_any(F.col("g_joined"), patterns), "g_said_hit": holds_any(F.col("g_said"), patterns),
     })
+    # Steps of their own, so that the field is found once and not again for every phrase.
+    first = F.filter(fields, lambda f: F.rlike(F.lower(f.getField("value")), F.lit(any_of(patterns)))).getItem(0)
+    found = hits.withColumn("g_field", F.when(F.col("g_hit"), first)).withColumn(
+        "g_value", F.lower(F.col("g_field").getField("value"))
+    )
+    phrase = F.when(F.rlike(F.col("g_value"), F.lit(line_bound(patterns[0]))), patterns[0])
+    for p in patterns[1:]:
+        phrase = phrase.when(F.rlike(F.col("g_value"), F.lit(line_bound(p))), p)
     reason = (
-        F.when(F.col("g_fields"), _first_hit(fields, patterns))
-        .when(F.col("g_message"), MESSAGE_REASON)
+        F.when(F.col("g_hit"), F.concat(
+            F.lit("Input Guardrail Violation: Flagged content in '"), F.col("g_field").getField("name"),
+            F.lit("' field matching pattern '"), phrase, F.lit("'."),
+        ))
+        .when(F.col("g_said_hit"), MESSAGE_REASON)
         .when(above(income, INCOME_LIMIT), INCOME_REASON)
         .otherwise("")
     )
-    return hits.withColumn("reason", reason).withColumn("blocked", F.col("reason") != "").drop("g_fields", "g_message")
+    return found.withColumn("reason", reason).withColumn("blocked", F.col("reason") != "").drop(
+        "g_joined", "g_said", "g_hit", "g_said_hit", "g_field", "g_value"
+    )
 
 
 def check_applicants(df: DataFrame, patterns=BLOCKED_PHRASES, enabled: bool = True) -> DataFrame:
@@ -160,15 +180,20 @@ def chat_guard(query: Column, patterns=BLOCKED_CHAT_PHRASES, enabled: bool = Tru
     """The refusal text for a blocked follow-up question; NULL for any other."""
     if not enabled:
         return F.lit(None).cast("string")
-    return F.when(F.rlike(F.lower(query), F.lit(any_of(patterns))), CHAT_REFUSAL)
+    return F.when(holds_any(F.lower(query), patterns), CHAT_REFUSAL)
 
 
-def soften(text: Column) -> Column:
-    """Replace promises, one kind after the other; texts without a telling word pass untouched."""
-    softened = text
+def with_softened(df: DataFrame, text: Column, output: str) -> DataFrame:
+    """Add `text` with its promises replaced, one kind after the other.
+
+    Texts without a telling word, nearly all, pass untouched by the expressions.
+    """
+    read = df.withColumn("s_text", text).withColumn("s_lower", F.lower("s_text"))
+    telling = _any([F.contains(F.col("s_lower"), F.lit(w)) for w in _PROMISE_WORDS] + [F.contains(F.col("s_text"), F.lit(_LONG_S))])
+    softened = F.col("s_text")
     for p in PROMISES:
         softened = F.regexp_replace(softened, "(?iu)" + line_bound(p), SOFTENED)
-    return F.when(F.rlike(text, F.lit(_PROMISE_WORDS)), softened).otherwise(text)
+    return read.withColumn(output, F.when(telling, softened).otherwise(F.col("s_text"))).drop("s_text", "s_lower")
 
 
 def clean_output(df: DataFrame, reasoning: str = "reasoning", decision: str = "decision",
@@ -186,18 +211,18 @@ def clean_output(df: DataFrame, reasoning: str = "reasoning", decision: str = "d
         "g_reasoning": F.coalesce(given(reasoning), F.lit(NO_REPORT)),
         disclaimer: F.when(F.contains(given(disclaimer), F.lit(DISCLAIMER)), given(disclaimer)).otherwise(DISCLAIMER),
     })
-    cleaned = filled.withColumn(reasoning, soften(F.col("g_reasoning")))
+    cleaned = with_softened(filled, F.col("g_reasoning"), reasoning)
     status = F.when(F.col(reasoning) != F.col("g_reasoning"), "Sanitized")
     return cleaned.withColumn("guardrail_status", status).drop("g_reasoning")
 
 
-def clean_chat(response: Column, enabled: bool = True) -> Column:
-    """Soften promises in a chat answer and add the short disclaimer where none is given."""
+def clean_chat(df: DataFrame, response: Column, output: str = "response", enabled: bool = True) -> DataFrame:
+    """Add a chat answer with promises softened, and the short disclaimer where it has none."""
     if not enabled:
-        return response
-    softened = soften(response)
-    has_disclaimer = F.contains(F.lower(softened), F.lit("does not constitute"))
-    return F.concat(softened, F.when(has_disclaimer, "").otherwise(SHORT_DISCLAIMER))
+        return df.withColumn(output, response)
+    softened = with_softened(df, response, output)
+    has_disclaimer = F.contains(F.lower(output), F.lit("does not constitute"))
+    return softened.withColumn(output, F.concat(output, F.when(has_disclaimer, "").otherwise(SHORT_DISCLAIMER)))
 
 
 # How a full report is told from a question back to the applicant.

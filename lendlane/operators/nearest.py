@@ -115,6 +115,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "
     return _by_blocks(q, c, query_id, corpus_id, vector, carry, schema, task, block_rows, pack_rows, pivots)
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _by_broadcast(q, c, query_id, corpus_id, vector, carry, schema, task) -> DataFrame:
     held = q.sparkSession.sparkContext.broadcast(c.orderBy(corpus_id).toArrow().combine_chunks())
 
@@ -126,7 +131,8 @@ def _by_broadcast(q, c, query_id, corpus_id, vector, carry, schema, task) -> Dat
         for b in batches:
             yield from task.match(b.column(query_id), _vectors(b.column(vector)), ids, matrix, carried)
 
-    return q.mapInArrow(search, schema)
+    # Far more work per row than bytes per row: worth dealing the queries out over all cores.
+    return q.repartition(_tasks(q), query_id).mapInArrow(search, schema)
 
 
 def _by_blocks(q, c, query_id, corpus_id, vector, carry, schema, task, block_rows, pack_rows, pivots) -> DataFrame:

@@ -72,9 +72,10 @@ def assess(applications: DataFrame, rules: Rules = DEFAULT_RULES, gates: Gates =
         "disclaimer": F.lit(guards.DISCLAIMER),
     })
     # Only reports of scored applications are cleaned; refusals are fixed texts.
-    clean = F.when(is_scored, guards.soften(F.col("draft"))).otherwise(F.col("draft")) if gates.guardrails else F.col("draft")
-    return composed.withColumn("reasoning", clean).withColumns({
-        "sanitized": F.col("reasoning") != F.col("draft"),
+    draft, reports = F.col("draft"), F.when(is_scored, F.col("draft"))
+    cleaned = guards.with_softened(composed, reports, "reasoning") if gates.guardrails else composed.withColumn("reasoning", draft)
+    return cleaned.withColumn("reasoning", F.coalesce("reasoning", "draft")).withColumns({
+        "sanitized": F.col("reasoning") != draft,
         "guardrail_status": F.when(F.col("outcome") == "blocked", LOGGED_BLOCKED[1])
         .when(F.col("outcome") == "invalid", LOGGED_INVALID[1]).otherwise(LOGGED_SCORED),
     }).drop("draft")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partitions: int = 8) -> SparkSession:
@@ -15,11 +15,27 @@ def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partiti
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        # The JVM never compiles a method of more than 8000 bytes of code; past
+        # that, Spark does better without fusing the operators into one method.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table that is too small to give every core a split of its own.
+
+    A single small file is read by a single task, and what follows would run on
+    one core. Tables large enough to be split at the scan come back unchanged.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split_bytes = 128 << 20
+    table_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if table_bytes >= cores * split_bytes else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared folder named by `spark.checkpoint.dir`.
 
