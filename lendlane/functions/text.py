@@ -58,8 +58,13 @@ def bullets(items: Column, prefix: str, when_empty: str = "") -> Column:
 
 
 def present(*candidates: Column) -> Column:
-    """Array of the candidates that are not NULL, in the order given."""
-    return F.filter(F.array(*candidates), lambda m: m.isNotNull())
+    """Array of the candidates that are not NULL, in the order given.
+
+    Put together from arrays of one or none rather than filtered with a lambda:
+    lambdas are interpreted row by row, this is compiled.
+    """
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(c.isNotNull(), F.array(c)).otherwise(none) for c in candidates])
 
 
 def literals(values) -> Column:
