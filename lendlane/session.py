@@ -8,9 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partitions: int = 8) -> SparkSession:
+_SCRATCH: dict[str, str] = {}
+
+
+def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -19,8 +22,10 @@ def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partiti
         # that, Spark does better without fusing the operators into one method.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -40,12 +45,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared folder named by `spark.checkpoint.dir`.
 
     Only a local session may go without the setting; there a scratch folder is
-    made and set, so that later calls in the session agree on it.
+    made once per application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lendlane-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _SCRATCH.get(context.applicationId) or tempfile.mkdtemp(prefix="lendlane-")
+        _SCRATCH[context.applicationId] = root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
