@@ -24,10 +24,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, spread_by: Column,
     sizes = left.groupBy(F.col(key).alias("hot_key")).count()
     hot = F.broadcast(sizes.where(F.col("count") > total * hot_share).select("hot_key", F.lit(True).alias("is_hot")))
     tagged = lambda df: df.join(hot, df[key].eqNullSafe(hot["hot_key"]), "left").drop("hot_key")
-    is_hot = F.col("is_hot").isNotNull()
-    spread = tagged(left).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = tagged(right).withColumn("salt", F.explode(copies).cast("bigint")).drop("is_hot")
-    return spread.withColumn("salt", F.col("salt").cast("bigint")).drop("is_hot").join(
-        repeated, [key, "salt"], how
-    ).drop("salt")
+    is_hot, zero = F.col("is_hot").isNotNull(), F.lit(0).cast("bigint")
+    spread = tagged(left).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(zero))
+    copies = F.when(is_hot, F.sequence(zero, F.lit(salts - 1).cast("bigint"))).otherwise(F.array(zero))
+    repeated = tagged(right).withColumn("salt", F.explode(copies))
+    return spread.drop("is_hot").join(repeated.drop("is_hot"), [key, "salt"], how).drop("salt")
