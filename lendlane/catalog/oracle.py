@@ -549,12 +549,10 @@ def short(policy: str) -> str:
 _BOTH = q("\n\n".join([retrieve.KEYWORD_PASSAGES[0][1], retrieve.KEYWORD_PASSAGES[1][1]]))
 ORACLES["report_short"] = TYPED_EVAL + f"SELECT application_id, {short(_BOTH)} AS report FROM evaluated"
 
-# The DTI of the report rounds half to even; a tie needs dti * 1000 to end in exactly 5.
 _PCT = "(f_debt / f_income * 100)"
-_ONE = f"CASE WHEN {_PCT} * 10 - floor({_PCT} * 10) = 0.5 THEN 2 * round({_PCT} * 10 / 2) / 10 ELSE round({_PCT}, 1) END"
 _PASS = lambda c, t=1: f"CASE WHEN {c} >= {t} THEN 'Passed' ELSE 'Review Required' END"
 _N = "chr(10)"
-ORACLES["report_full"] = ctes(*cascade(APPLICANTS, TYPED, strict=True), ("rep", f"SELECT *, {_ONE} AS dti FROM evaluated"), ("txt", f"""SELECT *, format('{{:.1f}}', dti) AS d,
+ORACLES["report_full"] = ctes(*cascade(APPLICANTS, TYPED, strict=True), ("rep", f"SELECT *, format('{{:.1f}}', {_PCT}) AS d FROM evaluated"), ("txt", f"""SELECT *, CAST(d AS DOUBLE) AS dti,
    {grouped('f_income')} AS inc, CAST(f_credit AS BIGINT) AS cr, {grouped('f_requested')} AS req FROM rep""")) + f"""
 SELECT application_id, concat(
  '### 1. Eligibility Result', {_N}, '   - **Status: ', eligibility, '** — ', CASE eligibility

@@ -28,10 +28,29 @@ def debt_to_income(debt: Column, income: Column) -> Column:
     return F.when(income != 0, debt / income).otherwise(F.lit(1.0))
 
 
+def round_to_tenths(x: Column) -> Column:
+    """Round to one place; a value exactly halfway goes to the even neighbour.
+
+    Halfway is judged on the double itself, as Python does, not on its decimal
+    spelling: 2.45 is stored a little above 2.45 and becomes 2.5, 2.25 is exact
+    and becomes 2.2. With k tenths below x, 20x is compared with 2k + 1; the sum
+    16x + 4x carries its rounding error along, so the comparison is exact.
+    """
+    a, b = x * 16.0, x * 4.0
+    total = a + b
+    part = total - a
+    error = (a - (total - part)) + (b - part)
+    tenths = F.floor(x * 10.0).cast("double")
+    halfway = tenths * 2.0 + 1.0
+    odd = F.pmod(tenths, F.lit(2.0)) == 1.0
+    up = (total > halfway) | ((total == halfway) & ((error > 0.0) | ((error == 0.0) & odd)))
+    return F.when(up, tenths + 1.0).otherwise(tenths) / 10.0
+
+
 def debt_percent(debt: Column, income: Column) -> Column:
-    """Debt-to-income in percent to one place, half to even; 0 without income."""
-    share = F.when(F.coalesce(income, F.lit(0.0)) != 0, debt / income * 100)
-    return F.coalesce(F.bround(share, 1), F.lit(0.0))
+    """Debt-to-income in percent to one place; 0 without income."""
+    share = F.when(F.coalesce(income, F.lit(0.0)) != 0, debt / income * 100.0)
+    return F.coalesce(round_to_tenths(share), F.lit(0.0))
 
 
 def loan_multiple(requested: Column, income: Column) -> Column:

@@ -39,9 +39,15 @@ def grouped(x: Column) -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """Integral values without a fraction, others as they are."""
-    integral = (x == F.floor(x).cast("double")) & (F.abs(x) < F.lit(1e15))
-    return F.when(integral, x.try_cast("bigint").cast("string")).otherwise(x.cast("string"))
+    """Integral values without a fraction, others with theirs; never in scientific notation below 9e18."""
+    integral = (x == F.floor(x).cast("double")) & (F.abs(x) < F.lit(9e18))
+    scientific = (F.abs(x) >= F.lit(1e7)) | (F.abs(x) < F.lit(1e-3))
+    spelled_out = F.regexp_replace(x.try_cast("decimal(38,15)").cast("string"), "0+$", "")
+    return (
+        F.when(integral, x.try_cast("bigint").cast("string"))
+        .when(scientific, F.coalesce(spelled_out, x.cast("string")))
+        .otherwise(x.cast("string"))
+    )
 
 
 def grouped_number(x: Column) -> Column:

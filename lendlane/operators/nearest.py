@@ -97,7 +97,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "
             pivots: int = PIVOTS) -> DataFrame:
     """The k nearest corpus rows of every query: query id, `rank`, corpus id, `distance`, carried corpus columns.
 
-    `skip_same` leaves out the corpus row that has the query's own id.
+    `skip_same` leaves out the corpus row that has the query's own id. The corpus
+    is read more than once (for its size, its cells, its blocks): hand in a stored
+    table, not one that is still to be computed.
     """
     as_vector = F.transform(F.col(vector), lambda x: x.cast("double")).alias(vector)
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_id), as_vector)

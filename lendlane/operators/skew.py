@@ -12,16 +12,19 @@ SALT_FROM_ROWS = 5_000_000
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, spread_by: Column, how: str = "left",
-                salts: int = 64, hot_share: float = HOT_SHARE, salt_from_rows: int = SALT_FROM_ROWS) -> DataFrame:
+                measure: DataFrame | None = None, salts: int = 64, hot_share: float = HOT_SHARE,
+                salt_from_rows: int = SALT_FROM_ROWS) -> DataFrame:
     """Join `left` to `right`, which has at most one row per `key`.
 
     Rows of a hot key are spread over `salts` partitions by `spread_by`, and the
     one matching row is repeated as often; all other rows are joined on the key.
+    `measure` is a table to count keys in where counting `left` would be costly.
     """
-    total = left.count()
+    counted = left if measure is None else measure
+    total = counted.count()
     if total < salt_from_rows:
         return left.join(right, key, how)
-    sizes = left.groupBy(F.col(key).alias("hot_key")).count()
+    sizes = counted.groupBy(F.col(key).alias("hot_key")).count()
     hot = F.broadcast(sizes.where(F.col("count") > total * hot_share).select("hot_key", F.lit(True).alias("is_hot")))
     tagged = lambda df: df.join(hot, df[key].eqNullSafe(hot["hot_key"]), "left").drop("hot_key")
     is_hot, zero = F.col("is_hot").isNotNull(), F.lit(0).cast("bigint")

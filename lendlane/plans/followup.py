@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lendlane.operators.chat import followup_prompt
 from lendlane.operators.history import chat_history
+from lendlane.operators.skew import join_unique
 from lendlane.plans.assess import customer_input, factors_for_prompt
 
 
@@ -20,8 +21,9 @@ def followup_prompts(turns: DataFrame, assessed: DataFrame, key: str) -> DataFra
         key, customer_input(assessed).alias("customer_json"), "decision", "confidence",
         factors_for_prompt().alias("factors"),
     )
-    # A conversation has few pieces however long it is, so neither join has a hot side.
-    joined = pieces.join(questions, key).join(facts, key)
+    # A very long conversation has many pieces, all under one key; both other sides have one row per key.
+    attach = lambda df, side: join_unique(df, side, key, F.col("segment"), how="inner", measure=turns)
+    joined = attach(attach(pieces, questions), facts)
     system, user = followup_prompt(
         F.col("customer_json"), F.col("decision"), F.col("confidence"), F.col("factors"), F.col("history"), F.col("question")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendlane.operators.skew import join_unique
@@ -13,11 +14,12 @@ DIRECTORY_PURPOSE = "General Purchase"
 
 def read_customers(spark: SparkSession, path: str) -> DataFrame:
     """The customer file with its known schema; an empty directory if there is no file."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
-    if not found:
+    try:
+        return spark.read.schema(CUSTOMER_FILE).option("header", True).csv(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CUSTOMER_FILE)
-    return spark.read.schema(CUSTOMER_FILE).option("header", True).csv(path)
 
 
 def to_payload(customers: DataFrame) -> DataFrame:

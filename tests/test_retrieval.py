@@ -7,6 +7,7 @@ from lendlane.operators.embed import Embedder, term_slots
 from lendlane.operators.nearest import nearest
 from lendlane.operators.skew import join_unique
 from lendlane.plans import corpus as corpora
+from lendlane.session import shared_folder
 
 BROADCAST = {}
 BLOCKS = {"broadcast_bytes": 0, "block_rows": 16, "pack_rows": 8, "pivots": 5}
@@ -125,6 +126,10 @@ def test_embedding(spark):
         expected.append(v / np.linalg.norm(v) if v.any() else v)
     got = {r["i"]: r["embedding"] for r in Embedder().fit(df).embed(df).collect()}
     assert all(np.allclose(got[i], expected[i]) for i in range(m)) and got[1] == got[2]
+    path = shared_folder(spark, "embedder")
+    fitted = Embedder().fit(df)
+    fitted.save(path)
+    assert {r["i"]: r["embedding"] for r in Embedder.load(path).embed(df).collect()} == got
 
 
 def test_policy_retrieval(spark):

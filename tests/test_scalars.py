@@ -60,7 +60,8 @@ def test_texts(spark):
         repr(t) for t in ["a", "it's", 'say "hi"', "it's \"x\"", "b\\c"]
     ]
     number = F.col("v").cast("double")
-    assert one_column(spark, ["65000", "28.5", "-3"], plain_number(number)) == ["65000", "28.5", "-3"]
+    assert one_column(spark, ["65000", "28.5", "-3", "12345678.5", "0.0002", "10000000000000000"], plain_number(number)) == [
+        "65000", "28.5", "-3", "12345678.5", "0.0002", "10000000000000000"]
     assert one_column(spark, ["1234567", "1234.5", "12"], grouped_number(number)) == ["1,234,567", "1,234.5", "12"]
 
 
@@ -80,6 +81,9 @@ def test_scores(spark):
     assert [p["s"] for p in points] == [22, 33, 44, 55, 66, 77, 88, 100]
 
 
-def test_percent_rounds_half_to_even(spark):
+def test_percent_rounds_as_python_does(spark):
     df = spark.createDataFrame([(2.25, 100.0), (1.0, 0.0), (5.0, None)], "debt double, income double")
     assert [r[0] for r in df.select(finance.debt_percent(F.col("debt"), F.col("income"))).collect()] == [2.2, 0.0, 0.0]
+    values = [i / 100 for i in range(0, 20000, 5)] + [i / 8 for i in range(400)] + [i / 7 * 100 for i in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", finance.round_to_tenths(F.col("x")))
+    assert [(x, got) for x, got in rows.collect() if got != round(x, 1)] == []
