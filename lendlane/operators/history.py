@@ -9,7 +9,7 @@ SEGMENT_TURNS = 256
 
 
 def turn_line(role: Column, text: Column) -> Column:
-    return F.concat(F.initcap(role), F.lit(": "), text)
+    return F.concat(F.upper(F.substring(role, 1, 1)), F.lower(F.substr(role, F.lit(2))), F.lit(": "), text)
 
 
 def chat_history(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role",

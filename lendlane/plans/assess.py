@@ -11,6 +11,7 @@ from lendlane.operators.applicants import FIELD_ORDER, Applicants
 from lendlane.operators.decide import confidence, evaluate, required_documents
 from lendlane.operators.report import evaluation_factors, short_report
 from lendlane.operators.validate import validate_required, validation_reason
+from lendlane.sources import audit
 
 # What an outcome is logged as.
 LOGGED_BLOCKED = ("Blocked / Not Eligible", "Blocked (Input Guardrail)")
@@ -107,6 +108,12 @@ def audit_rows(assessed: DataFrame, model_name: str, latency: float | None = Non
     )
 
 
+def record(assessed: DataFrame, model_name: str, table: str = audit.AUDIT_TABLE, latency: float | None = None,
+           gates: Gates = Gates()) -> bool:
+    """Append the audit rows of a batch, if auditing is on; tells whether anything was written."""
+    return gates.audit and audit.append(audit_rows(assessed, model_name, latency), table)
+
+
 def responses(assessed: DataFrame) -> DataFrame:
     """The six parts of an answer to an applicant, plus what the cleaning did."""
     return assessed.select(

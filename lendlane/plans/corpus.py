@@ -9,9 +9,9 @@ from lendlane.operators.chunk import explode_chunks, policy_lines, recursive_chu
 from lendlane.operators.embed import Embedder
 from lendlane.sources import policy, tables
 
-# Names the two documents go by.
-POLICY_SOURCE = "loan_policy.pdf"
-RULES_SOURCE = "loan_rules.json"
+# Names the two documents go by.
+POLICY_SOURCE = "policy"
+RULES_SOURCE = "rules"
 
 
 def policy_documents(spark: SparkSession, policy_path: str | None = None, rules: Rules = DEFAULT_RULES) -> DataFrame:

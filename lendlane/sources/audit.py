@@ -9,10 +9,8 @@ from lendlane.schemas import AUDIT_LOG
 AUDIT_TABLE = "loan_assessment_logs"
 
 
-def append(rows: DataFrame, table: str = AUDIT_TABLE, format: str = "parquet", enabled: bool = True) -> bool:
-    """Append a batch of audit rows; tells whether anything was written."""
-    if not enabled:
-        return False
+def append(rows: DataFrame, table: str = AUDIT_TABLE, format: str = "parquet") -> bool:
+    """Append a batch of audit rows."""
     rows.select(*AUDIT_LOG.names).write.format(format).mode("append").saveAsTable(table)
     return True
 

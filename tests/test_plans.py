@@ -127,7 +127,8 @@ def test_audit_log(spark):
     assert got["2"]["guardrail_status"] == "Passed (Input Guardrail) | Failed (Validation)"
     assert json.loads(got["2"]["customer_input"])["age"] is None and len(json.loads(got["0"]["retrieved_documents"])) == 2
     assert audit.read(spark, "lend_log").count() == 0
-    assert not audit.append(rows, "lend_log", enabled=False) and audit.append(rows, "lend_log") and audit.append(rows, "lend_log")
+    assert not assessing.record(assessing.assess(applications(spark)), "m", "lend_log", gates=Gates(audit=False))
+    assert assessing.record(assessing.assess(applications(spark)), "m", "lend_log") and audit.append(rows, "lend_log")
     log = audit.read(spark, "lend_log")
     assert log.count() == 10 and audit.latest(log).count() == 5
     spark.sql("DROP TABLE lend_log")
@@ -156,6 +157,7 @@ def test_figures(spark):
 
 
 def test_history_in_pieces(spark):
+    assert spark.range(1).select(history.turn_line(F.lit("loan OFFICER"), F.lit("x"))).first()[0] == "Loan officer: x"
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(10)],
                                   "conv_id int, turn int, role string, text string")
     pieces = history.chat_history(turns.repartition(4), segment_turns=4).orderBy("segment").collect()

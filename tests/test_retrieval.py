@@ -76,13 +76,14 @@ def test_join_unique_with_hot_keys(spark):
 def test_policy_lines_number_through_pages(spark):
     pages = [(s, p, "\n".join([f"a line long enough to keep {s} {p} {i}" for i in range((p * 7 + s) % 4)] + ["short"]))
              for s in range(2) for p in range(25)]
-    df = spark.createDataFrame([(f"s{s}", p, t) for s, p, t in pages], "source string, page long, text string")
+    # The second source has no name.
+    df = spark.createDataFrame([(f"s{s}" if s == 0 else None, p, t) for s, p, t in pages], "source string, page long, text string")
     expected, index = set(), {}
     for s, p, text in pages:
         for line in text.split("\n"):
             if len(line.strip()) > 20:
                 i = index.get(s, 0)
-                expected.add((f"s{s}", f"pdf_p{p}_{i}", f"Page {p + 1}: {line}"))
+                expected.add((f"s{s}" if s == 0 else None, f"pdf_p{p}_{i}", f"Page {p + 1}: {line}"))
                 index[s] = i + 1
     for block in (3, 4096):
         got = chunk.policy_lines(df.repartition(5), page_block=block)
