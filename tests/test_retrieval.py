@@ -160,3 +160,19 @@ def test_keywords(spark):
         ["Loan Policy Section 1.5: Appli"], ["General Policy Guidelines: All"],
     ]
     assert {g["confidence"] for g in got} == {0.5}
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lendlane.operators.chunk import _passages
+    from lendlane.operators.nearest import _closest, _Task
+
+    # A Python that cannot import the package must still be able to load them.
+    blob = cloudpickle.dumps((_passages, _closest, _Task(1, False, ["a"])))
+    code = "import pickle, sys; f, *_ = pickle.loads(sys.stdin.buffer.read()); print(list(f('a b', 500, 50)))"
+    done = subprocess.run([sys.executable, "-c", code], input=blob, capture_output=True, cwd=tmp_path, env={})
+    assert done.stdout.decode().strip() == "['a b']", done.stderr.decode()[-300:]
