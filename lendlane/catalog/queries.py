@@ -303,7 +303,7 @@ def chunk_recursive(spark, d):
 @query
 def keyword_policy(spark, d):
     turns = inputs.turns_with(spark, d, inputs.PLANTED_QUESTIONS)
-    return turns.select("conv_id", "turn", retrieve.by_keyword(F.col("text")).alias("r")).select(
+    return retrieve.by_keyword(turns, F.col("text"), "r").select(
         "conv_id", "turn", "r.policy", F.size("r.documents").cast("bigint").alias("documents"), "r.confidence"
     )
 
@@ -312,7 +312,8 @@ def keyword_policy(spark, d):
 def retrieval_query(spark, d):
     rows = inputs.raw_applicants(spark, d)
     asked = retrieve.retrieval_query(F.col("employment_type"), F.col("age"), F.col("credit_score"))
-    return rows.select("application_id", asked.alias("query"), retrieve.by_keyword(asked)["policy"].alias("policy"))
+    found = retrieve.by_keyword(rows.select("application_id", asked.alias("query")), F.col("query"))
+    return found.select("application_id", "query", "retrieved.policy")
 
 
 def _neighbours(spark, d, **options):
@@ -367,9 +368,8 @@ def policy_retrieval(spark, d):
 
 @query
 def report_short(spark, d):
-    rows = decide.evaluate(inputs.applicants(spark, d))
-    policy = retrieve.by_keyword(F.lit("income and credit"))["policy"]
-    return rows.select("application_id", report.short_report(policy).alias("report"))
+    rows = retrieve.by_keyword(decide.evaluate(inputs.applicants(spark, d)), F.lit("income and credit"))
+    return rows.select("application_id", report.short_report(F.col("retrieved.policy")).alias("report"))
 
 
 @query
@@ -451,12 +451,14 @@ def followup_prompt_table(spark, d):
 @query
 def json_tool(spark, d):
     rows = evaluate_json(inputs.payload_json(spark, d))
-    get = lambda path, name, kind="string": F.get_json_object("result", path).cast(kind).alias(name)
-    return rows.select(
-        "request_id", get("$.error", "error"), get("$.eligibility", "eligibility"), get("$.score", "score", "bigint"),
-        get("$.key_factors.age", "age", "double"), get("$.estimated_terms.risk_category", "risk_category"),
-        get("$.required_income_for_eligibility", "needed", "double"), get("$.reasons[0]", "first_reason"),
-        get("$.scoring_breakdown.Income", "income_points", "bigint"),
+    shape = ("error string, eligibility string, score bigint, key_factors struct<age: double>, "
+             "estimated_terms struct<risk_category: string>, required_income_for_eligibility double, "
+             "reasons array<string>, scoring_breakdown struct<Income: bigint>")
+    read = rows.select("request_id", F.from_json("result", shape).alias("r"))
+    return read.select(
+        "request_id", "r.error", "r.eligibility", "r.score", "r.key_factors.age", "r.estimated_terms.risk_category",
+        F.col("r.required_income_for_eligibility").alias("needed"), F.get("r.reasons", F.lit(0)).alias("first_reason"),
+        F.col("r.scoring_breakdown.Income").alias("income_points"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.text import present
@@ -40,26 +42,25 @@ def retrieval_query(employment: Column, age: Column, credit: Column) -> Column:
     )
 
 
-def keyword_documents(query: Column) -> Column:
-    """Passages whose words occur in the query; row-local, so the few passages never become a join."""
-    q = F.lower(query)
-    hits = []
-    for words, passage in KEYWORD_PASSAGES:
-        said = F.contains(q, F.lit(words[0]))
-        for w in words[1:]:
-            said = said | F.contains(q, F.lit(w))
-        hits.append(F.when(said, passage))
-    found = present(*hits)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(GENERAL_PASSAGE)))
-
-
 def _result(policy: Column, documents: Column, confidence: Column) -> Column:
     return F.struct(policy.alias("policy"), documents.alias("documents"), confidence.alias("confidence"))
 
 
-def by_keyword(query: Column) -> Column:
-    documents = keyword_documents(query)
-    return _result(F.array_join(documents, "\n\n"), documents, F.lit(KEYWORD_CONFIDENCE))
+def by_keyword(df: DataFrame, query: Column, output: str = "retrieved") -> DataFrame:
+    """Add the passages whose words occur in the query.
+
+    Row-local, so the few passages never become a join; in steps, so that each
+    is worked out once per row.
+    """
+    lowered = df.withColumn("k_query", F.lower(query))
+    says = lambda words: reduce(lambda a, b: a | b, [F.contains(F.col("k_query"), F.lit(w)) for w in words])
+    hits = present(*[F.when(says(words), passage) for words, passage in KEYWORD_PASSAGES])
+    found = lowered.withColumn("k_hits", hits).withColumn(
+        "k_documents", F.when(F.size("k_hits") > 0, F.col("k_hits")).otherwise(F.array(F.lit(GENERAL_PASSAGE)))
+    )
+    documents = F.col("k_documents")
+    result = _result(F.array_join(documents, "\n\n"), documents, F.lit(KEYWORD_CONFIDENCE))
+    return found.withColumn(output, result).drop("k_query", "k_hits", "k_documents")
 
 
 def disabled() -> Column:

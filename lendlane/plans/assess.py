@@ -53,7 +53,7 @@ def assess(applications: DataFrame, rules: Rules = DEFAULT_RULES, gates: Gates =
     if not gates.retrieval:
         found = scored.withColumn("retrieved", retrieve.disabled())
     elif corpus is None:
-        found = scored.withColumn("retrieved", retrieve.by_keyword(F.col("retrieval_query")))
+        found = retrieve.by_keyword(scored, F.col("retrieval_query"))
     else:
         found = retrieve.by_vector(scored, "retrieval_query", corpus, embedder, spread_by="application_id",
                                    fixed_confidence=fixed_confidence, **nearest_options)

@@ -154,7 +154,7 @@ def test_policy_retrieval(spark):
 def test_keywords(spark):
     asked = ["My INCOME and emi", "score", "management", "weather"]
     df = spark.createDataFrame([(a,) for a in asked], "q string")
-    got = [r[0] for r in df.select(retrieve.by_keyword(F.col("q"))).collect()]
+    got = [r["retrieved"] for r in retrieve.by_keyword(df, F.col("q")).collect()]
     assert [[d[:30] for d in g["documents"]] for g in got] == [
         ["Loan Policy Section 2.1: Month", "Loan Policy Section 4.4: Debt-"], ["Loan Policy Section 3.2: Credi"],
         ["Loan Policy Section 1.5: Appli"], ["General Policy Guidelines: All"],
