@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_SCRATCH: dict[str, str] = {}
-
-
 def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -44,14 +40,7 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared folder named by `spark.checkpoint.dir`.
 
-    Only a local session may go without the setting; there a scratch folder is
-    made once per application.
+    A session without the setting writes under its warehouse, which all executors share too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _SCRATCH.get(context.applicationId) or tempfile.mkdtemp(prefix="lendlane-")
-        _SCRATCH[context.applicationId] = root
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lendlane-scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
