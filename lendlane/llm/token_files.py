@@ -36,7 +36,7 @@ from lendlane.llm.word_bpe import WordBpe
 MAGIC = b"FRB1"
 HEADER = "<4sQQQQI"
 # A block is closed by the document that brings it to this many ids.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
 BLOCKS = "part int, seq int, first_in_part long, n_docs long, n_ids long, block binary"
 
 # For each control byte: which of 4 x 4 bytes its four ranks fill.

@@ -17,7 +17,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 # Begins each special token of the vocabulary, which the library cuts out of the raw text.
 SPECIAL = "<|"
 # Words remembered by a worker; with more, it forgets all and begins anew (about 200 bytes a word).
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 TEXTS_AT_ONCE = 1000
 CHARACTERS_AT_ONCE = 4_000_000
 
