@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendlane.llm import cap_filters, chat_prefix, langid_crf, lattice_lm, line_rules, mixing, packing, token_counts, token_files, vp_simhash
@@ -34,16 +33,8 @@ def op2_token_files(spark, d):
     folder = shared_folder(spark, "token-blocks")
     token_files.write(_table(spark, d, "documents"), folder)
 
-    def digested(batches):
-        import zlib
-
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("start"), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                pa.array([zlib.crc32(i) for i in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return token_files.read(spark, folder).mapInArrow(digested, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n_tokens = F.octet_length("ids").cast("long") / 4
+    return token_files.read(spark, folder).select("doc_id", "start", n_tokens.cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 # A conversation that tries to pass for the template.
