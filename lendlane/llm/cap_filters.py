@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lendlane.llm.common import kept_by_worker, shuffle_partitions, sorted_groups, stored
+from lendlane.llm.common import shuffle_partitions, sorted_groups, stored
 from lendlane.llm.components import components
 
 THRESHOLD = 0.93
@@ -136,13 +136,14 @@ def filtered(reps: DataFrame, each: int = FILTERS_EACH) -> DataFrame:
     number = _number(reps)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_length: dict[int, Codes] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows = []
                 for r in batch.slice(start, 500).to_pylist():
                     raw = np.array([r["embedding"]], dtype=number)
                     n = raw.shape[1]
-                    codes = kept_by_worker(f"caps {n} {filters} {each}", lambda: Codes(n, filters, each))
+                    codes = by_length.get(n) or by_length.setdefault(n, Codes(n, filters, each))
                     numbers = codes.decode(unit_vectors(raw)[0])
                     row = (r["label"], n, r["rep"], r["copies"], raw.tobytes(), numbers.tobytes())
                     rows += [(*row[:2], f, *row[2:]) for f in numbers.tolist()]

@@ -43,11 +43,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def kept_by_worker(name: str, make: Callable[[], object]):
-    """An object that lives as long as the Python worker, so that later tasks find it again."""
+    """An object that a Python worker keeps for later tasks; only the last one asked for, so a worker's memory is bounded."""
     keep = sys.modules.setdefault("lendlane_kept", types.ModuleType("lendlane_kept"))
-    if not hasattr(keep, name):
-        setattr(keep, name, make())
-    return getattr(keep, name)
+    if getattr(keep, "name", None) != name:
+        keep.name = keep.value = None  # let go of the old one before the new one is made
+        keep.name, keep.value = name, make()
+    return keep.value
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -46,7 +46,7 @@ RATE = 0.3
 PENALTY = 1e-4
 SEED = 11
 # Words a worker remembers, and tokens it works on at once.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 TOKENS_AT_ONCE = 250_000
 BLOCK = 32
 
