@@ -639,9 +639,9 @@ SELECT application_id, timestamp, decision, guardrail_status, latency FROM log O
 # --- conversations -----------------------------------------------------------
 
 ORACLES["chat_history"] = """
-SELECT conv_id, CAST(turn // 256 AS BIGINT) AS segment, count(*) AS turns,
+SELECT conv_id, count(*) AS turns,
   string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY turn) AS history
-FROM conversations GROUP BY conv_id, turn // 256"""
+FROM conversations GROUP BY conv_id"""
 
 
 def mentions(words) -> str:
@@ -651,13 +651,14 @@ def mentions(words) -> str:
 ORACLES["chat_fallback"] = ctes(
     *cascade(APPLICANTS, TYPED), ("t", turns(inputs.PLANTED_QUESTIONS, 9)),
     ("asked", "SELECT concat(conv_id, '_', turn) AS question_id, conv_id * 13 + turn AS application_id, text AS question FROM t WHERE role = 'user'"),
-    ("joined", f"""SELECT question_id, question, e.*, [x FOR x IN [
+    ("joined", f"""SELECT question_id, question, asked.application_id, e.* EXCLUDE (application_id), [x FOR x IN [
         CASE WHEN required_income_for_eligibility > 0 THEN concat({q(chat.ADVICE_INCOME[0])}, {grouped('required_income_for_eligibility')}, {q(chat.ADVICE_INCOME[1])}) END,
         CASE WHEN f_credit < 750 THEN {q(chat.ADVICE_CREDIT)} END,
         CASE WHEN f_requested / f_income > 20 THEN concat({q(chat.ADVICE_AMOUNT[0])}, {grouped('f_income * 20')}, {q(chat.ADVICE_AMOUNT[1])}) END
-      ] IF x IS NOT NULL] AS advice FROM asked JOIN evaluated e USING (application_id)"""),
+      ] IF x IS NOT NULL] AS advice FROM asked LEFT JOIN evaluated e USING (application_id)"""),
     ("answered", f"""SELECT question_id, application_id, eligibility, CASE
         WHEN {any_hit('question', guards.BLOCKED_CHAT_PHRASES)} THEN NULL
+        WHEN eligibility IS NULL THEN 'I am currently unable to access the policy engine to analyze your profile. Please try again later.'
         WHEN {mentions(chat.IMPROVE_WORDS)} THEN CASE WHEN eligibility = 'Eligible' THEN {q(chat.ALREADY_ELIGIBLE)}
           ELSE {q(chat.ADVICE_INTRO)} || CASE WHEN len(advice) > 0 THEN array_to_string(advice, chr(10) || chr(10)) ELSE {q(chat.ADVICE_OTHER)} END END
         WHEN {mentions(chat.WHY_WORDS)} THEN CASE WHEN len(reasons) > 0 THEN concat({q(chat.WHY_PARTS[0])}, eligibility, {q(chat.WHY_PARTS[1])},
@@ -673,13 +674,17 @@ _SYSTEM = ("\n        You are an Intelligent Loan Assistant. Answer customer fol
            "\n        - Always mention specific numbers from the customer data when explaining decisions."
            "\n        - If the customer asks about improving eligibility, give actionable advice.\n        ")
 ORACLES["followup_prompt_table"] = ctes(
-    *PIPELINE, ("pieces", "SELECT CAST(conv_id AS VARCHAR) AS application_id, segment, history FROM (" + ORACLES["chat_history"] + ")"),
-    ("questions", "SELECT CAST(conv_id AS VARCHAR) AS application_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id"),
+    *PIPELINE, ("questions", "SELECT conv_id, max(turn) AS asked_turn, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id"),
+    ("earlier", """SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY turn) AS history
+        FROM conversations JOIN questions USING (conv_id) WHERE turn < asked_turn GROUP BY conv_id"""),
+    ("open", """SELECT CAST(conv_id AS VARCHAR) AS application_id, question, coalesce(history, '') AS history FROM questions LEFT JOIN earlier USING (conv_id)"""),
     ("facts", f"""SELECT application_id, {CUSTOMER_JSON} AS customer_json, decision, confidence,
         CASE WHEN outcome = 'scored' THEN '[' || array_to_string(['''' || f || '''' FOR f IN string_split(evaluation_factors, ' | ')], ', ') || ']' ELSE '[]' END AS factors FROM assessed"""),
-) + f"""SELECT application_id, segment, concat({q(_SYSTEM[0])}, customer_json, {q(_SYSTEM[1])}, decision, {q(_SYSTEM[2])}, confidence, {q(_SYSTEM[3])}, factors, {q(_SYSTEM[4])}) AS system_prompt,
-  concat({q(chr(10) + '        Conversation History:' + chr(10) + '        ')}, history, {q(chr(10) * 2 + '        Customer Question: ')}, question, {q(chr(10) + '        ')}) AS user_prompt
-FROM pieces JOIN questions USING (application_id) JOIN facts USING (application_id)"""
+) + f"""SELECT application_id, CASE WHEN blocked THEN {q(guards.CHAT_REFUSAL)} END AS refusal,
+  CASE WHEN NOT blocked THEN concat({q(_SYSTEM[0])}, coalesce(customer_json, '{{}}'), {q(_SYSTEM[1])}, coalesce(decision, 'None'), {q(_SYSTEM[2])}, coalesce(confidence, 'None'),
+    {q(_SYSTEM[3])}, coalesce(factors, 'None'), {q(_SYSTEM[4])}) END AS system_prompt,
+  CASE WHEN NOT blocked THEN concat({q(chr(10) + '        Conversation History:' + chr(10) + '        ')}, history, {q(chr(10) * 2 + '        Customer Question: ')}, question, {q(chr(10) + '        ')}) END AS user_prompt
+FROM (SELECT *, {any_hit('question', guards.BLOCKED_CHAT_PHRASES)} AS blocked FROM open) LEFT JOIN facts USING (application_id)"""
 
 _JSON_SOURCE = f"""SELECT request_id AS application_id, valid_json, o ->> 'name' AS name, o ->> 'age' AS age, o ->> 'monthly_income' AS monthly_income,
    o ->> 'employment_type' AS employment_type, o ->> 'credit_score' AS credit_score, NULL::VARCHAR AS monthly_loan_payment,

@@ -52,6 +52,7 @@ ADVICE_OTHER = (
     "  • Provide Co-applicant Details: Adding a co-applicant (spouse or parent) with a stable income and a strong "
     "credit history can help mitigate high-risk indicators."
 )
+NO_APPLICATION = "I am currently unable to access the policy engine to analyze your profile. Please try again later."
 WHY_PARTS = (
     "Your preliminary assessment status is ",
     " due to the following policy criteria:\n\n",
@@ -113,16 +114,20 @@ def fallback_answer(question: Column) -> Column:
 
 
 def answer_questions(questions: DataFrame, applicants: DataFrame, key: str, question: str = "question",
-                     spread_by: str = "question_id", rules: Rules = DEFAULT_RULES) -> DataFrame:
+                     rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Answer each question about an application: refusal if blocked, else the routed answer, cleaned.
 
+    A question whose application is not there is told so; none is left out.
+
     The application is joined first and evaluated after, so only applications
     somebody asked about are evaluated.
     """
-    asked = join_unique(questions, applicants, key, F.col(spread_by), how="inner")
+    asked = join_unique(questions, applicants.withColumn("is_known", F.lit(True)), key)
     answered = with_advice(evaluate(asked, rules)).withColumn("refusal", chat_guard(F.col(question)))
-    cleaned = clean_chat(answered, F.when(F.col("refusal").isNull(), fallback_answer(F.col(question))))
-    return cleaned.withColumn("response", F.coalesce("refusal", "response")).drop("refusal")
+    said = F.when(F.col("is_known"), fallback_answer(F.col(question))).otherwise(F.lit(NO_APPLICATION))
+    cleaned = clean_chat(answered, F.when(F.col("refusal").isNull(), said))
+    return cleaned.withColumn("response", F.coalesce("refusal", "response")).withColumn(
+        "eligibility", F.when(F.col("is_known"), F.col("eligibility"))).drop("refusal", "is_known")
 
 
 def followup_prompt(customer_json: Column, decision: Column, confidence: Column, factors: Column,

@@ -4,28 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Turns per piece of history.
-SEGMENT_TURNS = 256
-
 
 def turn_line(role: Column, text: Column) -> Column:
     return F.concat(F.upper(F.substring(role, 1, 1)), F.lower(F.substr(role, F.lit(2))), F.lit(": "), text)
 
 
 def chat_history(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role",
-                 text: str = "text", segment_turns: int = SEGMENT_TURNS) -> DataFrame:
-    """Ordered history text per conversation, in pieces of at most `segment_turns` turns.
-
-    A turn number occurs once per conversation, so a piece is bounded however
-    long a conversation gets; nearly every conversation is one piece (segment 0).
-    The whole history is the pieces in order, joined by a line feed.
-    """
-    lines = turns.select(
-        F.col(conversation), F.floor(F.col(turn) / segment_turns).alias("segment"),
-        F.struct(F.col(turn).alias("turn"), turn_line(F.col(role), F.col(text)).alias("line")).alias("entry"),
-    )
-    ordered = F.array_sort(F.collect_list("entry"))
-    return lines.groupBy(conversation, "segment").agg(
-        F.array_join(F.transform(ordered, lambda e: e.getField("line")), "\n").alias("history"),
+                 text: str = "text") -> DataFrame:
+    """Ordered history text, one row per conversation: the history is one value, however long it gets."""
+    entry = F.struct(F.col(turn).alias("turn"), turn_line(F.col(role), F.col(text)).alias("line"))
+    return turns.select(F.col(conversation), entry.alias("entry")).groupBy(conversation).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e.getField("line")), "\n").alias("history"),
         F.count("*").alias("turns"),
     )

@@ -92,6 +92,6 @@ def by_vector(df: DataFrame, query: str, corpus: DataFrame, embedder: Embedder,
     questions = embedder.embed(df.select(query).where(F.col(query).isNotNull()).distinct(), query)
     found = nearest(questions, corpus, k, query_id=query, carry=("text",), **nearest_options)
     answers = gather(found, query, fixed_confidence=fixed_confidence)
-    joined = join_unique(df, answers, query, F.col(spread_by))
+    joined = join_unique(df, answers, query)
     nothing = _result(F.lit(NOTHING_FOUND), F.array().cast("array<string>"), F.lit(0.0))
     return joined.withColumn("retrieved", F.coalesce(F.col("retrieved"), nothing))

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-# A key is hot when it holds more than this share of the rows, so there can be
-# at most 1 / HOT_SHARE hot keys: that is the bound on what is broadcast.
-HOT_SHARE = 0.001
-# Tables below this many rows are joined as they are.
-SALT_FROM_ROWS = 5_000_000
 
-
-def join_unique(left: DataFrame, right: DataFrame, key: str, spread_by: Column, how: str = "left",
-                measure: DataFrame | None = None, salts: int = 64, hot_share: float = HOT_SHARE,
-                salt_from_rows: int = SALT_FROM_ROWS) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join `left` to `right`, which has at most one row per `key`.
 
-    Rows of a hot key are spread over `salts` partitions by `spread_by`, and the
-    one matching row is repeated as often; all other rows are joined on the key.
-    `measure` is a table to count keys in where counting `left` would be costly.
+    A plain join: adaptive execution splits the partitions of hot keys, NULL
+    included, from their measured sizes, and nothing is counted before.
     """
-    counted = left if measure is None else measure
-    total = counted.count()
-    if total < salt_from_rows:
-        return left.join(right, key, how)
-    sizes = counted.groupBy(F.col(key).alias("hot_key")).count()
-    hot = F.broadcast(sizes.where(F.col("count") > total * hot_share).select("hot_key", F.lit(True).alias("is_hot")))
-    tagged = lambda df: df.join(hot, df[key].eqNullSafe(hot["hot_key"]), "left").drop("hot_key")
-    is_hot, zero = F.col("is_hot").isNotNull(), F.lit(0).cast("bigint")
-    spread = tagged(left).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(zero))
-    copies = F.when(is_hot, F.sequence(zero, F.lit(salts - 1).cast("bigint"))).otherwise(F.array(zero))
-    repeated = tagged(right).withColumn("salt", F.explode(copies))
-    return spread.drop("is_hot").join(repeated.drop("is_hot"), [key, "salt"], how).drop("salt")
+    return left.join(right, key, how)

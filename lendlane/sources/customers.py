@@ -45,4 +45,4 @@ def lookup_by_name(requests: DataFrame, customers: DataFrame, order_by: str, spr
     """
     others = [c for c in customers.columns if c != name]
     first = customers.groupBy(name).agg(F.min_by(F.struct(*others), order_by).alias("found")).select(name, "found.*")
-    return join_unique(requests, first, name, F.col(spread_by))
+    return join_unique(requests, first, name)
