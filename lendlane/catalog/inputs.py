@@ -12,6 +12,10 @@ from lendlane.operators.guards import BLOCKED_CHAT_PHRASES, BLOCKED_PHRASES
 from lendlane.session import spread
 
 
+# Width of the vectors in `embeddings`.
+EMBEDDING_WIDTH = 64
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

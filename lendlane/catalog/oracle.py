@@ -9,10 +9,13 @@ from __future__ import annotations
 from lendlane.catalog import inputs
 from lendlane.functions.finance import TERM_BANDS
 from lendlane.operators import chat, guards, retrieve
+from lendlane.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, _passages
+from lendlane.operators.hashed_nearest import directions
 from lendlane.operators.validate import ACCEPTED_EMPLOYMENT, SPECIAL_CHARACTERS
 from lendlane.config import DEFAULT_RULES
 from lendlane.plans.kpi import BUCKETS
 from lendlane.plans.tool import BAD_JSON
+from lendlane.sources.policy import BUILTIN_LINES, BUILTIN_POLICY
 
 ORACLES: dict[str, str] = {}
 
@@ -467,7 +470,9 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, p
 SELECT source, concat('pdf_p', doc_id, '_', idx) AS chunk_id, concat('Page ', doc_id + 1, ': ', line) AS text FROM numbered"""
 CHUNKS = f"SELECT concat(doc_id, '_', start // 450) AS chunk_id, substr(text, start + 1, 500) AS text FROM ({STRIDE})"
 ORACLES["chunk_fixed_stride"] = CHUNKS
-ORACLES["chunk_sync_stream"] = CHUNKS
+ORACLES["chunk_sync_stream"] = f"""SELECT chunk_id, CASE WHEN doc_id % 3 = 0 THEN '! ' || text ELSE text END AS text
+FROM (SELECT doc_id, concat(doc_id, '_', start // 450) AS chunk_id, substr(text, start + 1, 500) AS text FROM ({STRIDE})) WHERE doc_id % 7 <> 0"""
+ORACLES["new_chunks"] = f"""SELECT concat(doc_id, '_', start // 450) AS chunk_id, substr(text, start + 1, 500) AS text FROM ({STRIDE}) WHERE doc_id % 2 <> 0"""
 
 
 def keyword_list(c: str) -> str:
@@ -498,6 +503,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dis
 """
 ORACLES["knn_exact"] = NEIGHBOURS + "SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 3"
 ORACLES["knn_blocked"] = ORACLES["knn_exact"]
+_SIGNS = directions(inputs.EMBEDDING_WIDTH).tolist()
+_CODES = ", ".join("[" + ", ".join(
+    f"list_inner_product(e, {row}::DOUBLE[]) >= 0" for row in table) + "]" for table in _SIGNS)
+ORACLES["knn_hashed"] = ctes(
+    ("v", "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings"),
+    ("hashed", f"SELECT vec_id, e, unnest(codes) AS code, generate_subscripts(codes, 1) AS t FROM (SELECT vec_id, e, [{_CODES}] AS codes FROM v)"),
+    ("met", """SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS chunk_id, list_distance(a.e, b.e) AS distance
+       FROM hashed a JOIN hashed b ON a.t = b.t AND a.code = b.code AND a.vec_id <> b.vec_id"""),
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM met"),
+) + "SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 3"
 ORACLES["retrieval_confidence"] = NEIGHBOURS + """
 SELECT query_id, round(greatest(0e0, least(1e0, 1 - avg(distance) / 2e0)), 2) AS confidence FROM ranked WHERE rank <= 3 GROUP BY query_id"""
 
@@ -529,6 +544,30 @@ ORACLES["tfidf_retrieval"] = ctes(
     ("ranked", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM pairs"),
 ) + "SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 3"
 
+# The passages of the built-in policy and rules, cut once here; the cutting itself is tested by itself.
+_PASSAGES = [(f"{source}_{i}", p) for source, text in (("policy", BUILTIN_POLICY), ("rules", DEFAULT_RULES.as_text()))
+             for i, p in enumerate(p for p in _passages(text, CHUNK_SIZE, CHUNK_OVERLAP) if p)]
+POLICY_SEARCH = [
+    ("raw", RAW), ("questions", f"SELECT application_id, {QUESTION} AS question FROM raw"),
+    ("passages(id, text)", "VALUES " + ", ".join(f"({q(i)}, {q(t)})" for i, t in _PASSAGES)),
+    ("asked", "SELECT DISTINCT question AS id, question AS text FROM questions"),
+    *_weights("passages", "p"), *_weights("asked", "a"),
+    ("idf", """SELECT s.slot, ln(((SELECT count(*) FROM passages) + 1e0) / (count(p.id) + 1e0)) AS w
+       FROM (SELECT unnest(range(128)) AS slot) s LEFT JOIN p_counts p ON p.slot = s.slot GROUP BY s.slot"""),
+    *_vectors("passages", "p"), *_vectors("asked", "a"),
+    ("pairs", "SELECT a.id AS question, p.id AS chunk_id, list_distance(a.v, p.v) AS distance FROM a_unit a CROSS JOIN p_unit p"),
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(distance, 9), chunk_id) AS rank FROM pairs"),
+    ("answers", """SELECT question, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS policy, count(*) AS documents,
+        round(greatest(0e0, least(1e0, 1 - avg(distance) / 2e0)), 2) AS confidence
+        FROM ranked JOIN passages ON chunk_id = id WHERE rank <= 3 GROUP BY question"""),
+]
+ORACLES["policy_retrieval"] = ctes(*POLICY_SEARCH) + """
+SELECT application_id, question, policy, documents, confidence FROM questions JOIN answers USING (question)"""
+ORACLES["retrieval_backends"] = ctes(*POLICY_SEARCH, ("f", f"SELECT *, {keyword_list('question')} AS found FROM questions")) + f"""
+SELECT 'disabled' AS backend, application_id, 'RAG retrieval is disabled.' AS policy, 0e0 AS confidence FROM questions
+UNION ALL SELECT 'keyword', application_id, {_keyword_policy('found')}, 0.5e0 FROM f
+UNION ALL SELECT 'index', application_id, policy, 0.85e0 FROM questions JOIN answers USING (question)"""
+
 # --- reports and prompts -----------------------------------------------------
 
 
@@ -546,8 +585,11 @@ def short(policy: str) -> str:
   {q(chr(10) * 2 + '4. Supporting Policy Document Findings' + chr(10) + '  ')}, {policy}, chr(10))"""
 
 
-_BOTH = q("\n\n".join([retrieve.KEYWORD_PASSAGES[0][1], retrieve.KEYWORD_PASSAGES[1][1]]))
-ORACLES["report_short"] = TYPED_EVAL + f"SELECT application_id, {short(_BOTH)} AS report FROM evaluated"
+_TYPED_QUESTION = ("concat('loan eligibility criteria for ', employment_type, ' age ', CAST(age AS VARCHAR), "
+                   "' credit score ', CAST(credit_score AS VARCHAR))")
+_WITH_POLICY = ctes(*cascade(APPLICANTS, TYPED), ("asked", f"SELECT *, {_TYPED_QUESTION} AS question FROM evaluated"),
+                    ("found", f"SELECT *, {keyword_list('question')} AS passages FROM asked"))
+ORACLES["report_short"] = _WITH_POLICY + f"SELECT application_id, {short(_keyword_policy('passages'))} AS report FROM found"
 
 _PCT = "(f_debt / f_income * 100)"
 _PASS = lambda c, t=1: f"CASE WHEN {c} >= {t} THEN 'Passed' ELSE 'Review Required' END"
@@ -584,7 +626,7 @@ SELECT application_id, concat(
      THEN concat({_N}, '   - If your income increases to Rs.', {grouped('required_income_for_eligibility')}, ', you become eligible.') ELSE '' END,
  {_N}, {_N}, '### 4. Suggested Next Steps', {_N}, CASE WHEN step IS NOT NULL THEN '   - ' || step ELSE '' END,
  {_N}, {_N}, '### 5. Disclaimer', {_N}, '   - ', {q(guards.DISCLAIMER)}) AS report FROM txt"""
-ORACLES["prompt_table"] = TYPED_EVAL + f"""
+ORACLES["prompt_table"] = _WITH_POLICY + f"""
 SELECT application_id, concat({q(chr(10) + '    Evaluate the following application:' + chr(10) + '    Customer: ')}, f_name,
  {q(chr(10) + '    Requested Amount: INR ')}, {grouped('f_requested')}, {q(chr(10) + '    Verdict: ')}, eligibility,
  {q(chr(10) + '    Score: ')}, score, {q('/100' + chr(10) + '    Rule engine factors: ')},
@@ -592,22 +634,28 @@ SELECT application_id, concat({q(chr(10) + '    Evaluate the following applicati
    ''', ''credit_score'': ', {plain('f_credit')}, ', ''existing_liabilities'': ', {plain('f_debt')}, ', ''loan_amount_requested'': ', {plain('f_requested')},
    ', ''loan_purpose'': ''', f_purpose, '''}}'),
  {q(chr(10) + '    Rule engine flags: ')}, '[', array_to_string(['''' || r || '''' FOR r IN reasons], ', '), ']',
- {q(chr(10) + '    Policy Context: policy' + chr(10) * 2 + '    Please write a clean credit underwriter evaluation report.' + chr(10) + '    ')}) AS prompt FROM evaluated"""
+ {q(chr(10) + '    Policy Context: ')}, {_keyword_policy('passages')}, {q(chr(10) * 2 + '    Please write a clean credit underwriter evaluation report.' + chr(10) + '    ')}) AS prompt FROM found"""
 
 # --- assessment, audit, figures ----------------------------------------------
 
-PIPELINE = [
-    *cascade(RAW, TYPED_RAW), *validated("evaluated"),
-    ("asked", f"SELECT *, {GUARD} AS guard_reason, {QUESTION} AS question FROM judged"),
-    ("found", f"SELECT *, {keyword_list('question')} AS passages, CASE WHEN guard_reason <> '' THEN 'blocked' WHEN NOT valid THEN 'invalid' ELSE 'scored' END AS outcome FROM asked"),
-    ("drafted", f"""SELECT *, CASE outcome WHEN 'blocked' THEN 'Application suspended: ' || guard_reason WHEN 'invalid' THEN invalid_reason
-        ELSE {short(_keyword_policy('passages'))} END AS draft FROM found"""),
-    ("assessed", f"""SELECT *, CASE WHEN outcome = 'scored' THEN {softened('draft')} ELSE draft END AS reasoning,
-        CASE WHEN outcome = 'scored' THEN eligibility ELSE 'Not Eligible' END AS decision,
-        CASE WHEN outcome = 'scored' AND eligibility = 'Eligible' THEN 'HIGH' WHEN outcome = 'scored' AND eligibility = 'Conditionally Eligible'
-          THEN 'MODERATE' ELSE 'LOW' END AS confidence,
-        CASE WHEN outcome = 'scored' THEN {FACTORS} ELSE '' END AS evaluation_factors FROM drafted"""),
-]
+def assessed(guard: str = GUARD, policy: str = _keyword_policy("passages"), cleaned: str = softened("draft")) -> list[tuple[str, str]]:
+    return [
+        *cascade(RAW, TYPED_RAW), *validated("evaluated"),
+        ("asked", f"SELECT *, {guard} AS guard_reason, {QUESTION} AS question FROM judged"),
+        ("found", f"SELECT *, {keyword_list('question')} AS passages, CASE WHEN guard_reason <> '' THEN 'blocked' WHEN NOT valid THEN 'invalid' ELSE 'scored' END AS outcome FROM asked"),
+        ("drafted", f"""SELECT *, CASE outcome WHEN 'blocked' THEN 'Application suspended: ' || guard_reason WHEN 'invalid' THEN invalid_reason
+            ELSE {short(policy)} END AS draft FROM found"""),
+        ("assessed", f"""SELECT *, CASE WHEN outcome = 'scored' THEN {cleaned} ELSE draft END AS reasoning,
+            CASE WHEN outcome = 'scored' THEN eligibility ELSE 'Not Eligible' END AS decision,
+            CASE WHEN outcome = 'scored' AND eligibility = 'Eligible' THEN 'HIGH' WHEN outcome = 'scored' AND eligibility = 'Conditionally Eligible'
+              THEN 'MODERATE' ELSE 'LOW' END AS confidence,
+            CASE WHEN outcome = 'scored' THEN {FACTORS} ELSE '' END AS evaluation_factors FROM drafted"""),
+    ]
+
+
+PIPELINE = assessed()
+ORACLES["assess_without_gates"] = ctes(*assessed("''", "'RAG retrieval is disabled.'", "draft")) + """
+SELECT application_id, decision, confidence, reasoning, CAST(NULL AS VARCHAR) AS guardrail_status FROM assessed"""
 ORACLES["assess_batch"] = ctes(*PIPELINE) + f"""
 SELECT application_id, decision, confidence, evaluation_factors, reasoning, CASE WHEN outcome = 'scored' THEN {DOCUMENTS} ELSE '' END AS documents_required,
   {q(guards.DISCLAIMER)} AS disclaimer, CASE WHEN reasoning <> draft THEN 'Sanitized' END AS guardrail_status FROM assessed"""
@@ -619,6 +667,11 @@ SELECT application_id, session_id, {CUSTOMER_JSON} AS customer_input,
   CASE outcome WHEN 'blocked' THEN 'Blocked (Input Guardrail)' WHEN 'invalid' THEN 'Passed (Input Guardrail) | Failed (Validation)' ELSE 'Compliant' END AS guardrail_status,
   CASE WHEN outcome = 'scored' THEN CAST(to_json(CASE WHEN len(passages) > 0 THEN passages ELSE [{q(retrieve.GENERAL_PASSAGE)}] END) AS VARCHAR) ELSE '[]' END AS retrieved_documents,
   CASE WHEN outcome = 'scored' THEN 'serving-model' ELSE 'N/A' END AS model_name FROM assessed"""
+ORACLES["audit_append_and_scan"] = f"SELECT *, 0.5e0 AS latency FROM ({ORACLES['audit_log']})"
+ORACLES["application_ids"] = ctes(("raw", RAW), ("ids", """SELECT application_id AS order_id,
+    sha256(CAST(to_json({order_id: application_id, name: name, age: age}) AS VARCHAR)) AS application_id,
+    CASE WHEN CAST(application_id AS BIGINT) % 7 <> 0 THEN session_id END AS given FROM raw""")) + """
+SELECT order_id, application_id, coalesce(given, sha256('session:' || application_id)) AS session_id FROM ids"""
 ORACLES["audit_latest"] = ctes(("log", AUDIT)) + """
 SELECT session_id, application_id, timestamp, decision, latency FROM (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, application_id DESC) AS rn FROM log) WHERE rn = 1"""
@@ -691,9 +744,45 @@ _JSON_SOURCE = f"""SELECT request_id AS application_id, valid_json, o ->> 'name'
    o ->> 'loan_amount_requested' AS loan_amount_requested, o ->> 'loan_purpose' AS loan_purpose
  FROM (SELECT request_id, json_valid(customer_data) AS valid_json,
          CASE WHEN json_valid(customer_data) AND json_type(customer_data) = 'OBJECT' THEN customer_data::JSON END AS o FROM ({PAYLOADS}))"""
+_J = lambda c: f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+_JN = lambda c: f"coalesce({plain(c)}, 'null')"
+_JLIST = lambda c: f"CASE WHEN len({c}) = 0 THEN '[]' ELSE '[' || chr(10) || array_to_string(['    ' || CAST(to_json(r) AS VARCHAR) FOR r IN {c}], ',' || chr(10)) || chr(10) || '  ]' END"
+
+
+def _members(indent: str, **members: str) -> str:
+    lines = ", ".join(f"""'{indent}  "{n.replace('_Score', ' Score').replace('_Request', ' Request')}": ' || {v}""" for n, v in members.items())
+    return f"'{{' || chr(10) || array_to_string([{lines}], ',' || chr(10)) || chr(10) || '{indent}}}'"
+
+
+_RISK = _J("risk")
+RESULT_TEXT = _members(
+    "", eligibility=_J("eligibility"), score="CAST(score AS VARCHAR)",
+    key_factors=_members("  ", name=_J("f_name"), age=_JN("f_age"), monthly_income=_JN("f_income"), employment_type=_J("f_employment"),
+                         credit_score=_JN("f_credit"), existing_liabilities=_JN("f_debt"), loan_amount_requested=_JN("f_requested"),
+                         loan_purpose=_J("f_purpose")),
+    scoring_breakdown=f"""CASE WHEN stage = 'invalid' THEN '{{}}' ELSE {_members("  ", Income="CAST(p_income AS VARCHAR)",
+        Credit_Score="CAST(p_credit AS VARCHAR)", Liabilities="CAST(p_debt AS VARCHAR)", Employment="CAST(p_employment AS VARCHAR)",
+        Loan_Request="CAST(p_request AS VARCHAR)")} END""",
+    reasons=_JLIST("reasons"), next_steps=_JLIST("[x FOR x IN [step] IF x IS NOT NULL]"),
+    estimated_terms=f"""CASE WHEN stage <> 'scored' THEN {_members("  ", risk_category=_RISK)} ELSE {_members(
+        "  ", estimated_interest_rate=_J(_band(1)), maximum_tenure=_J(_band(2)), risk_category=_RISK,
+        processing_fee="CASE WHEN score >= 80 THEN '" + '"0.5% - 1.0%"' + "' ELSE '" + '"1.0% - 2.0%"' + "' END")} END""",
+    required_income_for_eligibility="CAST(required_income_for_eligibility AS VARCHAR)",
+)
 ORACLES["json_tool"] = ctes(*cascade(_JSON_SOURCE, TYPED_RAW, strict=True)) + f"""
-SELECT application_id AS request_id, CASE WHEN NOT valid_json THEN {q(BAD_JSON[11:-2])} END AS error,
+SELECT application_id AS request_id, CASE WHEN valid_json THEN {RESULT_TEXT} ELSE {q(BAD_JSON)} END AS result,
+  CASE WHEN NOT valid_json THEN {q(BAD_JSON[11:-2])} END AS error,
   CASE WHEN valid_json THEN eligibility END AS eligibility, CASE WHEN valid_json THEN score END AS score,
   CASE WHEN valid_json THEN f_age END AS age, CASE WHEN valid_json THEN risk END AS risk_category,
   CASE WHEN valid_json THEN required_income_for_eligibility END AS needed, CASE WHEN valid_json THEN reasons[1] END AS first_reason,
   CASE WHEN valid_json AND stage <> 'invalid' THEN CAST(p_income AS BIGINT) END AS income_points FROM evaluated"""
+
+# --- files and tables --------------------------------------------------------
+
+ORACLES["customer_files"] = f"""SELECT name, CAST(age AS BIGINT) AS age, monthly_income, employment_type, CAST(credit_score AS BIGINT) AS credit_score,
+  existing_liabilities, loan_amount_requested FROM ({APPLICANTS})"""
+ORACLES["verdict_by_rule_file"] = (TYPED_EVAL.replace("f_age < 21", "f_age < 30").replace("f_credit < 600", "f_credit < 650")
+                                   + "SELECT application_id, stage, eligibility, score FROM scored")
+ORACLES["table_overwrite"] = "SELECT c_custkey, c_name FROM customer"
+ORACLES["policy_line_table"] = f"""SELECT chunk_id, text, 'pages' AS origin FROM ({ORACLES["policy_lines"]})
+UNION ALL SELECT * FROM (VALUES {", ".join(f"('{i}', {q(t)}, 'built in')" for i, t in enumerate(BUILTIN_LINES))})"""

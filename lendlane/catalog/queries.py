@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import copy
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lendlane.catalog import inputs
+from lendlane.config import DEFAULT_RULES_DOCUMENT, Gates
 from lendlane.functions import finance
 from lendlane.functions.employment import normalize_employment
 from lendlane.functions.numbers import parse_number, safe_float, safe_int
@@ -14,12 +18,13 @@ from lendlane.functions.text import clamp_text
 from lendlane.operators import chat, chunk, decide, guards, history, report, retrieve, validate
 from lendlane.operators.applicants import Applicants, key_factors
 from lendlane.operators.embed import Embedder
+from lendlane.operators.hashed_nearest import nearest_hashed
 from lendlane.operators.nearest import nearest
 from lendlane.plans import assess as assessing, corpus as corpora, kpi
 from lendlane.plans.followup import followup_prompts
 from lendlane.plans.tool import evaluate_json
 from lendlane.session import shared_folder
-from lendlane.sources import audit, customers, payload, tables
+from lendlane.sources import audit, customers, payload, rules, tables
 from lendlane.streaming import chunk_sync, kpi_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,10 +289,14 @@ def policy_lines(spark, d):
     return chunk.policy_lines(pages)
 
 
+def _chunk_ids(cut):
+    return cut.withColumn("chunk_id", F.format_string("%d_%d", F.col("doc_id"), F.col("chunk_no")))
+
+
 def _stride_chunks(spark, d):
     docs = inputs.documents(spark, d)
     cut = chunk.explode_chunks(docs, "doc_id", chunk.fixed_stride(F.col("text")))
-    return cut.withColumn("chunk_id", F.format_string("%d_%d", F.col("doc_id"), F.col("chunk_no")))
+    return _chunk_ids(cut)
 
 
 @query
@@ -329,8 +338,17 @@ def knn_exact(spark, d):
 
 @query
 def knn_blocked(spark, d):
-    # The way taken for a corpus too large to broadcast.
-    found = _neighbours(spark, d, broadcast_bytes=0, block_rows=256, pack_rows=128, pivots=16)
+    # Small blocks and packs, so that many of them meet.
+    found = _neighbours(spark, d, block_rows=256, pack_rows=128, pivots=16, block_copies=3)
+    return found.select("query_id", _long("rank"), "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def knn_hashed(spark, d):
+    vectors = inputs.table(spark, d, "embeddings")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    corpus = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    found = nearest_hashed(asked, corpus, inputs.EMBEDDING_WIDTH, skip_same=True)
     return found.select("query_id", _long("rank"), "chunk_id", F.round("distance", 6).alias("distance"))
 
 
@@ -340,35 +358,62 @@ def retrieval_confidence(spark, d):
     return means.select("query_id", retrieve.distance_confidence(F.col("mean_distance")).alias("confidence"))
 
 
+def _kept(df, purpose):
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 @query
 def tfidf_retrieval(spark, d):
-    # The index is built once and stored; the search reads it from there.
-    cut = _stride_chunks(spark, d).select("chunk_id", "text")
+    # The passages are cut once and the index is built once; both are stored and read from there.
+    cut = _kept(_stride_chunks(spark, d).select("chunk_id", "text"), "chunks")
     embedder = Embedder().fit(cut)
-    index = shared_folder(spark, "passages")
-    embedder.embed(cut).select("chunk_id", "embedding").write.parquet(index)
+    index = _kept(embedder.embed(cut).select("chunk_id", "embedding"), "passages")
     turns = inputs.table(spark, d, "conversations").where(F.col("role") == "user")
     asked = turns.select(F.format_string("%d_%d", F.col("conv_id"), F.col("turn")).alias("query_id"), "text")
-    found = nearest(embedder.embed(asked), spark.read.parquet(index))
+    found = nearest(embedder.embed(asked), index)
     return found.select("query_id", _long("rank"), "chunk_id", F.round("distance", 6).alias("distance"))
 
 
 @query
 def policy_retrieval(spark, d):
     corpus, embedder = corpora.build_corpus(corpora.policy_documents(spark))
+    corpus = _kept(corpus.select("chunk_id", "text", "embedding"), "policy")
     a = Applicants(inputs.raw_applicants(spark, d))
     asked = a.df.select("application_id", retrieve.retrieval_query(
         a.text("employment_type"), a.text("age"), a.text("credit_score")).alias("question"))
-    found = retrieve.by_vector(asked, "question", corpus, embedder, spread_by="application_id")
+    # The policy is a few pages whatever the number of applications; a larger corpus is refused here.
+    found = retrieve.retrieve(asked, "question", retrieve.VECTORS, corpus, embedder, "application_id", way="broadcast")
     return found.select("application_id", "question", "retrieved.policy",
                         F.size("retrieved.documents").cast("bigint").alias("documents"), "retrieved.confidence")
 
 
+@query
+def retrieval_backends(spark, d):
+    # The same questions to every backend that needs no corpus, and to an index without distances.
+    corpus, embedder = corpora.build_corpus(corpora.policy_documents(spark))
+    corpus = _kept(corpus.select("chunk_id", "text", "embedding"), "policy")
+    rows = inputs.raw_applicants(spark, d)
+    asked = rows.select("application_id", retrieve.retrieval_query(
+        F.col("employment_type"), F.col("age"), F.col("credit_score")).alias("question"))
+    by = lambda backend, **more: retrieve.retrieve(asked, "question", backend, **more).select(
+        F.lit(backend).alias("backend"), "application_id", "retrieved.policy", "retrieved.confidence")
+    index = by(retrieve.INDEX, corpus=corpus, embedder=embedder, spread_by="application_id", way="broadcast")
+    return by(retrieve.DISABLED).unionByName(by(retrieve.KEYWORD)).unionByName(index)
+
+
 # --- reports and prompts -----------------------------------------------------
 
+def _with_policy(evaluated):
+    a = Applicants(evaluated)
+    asked = evaluated.withColumn("question", retrieve.retrieval_query(a.text("employment_type"), a.text("age"), a.text("credit_score")))
+    return retrieve.retrieve(asked, "question")
+
+
 @query
 def report_short(spark, d):
-    rows = retrieve.by_keyword(decide.evaluate(inputs.applicants(spark, d)), F.lit("income and credit"))
+    rows = _with_policy(decide.evaluate(inputs.applicants(spark, d)))
     return rows.select("application_id", report.short_report(F.col("retrieved.policy")).alias("report"))
 
 
@@ -380,8 +425,8 @@ def report_full(spark, d):
 
 @query
 def prompt_table(spark, d):
-    rows = decide.evaluate(inputs.applicants(spark, d))
-    return rows.select("application_id", report.explanation_prompt(F.lit("policy")).alias("prompt"))
+    rows = _with_policy(decide.evaluate(inputs.applicants(spark, d)))
+    return rows.select("application_id", report.explanation_prompt(F.col("retrieved.policy")).alias("prompt"))
 
 
 # --- assessment, audit, figures ----------------------------------------------
@@ -454,9 +499,9 @@ def json_tool(spark, d):
     shape = ("error string, eligibility string, score bigint, key_factors struct<age: double>, "
              "estimated_terms struct<risk_category: string>, required_income_for_eligibility double, "
              "reasons array<string>, scoring_breakdown struct<Income: bigint>")
-    read = rows.select("request_id", F.from_json("result", shape).alias("r"))
+    read = rows.select("request_id", "result", F.from_json("result", shape).alias("r"))
     return read.select(
-        "request_id", "r.error", "r.eligibility", "r.score", "r.key_factors.age", "r.estimated_terms.risk_category",
+        "request_id", "result", "r.error", "r.eligibility", "r.score", "r.key_factors.age", "r.estimated_terms.risk_category",
         F.col("r.required_income_for_eligibility").alias("needed"), F.get("r.reasons", F.lit(0)).alias("first_reason"),
         F.col("r.scoring_breakdown.Income").alias("income_points"),
     )
@@ -476,10 +521,99 @@ def kpi_refresh_stream(spark, d):
 
 @query
 def chunk_sync_stream(spark, d):
-    docs = _stream_of(spark, d, "documents")
-    cut = chunk.explode_chunks(docs, "doc_id", chunk.fixed_stride(F.col("text"))).select(
-        F.format_string("%d_%d", F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "text"
-    )
+    # Each passage arrives; then a third is rewritten, a stale change comes late, and a seventh is taken out.
+    cut = chunk.explode_chunks(_stream_of(spark, d, "documents"), "doc_id", chunk.fixed_stride(F.col("text")))
+    changes = _chunk_ids(cut).select("chunk_id", "doc_id", F.explode(F.expr("""
+        filter(array(named_struct('at', 1, 'text', text, 'gone', false),
+                     if(doc_id % 3 = 0, named_struct('at', 3, 'text', concat('! ', text), 'gone', false), NULL),
+                     if(doc_id % 3 = 0, named_struct('at', 2, 'text', concat('~ ', text), 'gone', false), NULL),
+                     if(doc_id % 7 = 0, named_struct('at', 4, 'text', cast(NULL AS string), 'gone', true), NULL)),
+               x -> x IS NOT NULL)""")).alias("c")).select("chunk_id", "c.*")
     index = shared_folder(spark, "chunk-index")
-    chunk_sync.sync_chunks(cut, index, shared_folder(spark, "chunk-sync"))
-    return chunk_sync.current_index(spark, index)
+    chunk_sync.sync_chunks(changes, index, shared_folder(spark, "chunk-sync"), F.col("at"), F.col("gone"))
+    return chunk_sync.current_index(spark, index).select("chunk_id", "text")
+
+
+@query
+def new_chunks(spark, d):
+    cut = _stride_chunks(spark, d)
+    return chunk_sync.new_chunks(cut.select("chunk_id", "text"), cut.where("doc_id % 2 = 0"))
+
+
+# --- files and tables --------------------------------------------------------
+
+def _fresh(name):
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+@query
+def customer_files(spark, d):
+    # The directory written as files with a header, then read with its schema.
+    rows = inputs.applicants(spark, d).select(
+        "name", "age", "monthly_income", "employment_type", "credit_score", "existing_liabilities", "loan_amount_requested")
+    folder = shared_folder(spark, "customers")
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(folder)
+    return customers.read_customers(spark, folder)
+
+
+@query
+def verdict_by_rule_file(spark, d):
+    # Rules read from a file: applicants from 30 on, and a credit score of 650.
+    document = copy.deepcopy(DEFAULT_RULES_DOCUMENT)
+    document["thresholds"] |= {"min_age": 30, "minimum_credit_score": 650}
+    folder = shared_folder(spark, "rules")
+    spark.range(1).select(F.lit(json.dumps(document)).alias("value")).write.text(folder)
+    loaded = rules.load_rules(spark, f"{folder}-absent", folder)
+    rows = decide.score_applicants(inputs.applicants(spark, d), loaded)
+    return rows.select("application_id", "stage", "eligibility", _long("score"))
+
+
+@query
+def audit_append_and_scan(spark, d):
+    # Two batches go into the log; it is read whole.
+    log = _fresh("audit")
+    raw = inputs.raw_applicants(spark, d)
+    for odd in (0, 1):
+        batch = raw.where(F.col("application_id").cast("bigint") % 2 == odd)
+        assessing.record(assessing.assess(batch), MODEL, log, latency=0.5)
+    return audit.read(spark, log).select("application_id", "session_id", "customer_input", "decision", "guardrail_status",
+                                         "latency", "retrieved_documents", "model_name")
+
+
+@query
+def table_overwrite(spark, d):
+    # A second write replaces rows and columns of the first.
+    tables.ensure_namespace(spark, "lendlane_scratch")
+    name = f"lendlane_scratch.{_fresh('t')}"
+    tables.overwrite(inputs.table(spark, d, "orders").select("o_orderkey"), name)
+    tables.overwrite(inputs.table(spark, d, "customer").select("c_custkey", "c_name"), name)
+    return spark.table(name)
+
+
+@query
+def policy_line_table(spark, d):
+    # Created from its source; a second call leaves it; a source without lines gets the built-in ones.
+    name, empty = _fresh("lines"), _fresh("lines")
+    pages = inputs.documents(spark, d).withColumnRenamed("doc_id", "page")
+    corpora.ensure_policy_lines(spark, name, pages)
+    corpora.ensure_policy_lines(spark, name, pages.withColumn("text", F.lit("never written, as the table is there")))
+    corpora.ensure_policy_lines(spark, empty, pages.withColumn("text", F.lit("short")))
+    return spark.table(name).withColumn("origin", F.lit("pages")).unionByName(
+        spark.table(empty).withColumn("origin", F.lit("built in")))
+
+
+# --- switches and ids --------------------------------------------------------
+
+@query
+def assess_without_gates(spark, d):
+    gates = Gates(guardrails=False, retrieval=False, audit=False)
+    rows = assessing.responses(assessing.assess(inputs.raw_applicants(spark, d), gates=gates))
+    return rows.select("application_id", "decision", "confidence", "reasoning", "guardrail_status")
+
+
+@query
+def application_ids(spark, d):
+    rows = inputs.raw_applicants(spark, d).withColumnRenamed("application_id", "order_id")
+    some = rows.withColumn("session_id", F.when(F.col("order_id").cast("bigint") % 7 != 0, F.col("session_id")))
+    return assessing.with_identity(some, "order_id", "name", "age").select("order_id", "application_id", "session_id")

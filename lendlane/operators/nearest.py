@@ -1,20 +1,24 @@
-"""Exact k nearest neighbours between two tables of vectors.
-
-Two ways, chosen by the measured size of the corpus:
-
-* small corpus (its bytes are counted first): a broadcast matrix, one narrow
-  pass over the queries, no shuffle;
-* any other: the corpus is cut into cells around pivots and the cells into
-  blocks of bounded size. A query visits only cells that can hold one of its
-  neighbours (triangle inequality), queries travel in packs, and packs meet
-  blocks in an equality join on the block number. Per pack and block only k
-  rows per query leave the task.
-
-Both give the same rows: ranked by distance to nine places, then by id.
+"""The k nearest neighbours between two tables of vectors.
+
+The caller names the way:
+
+* `blocks` (the default, exact, for a corpus of any size): the corpus is cut into
+  cells around pivots and the cells into blocks of bounded size. A query visits
+  only cells that can hold one of its neighbours (triangle inequality), queries
+  travel in packs, and packs meet blocks in an equality join on the block number.
+  Blocks are repeated under several salts, so that a block every pack visits is
+  searched by several tasks. Per pack and block only k rows per query leave the task.
+* `broadcast` (exact, for a corpus known to be small): a broadcast matrix, one
+  narrow pass over the queries, no shuffle. The corpus is counted first, and one
+  that is too large is refused.
+
+Both give the same rows: ranked by distance to nine places, then by id. Where an
+exact search costs too much, `operators/hashed_nearest.py` finds most of them.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +28,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 1024
 PACK_ROWS = 256
-PIVOTS = 64
+BLOCK_COPIES = 4
+# Pivots by default: the square root of the corpus, between these.
+PIVOTS = (16, 1024)
 _PLACES = 9
 _TILE = 1_000_000
 
@@ -69,9 +75,8 @@ def _closest(queries: np.ndarray, corpus: np.ndarray, same: np.ndarray | None, k
         yield q[top] + at, c[top], exact[top], rank[top] + 1
 
 
-def _positions(query_ids: list, corpus_ids: list) -> np.ndarray:
-    place = {v: i for i, v in enumerate(corpus_ids)}
-    return np.array([place.get(v, -1) for v in query_ids], dtype=np.int64)
+def _places(ids) -> dict:
+    return {v: i for i, v in enumerate(ids.to_pylist())}
 
 
 @dataclass(frozen=True)
@@ -80,11 +85,14 @@ class _Task:
     skip_same: bool
     names: list
 
-    def match(self, query_ids, queries, corpus_ids, corpus, carried):
-        """Record batches of matches between Arrow id columns and matrices."""
+    def match(self, query_ids, queries, corpus_ids, corpus, carried, places=None):
+        """Record batches of matches between Arrow id columns and matrices; `places`: row of each corpus id, if at hand."""
         if not len(query_ids) or not len(corpus_ids):
             return
-        same = _positions(query_ids.to_pylist(), corpus_ids.to_pylist()) if self.skip_same else None
+        same = None
+        if self.skip_same:
+            places = _places(corpus_ids) if places is None else places
+            same = np.array([places.get(v, -1) for v in query_ids.to_pylist()], dtype=np.int64)
         for q, c, distance, rank in _closest(queries, corpus, same, self.k):
             picked = [query_ids.take(pa.array(q)), pa.array(rank, pa.int32()), corpus_ids.take(pa.array(c)), pa.array(distance)]
             picked += [x.take(pa.array(c)) for x in carried]
@@ -93,12 +101,12 @@ class _Task:
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "query_id", corpus_id: str = "chunk_id",
             vector: str = "embedding", carry: tuple = (), skip_same: bool = False,
-            broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, pack_rows: int = PACK_ROWS,
-            pivots: int = PIVOTS) -> DataFrame:
+            way: str = "blocks", broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+            pack_rows: int = PACK_ROWS, pivots: int | None = None, block_copies: int = BLOCK_COPIES) -> DataFrame:
     """The k nearest corpus rows of every query: query id, `rank`, corpus id, `distance`, carried corpus columns.
 
     `skip_same` leaves out the corpus row that has the query's own id. The corpus
-    is read more than once (for its size, its cells, its blocks): hand in a stored
+    is read more than once (for its count, its cells, its blocks): hand in a stored
     table, not one that is still to be computed.
     """
     as_vector = F.transform(F.col(vector), lambda x: x.cast("double")).alias(vector)
@@ -110,16 +118,17 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "
         *[T.StructField(n, c.schema[n].dataType) for n in carry],
     ])
     task = _Task(k, skip_same, schema.names)
-    text_bytes = sum((F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0)) for n in (corpus_id, *carry)), F.lit(0))
-    size = c.agg(F.sum(8 * F.size(vector) + text_bytes).alias("bytes")).first()["bytes"] or 0
-    if size <= broadcast_bytes:
+    if way == "broadcast":
+        text_bytes = sum((F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0)) for n in (corpus_id, *carry)), F.lit(0))
+        size = c.agg(F.sum(8 * F.size(vector) + text_bytes).alias("bytes")).first()["bytes"] or 0
+        if size > broadcast_bytes:
+            raise ValueError(f"a corpus of {size} bytes is too large to broadcast (limit {broadcast_bytes}): use blocks")
         return _by_broadcast(q, c, query_id, corpus_id, vector, carry, schema, task)
-    return _by_blocks(q, c, query_id, corpus_id, vector, carry, schema, task, block_rows, pack_rows, pivots)
-
-
-def _tasks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if way != "blocks":
+        raise ValueError(f"no such way: {way}")
+    if pivots is None:
+        pivots = min(max(math.isqrt(c.count()), PIVOTS[0]), PIVOTS[1])
+    return _by_blocks(q, c, query_id, corpus_id, vector, carry, schema, task, block_rows, pack_rows, pivots, block_copies)
 
 
 def _by_broadcast(q, c, query_id, corpus_id, vector, carry, schema, task) -> DataFrame:
@@ -130,14 +139,14 @@ def _by_broadcast(q, c, query_id, corpus_id, vector, carry, schema, task) -> Dat
         column = lambda n: table.column(n).combine_chunks() if table.num_rows else pa.array([], table.schema.field(n).type)
         ids, matrix = column(corpus_id), _vectors(column(vector))
         carried = [column(n) for n in carry]
+        places = _places(ids) if task.skip_same else None
         for b in batches:
-            yield from task.match(b.column(query_id), _vectors(b.column(vector)), ids, matrix, carried)
+            yield from task.match(b.column(query_id), _vectors(b.column(vector)), ids, matrix, carried, places)
 
-    # Far more work per row than bytes per row: worth dealing the queries out over all cores.
-    return q.repartition(_tasks(q), query_id).mapInArrow(search, schema)
+    return q.mapInArrow(search, schema)
 
 
-def _by_blocks(q, c, query_id, corpus_id, vector, carry, schema, task, block_rows, pack_rows, pivots) -> DataFrame:
+def _by_blocks(q, c, query_id, corpus_id, vector, carry, schema, task, block_rows, pack_rows, pivots, block_copies) -> DataFrame:
     # A bounded number of pivots, picked by hash so that a rerun picks the same.
     picked = c.select(corpus_id, vector).orderBy(F.xxhash64(corpus_id), corpus_id).limit(pivots)
     centres = _vectors(picked.toArrow().column(vector).combine_chunks())
@@ -172,7 +181,7 @@ def _by_blocks(q, c, query_id, corpus_id, vector, carry, schema, task, block_row
     members = F.struct(corpus_id, vector, *carry)
     blocks = celled.withColumn("block", block.cast("bigint")).groupBy("block").agg(
         F.array_sort(F.collect_list(members)).alias("c_members")
-    )
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(block_copies - 1))))
 
     def to_packs(batches):
         for b in batches:
@@ -213,7 +222,9 @@ def _by_blocks(q, c, query_id, corpus_id, vector, carry, schema, task, block_row
                     [cs.field(x) for x in carry],
                 )
 
-    met = packs.select(F.explode("targets").alias("block"), "q_members").join(blocks, "block")
+    # The salt of a pack comes from its first query, so a rerun picks the same one.
+    salt = F.pmod(F.xxhash64(F.col("q_members")[0][query_id]), F.lit(block_copies)).cast("int")
+    met = packs.select(F.explode("targets").alias("block"), salt.alias("salt"), "q_members").join(blocks, ["block", "salt"])
     found = met.select("q_members", "c_members").mapInArrow(search, schema)
     closest = Window.partitionBy(query_id).orderBy(F.round("distance", _PLACES), corpus_id)
     return found.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= task.k).select(*schema.names)

@@ -31,6 +31,8 @@ NOTHING_FOUND = "No matching documents found."
 INDEX_CONFIDENCE = 0.85
 # Fixed value: passages per query.
 TOP_K = 3
+# Where passages come from.
+DISABLED, KEYWORD, VECTORS, INDEX = "disabled", "keyword", "vectors", "index"
 
 
 def retrieval_query(employment: Column, age: Column, credit: Column) -> Column:
@@ -95,3 +97,17 @@ def by_vector(df: DataFrame, query: str, corpus: DataFrame, embedder: Embedder,
     joined = join_unique(df, answers, query)
     nothing = _result(F.lit(NOTHING_FOUND), F.array().cast("array<string>"), F.lit(0.0))
     return joined.withColumn("retrieved", F.coalesce(F.col("retrieved"), nothing))
+
+
+def retrieve(df: DataFrame, query: str, backend: str = KEYWORD, corpus: DataFrame | None = None,
+             embedder: Embedder | None = None, spread_by: str = "", **options) -> DataFrame:
+    """Add `retrieved` by the backend named: no passages, the keyword table, vectors, or an index without distances."""
+    if backend == DISABLED:
+        return df.withColumn("retrieved", disabled())
+    if backend == KEYWORD:
+        return by_keyword(df, F.col(query))
+    if backend not in (VECTORS, INDEX):
+        raise ValueError(f"no such backend: {backend}")
+    if corpus is None or embedder is None:
+        raise ValueError(f"{backend} needs a corpus and its embedder")
+    return by_vector(df, query, corpus, embedder, spread_by, fixed_confidence=backend == INDEX, **options)

@@ -50,13 +50,10 @@ def assess(applications: DataFrame, rules: Rules = DEFAULT_RULES, gates: Gates =
     scored = evaluate(checked.withColumn("outcome", outcome), rules).withColumn(
         "retrieval_query", F.when(F.col("outcome") == "scored", query)
     )
+    backend = retrieve.KEYWORD if corpus is None else retrieve.INDEX if fixed_confidence else retrieve.VECTORS
     if not gates.retrieval:
-        found = scored.withColumn("retrieved", retrieve.disabled())
-    elif corpus is None:
-        found = retrieve.by_keyword(scored, F.col("retrieval_query"))
-    else:
-        found = retrieve.by_vector(scored, "retrieval_query", corpus, embedder, spread_by="application_id",
-                                   fixed_confidence=fixed_confidence, **nearest_options)
+        backend = retrieve.DISABLED
+    found = retrieve.retrieve(scored, "retrieval_query", backend, corpus, embedder, "application_id", **nearest_options)
     is_scored = F.col("outcome") == "scored"
     none = F.array().cast("array<string>")
     reasoning = (

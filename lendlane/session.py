@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Deal out tables that come in one small file; for local runs.
+SPREAD = "spark.lendlane.spread"
+
 
 def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -18,6 +21,8 @@ def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partiti
         # that, Spark does better without fusing the operators into one method.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
+        # Small files of a single row group cannot be split at the scan; see `spread`.
+        .config(SPREAD, "true")
     )
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -25,16 +30,14 @@ def local_session(cores: int | str = "*", app: str = "lendlane", shuffle_partiti
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a table that is too small to give every core a split of its own.
+    """Deal out the rows of a table kept in one small file, where the session's setting asks for it.
 
-    A single small file is read by a single task, and what follows would run on
-    one core. Tables large enough to be split at the scan come back unchanged.
+    Such a file is read by a single task, and what follows would run on one core. On a
+    cluster, tables are split at the scan: the setting is off unless it is switched on.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split_bytes = 128 << 20
-    table_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if table_bytes >= cores * split_bytes else df.repartition(cores)
+    wanted = spark.conf.get(SPREAD, "false").lower() == "true"
+    return df.repartition(spark.sparkContext.defaultParallelism) if wanted else df
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lendlane.operators.embed import Embedder
 
+# Columns of the stored index beside those of the passages.
+ORDER, DELETED, VERSION = "sync_order", "sync_deleted", "sync_version"
 
-def sync_chunks(chunk_stream: DataFrame, index: str, checkpoint: str, embedder: Embedder | None = None,
-                key: str = "chunk_id") -> None:
-    """Take in the passages that arrived since the last call, keyed by `key`.
 
-    Every micro-batch is written as its own version of the index. A batch that
-    has to be run again replaces its own version, so nothing is taken in twice.
+def sync_chunks(change_stream: DataFrame, index: str, checkpoint: str, order: Column, deleted: Column | None = None,
+                embedder: Embedder | None = None, key: str = "chunk_id") -> None:
+    """Take in the changes that arrived since the last call, keyed by `key`.
+
+    `order` tells which of two changes to a passage is the later one (a time or a
+    change number); `deleted` marks changes that take the passage out. Of changes
+    at the same time a delete counts, then the greatest text, so that the outcome
+    does not depend on arrival. Every micro-batch is written as its own version of
+    the index. A batch that has to be run again replaces its own version, so
+    nothing is taken in twice.
     """
+    kept = change_stream.columns
+    gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
+    marked = change_stream.select(*kept, order.alias(ORDER), gone.alias(DELETED))
+
     def upsert(batch: DataFrame, version: int) -> None:
-        # One row per key in a batch; of several texts the greatest, whichever arrived first.
-        others = [c for c in batch.columns if c != key]
-        rows = batch.groupBy(key).agg(F.max(F.struct(*others)).alias("row")).select(key, "row.*")
+        rows = _latest(batch, key, ORDER, DELETED)
         if embedder is not None:
             rows = embedder.embed(rows)
-        rows.write.mode("overwrite").parquet(f"{index}/version={version}")
+        rows.write.mode("overwrite").parquet(f"{index}/{VERSION}={version}")
 
     query = (
-        chunk_stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+        marked.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def _latest(changes: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last change per key; reduced per task before the shuffle."""
+    others = [*order, *(c for c in changes.columns if c != key and c not in order)]
+    return changes.groupBy(key).agg(F.max(F.struct(*others)).alias("row")).select(key, "row.*")
+
+
+def _current(spark: SparkSession, index: str, key: str) -> DataFrame:
+    return _latest(spark.read.parquet(index), key, ORDER, DELETED, VERSION)
+
+
 def current_index(spark: SparkSession, index: str, key: str = "chunk_id") -> DataFrame:
-    """The newest version of every passage; reduced per task before the shuffle."""
-    versions = spark.read.parquet(index)
-    others = [c for c in versions.columns if c not in (key, "version")]
-    newest = F.max(F.struct("version", *others))
-    return versions.groupBy(key).agg(newest.alias("newest")).select(key, *[F.col(f"newest.{c}") for c in others])
+    """The newest state of every passage that has not been taken out."""
+    return _current(spark, index, key).where(~F.col(DELETED)).drop(ORDER, DELETED, VERSION)
 
 
 def new_chunks(chunks: DataFrame, index: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -42,6 +58,9 @@ def new_chunks(chunks: DataFrame, index: DataFrame, key: str = "chunk_id") -> Da
     return chunks.join(index.select(key), key, "left_anti")
 
 
-def compact(spark: SparkSession, index: str, target: str) -> None:
-    """Write the current index to `target` as a single version, to start the next syncs from."""
-    current_index(spark, index).write.mode("overwrite").parquet(f"{target}/version=-1")
+def compact(spark: SparkSession, index: str, target: str, key: str = "chunk_id") -> None:
+    """Write the current index to `target` as a single version, to start the next syncs from.
+
+    Deletes stay in it: an older change may still arrive.
+    """
+    _current(spark, index, key).drop(VERSION).write.mode("overwrite").parquet(f"{target}/{VERSION}=-1")

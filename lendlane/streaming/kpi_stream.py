@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendlane.plans.kpi import kpi_summary
 from lendlane.session import shared_folder
@@ -17,12 +17,20 @@ def refresh_kpis(spark: SparkSession, log_stream: DataFrame, output: str | None
     output = output or shared_folder(spark, "kpi")
     checkpoint = checkpoint or shared_folder(spark, "kpi-checkpoint")
 
-    def publish(figures: DataFrame, _batch: int) -> None:
-        figures.coalesce(1).write.mode("overwrite").parquet(output)
+    # A folder per batch, so that a failure leaves the figures before it, and readers see whole figures.
+    def publish(figures: DataFrame, batch: int) -> None:
+        figures.coalesce(1).write.mode("overwrite").parquet(f"{output}/batch={batch}")
 
     query = (
         kpi_summary(log_stream).writeStream.outputMode("complete").foreachBatch(publish)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(output)
+    return newest_figures(spark, output)
+
+
+def newest_figures(spark: SparkSession, output: str) -> DataFrame:
+    """The figures of the last batch; one row per batch is read."""
+    batches = spark.read.parquet(output)
+    names = [c for c in batches.columns if c != "batch"]
+    return batches.agg(F.max_by(F.struct(*names), "batch").alias("newest")).select("newest.*")

@@ -195,6 +195,11 @@ def test_json_tool(spark):
     one, two, three = (json.loads(r["result"]) for r in evaluate_json(df).orderBy("i").collect())
     assert one["eligibility"] == "Eligible" and one["key_factors"]["existing_liabilities"] == 5000
     assert two == {"error": "Invalid JSON. Please pass customer data as a JSON string."}
+    text = evaluate_json(df.where("i = 1")).first()["result"]
+    assert json.dumps(one, indent=2) == text and '"age": 28,' in text and '"required_income_for_eligibility": 0.0' in text
+    bare = json.loads(evaluate_json(spark.createDataFrame([('{"name": "Bo"}',)], "customer_data string")).first()["result"])
+    assert bare["key_factors"] == {"name": "Bo", "age": None, "monthly_income": None, "employment_type": "", "credit_score": None,
+                                   "existing_liabilities": 0, "loan_amount_requested": None, "loan_purpose": "Not Specified"}
     assert three["estimated_terms"] == {"risk_category": "Invalid Input"} and three["scoring_breakdown"] == {}
 
 
@@ -207,19 +212,26 @@ def test_kpi_stream_takes_in_only_what_is_new(spark, tmp_path):
     assert first == kpi.kpi_summary(log.where("application_id < '5'")).first()
     log.where("application_id >= '5'").write.mode("append").parquet(source)
     assert kpi_stream.refresh_kpis(spark, stream(), out, state).first() == kpi.kpi_summary(log).first()
+    # The figures of both batches are still there.
+    assert spark.read.parquet(out).count() == 2
 
 
 def test_chunk_sync_keeps_the_newest(spark, tmp_path):
     source, index, state = str(tmp_path / "chunks"), str(tmp_path / "index"), str(tmp_path / "state")
-    write = lambda rows: spark.createDataFrame(rows, "chunk_id string, text string").write.mode("append").parquet(source)
-    stream = lambda: spark.readStream.schema("chunk_id string, text string").parquet(source)
-    write([("a", "one"), ("b", "two")])
-    chunk_sync.sync_chunks(stream(), index, state)
-    write([("b", "TWO"), ("c", "three")])
-    chunk_sync.sync_chunks(stream(), index, state)
-    chunk_sync.sync_chunks(stream(), index, state)
+    shape = "chunk_id string, text string, at long, gone boolean"
+    write = lambda rows: spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+    sync = lambda: chunk_sync.sync_chunks(spark.readStream.schema(shape).parquet(source), index, state, F.col("at"), F.col("gone"))
+    texts = lambda: {(r["chunk_id"], r["text"]) for r in chunk_sync.current_index(spark, index).collect()}
+    # Two changes to one passage in a batch: the later counts, though its text sorts first.
+    write([("a", "one", 1, False), ("b", "two", 1, None), ("b", "THREE", 2, False), ("e", "gone soon", 1, False)])
+    sync()
+    assert texts() == {("a", "one"), ("b", "THREE"), ("e", "gone soon")}
+    # A delete, a new passage, and a change that arrives after a later one.
+    write([("e", None, 5, True), ("c", "three", 5, False), ("b", "late", 1, False)])
+    sync()
+    sync()
+    assert texts() == {("a", "one"), ("b", "THREE"), ("c", "three")}
     current = chunk_sync.current_index(spark, index)
-    assert {tuple(r) for r in current.collect()} == {("a", "one"), ("b", "TWO"), ("c", "three")}
     later = spark.createDataFrame([("c", "x"), ("d", "y")], "chunk_id string, text string")
     assert [r["chunk_id"] for r in chunk_sync.new_chunks(later, current).collect()] == ["d"]
     compacted = shared_folder(spark, "compact")

@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from lendlane.operators import chunk, retrieve
 from lendlane.operators.embed import Embedder, term_slots
+from lendlane.operators.hashed_nearest import nearest_hashed
 from lendlane.operators.nearest import nearest
 from lendlane.operators.skew import join_unique
 from lendlane.plans import corpus as corpora
 from lendlane.session import shared_folder
 
-BROADCAST = {}
-BLOCKS = {"broadcast_bytes": 0, "block_rows": 16, "pack_rows": 8, "pivots": 5}
+BROADCAST = {"way": "broadcast"}
+BLOCKS = {"way": "blocks", "block_rows": 16, "pack_rows": 8, "pivots": 5, "block_copies": 3}
 
 
 def vectors(spark, matrix, name, first=0):
@@ -62,6 +63,26 @@ def test_nearest_carries_columns(spark, way):
     assert sorted((r["query_id"], r["text"]) for r in rows) == [(0, "t0"), (1, "t1"), (2, "t2")]
 
 
+def test_broadcast_refuses_a_large_corpus(spark):
+    rows = vectors(spark, np.eye(3), "chunk_id")
+    with pytest.raises(ValueError, match="too large"):
+        nearest(vectors(spark, np.eye(3), "query_id"), rows, way="broadcast", broadcast_bytes=10)
+
+
+def test_hashed_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    # Three near copies of each centre.
+    matrix = np.repeat(centres, 4, axis=0) + rng.normal(size=(160, 16)) * 0.02
+    queries, corpus = vectors(spark, matrix, "query_id"), vectors(spark, matrix, "chunk_id")
+    expected = brute(matrix, matrix, 3, True)
+    got = found(nearest_hashed(queries, corpus, 16, skip_same=True))
+    assert len(got & expected) >= 0.9 * len(expected)
+    odd = spark.createDataFrame([(1, None), (2, [1.0])], "query_id long, embedding array<double>")
+    assert nearest_hashed(odd, corpus, 16).count() == 0
+    assert nearest_hashed(queries, corpus.limit(0), 16).count() == 0
+
+
 def test_join_unique_with_hot_keys(spark):
     left = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50).alias("k")
