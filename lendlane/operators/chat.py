@@ -133,6 +133,7 @@ def answer_questions(questions: DataFrame, applicants: DataFrame, key: str, ques
 def followup_prompt(customer_json: Column, decision: Column, confidence: Column, factors: Column,
                     history: Column, question: Column) -> tuple[Column, Column]:
     """System and user prompt for a follow-up question."""
+    # The wording of both.
     system = F.concat(
         F.lit("\n        You are an Intelligent Loan Assistant. Answer customer follow-up questions based on their "
               "assessment.\n        Customer Data: "), customer_json,

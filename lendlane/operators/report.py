@@ -62,6 +62,7 @@ def evaluation_factors() -> Column:
 
 def short_report(policy: Column) -> Column:
     """The four-section report."""
+    # Its wording.
     k = F.col("key_factors")
     return _join(
         "1. Underwriting Decision Summary\n  Verdict: ", F.col("eligibility"),
@@ -149,6 +150,7 @@ def with_full_report(df: DataFrame, output: str = "report") -> DataFrame:
 
 def factors_text() -> Column:
     """The key factors as they appear in a prompt."""
+    # The names of the factors.
     k = F.col("key_factors")
     number = lambda n: F.coalesce(plain_number(k.getField(n)), F.lit("None"))
     return _join(
@@ -162,6 +164,7 @@ def factors_text() -> Column:
 
 def explanation_prompt(policy: Column) -> Column:
     """The prompt an offline model job would be given for an evaluated application."""
+    # Its wording.
     k = F.col("key_factors")
     return _join(
         "\n    Evaluate the following application:\n    Customer: ", k.getField("name"),

@@ -77,6 +77,7 @@ def validate_required(df: DataFrame) -> DataFrame:
 
 def sanity_errors(age: Column, income: Column, credit: Column, requested: Column) -> Column:
     """Range checks over numbers already read; NULLs are not judged here."""
+    # Ranges and wording.
     return present(
         F.when((age < 18) | (age > 100), "Age must be between 18 and 100."),
         F.when(income < 0, "Monthly income cannot be negative."),
