@@ -3,7 +3,10 @@
 A table of buckets hashes a vector by the signs of its products with `bits` fixed
 directions of +1 and -1. Queries meet the corpus rows of their bucket in an equality
 join on (table, bucket), which adaptive execution splits where a bucket is hot;
-distances are exact. More tables find more, more bits meet less.
+distances are exact. More tables find more, more bits meet less. The defaults are set by
+neighbours at a cosine of about a third, which share the sign of a product with six
+directions in ten only: at least nine in ten of the three nearest are found, and about
+three pairs in five are met.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-TABLES = 16
+TABLES = 56
 BITS = 6
 _SEED = 20
 

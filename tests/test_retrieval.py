@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lendlane.catalog.queries import QUERIES
 from lendlane.operators import chunk, retrieve
 from lendlane.operators.embed import Embedder, term_slots
 from lendlane.operators.hashed_nearest import nearest_hashed
@@ -83,6 +84,13 @@ def test_hashed_neighbours(spark):
     assert nearest_hashed(queries, corpus.limit(0), 16).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_hashed_neighbours_of_the_embeddings_table(spark, sf):
+    pairs = lambda name: {(r.query_id, r.chunk_id) for r in QUERIES[name](spark, f"/root/testdata/{sf}").collect()}
+    exact = pairs("knn_exact")
+    assert len(pairs("knn_hashed") & exact) >= 0.9 * len(exact) > 0
+
+
 def test_join_unique_with_hot_keys(spark):
     left = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50).alias("k")
