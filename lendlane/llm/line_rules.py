@@ -2,11 +2,18 @@
 
 Everything is column expressions; nothing leaves the JVM and nothing is shuffled.
 
-A line fails as **punctuation** if it has no sentence mark at all, if over a
-tenth of its characters are symbols, or if doubled marks (`!!`, `??`) stand after more
-than one word in four; as **navigation** if it has two or more separators (`|`, `»`, `›`, `•`)
-and as many of them as one per four words; as **boilerplate** if it holds one of a few set
-phrases and at most `BOILERPLATE_WORDS` words. Lines without a word are layout: never counted, kept as they are.
+A line fails as **punctuation** if it is stray, if over a tenth of its characters are symbols,
+or if doubled marks (`!!`, `??`) stand after more than one word in four; as **navigation** if it
+has two or more separators (`|`, `»`, `›`, `•`) and as many of them as one per four words; as
+**boilerplate** if it has at most `BOILERPLATE_WORDS` words, holds one of a few set phrases as whole words, and
+shows a second sign: another phrase, a copyright notice, or that the phrases are over half of its words.
+Lines without a word are layout: never counted, kept as they are.
+
+A line without a sentence mark of any script is stray if it is short and stands alone, or if
+it is longer and each of its words comes twice on average. It does not stand alone if the line
+before it ends within a sentence, if it has two words or more and ends at a comma or colon, if the next line begins in
+lower case, or if the next has no mark either: so lines of wrapped prose, verse, lists and code stay.
+Thai and Lao have no sentence marks, and their lines are never stray.
 
 NULL is a text without words. A document without words fails the base rules.
 """
@@ -26,7 +33,15 @@ WINDOW = 5
 MOST_REPEATED = 20
 SYMBOLS = "#*$%&|<>"
 
-SENTENCE_MARKS = ".!?…。！？"
+# Latin and CJK; then Greek, Armenian, Hebrew, Arabic, Syriac, Indic, Tibetan, Burmese, Ethiopic, Khmer, Mongolian, others.
+SENTENCE_MARKS = ".!?…。！？" + "．｡‼⁇⁈⁉" + "\u037e։׃؟۔܀܁܂।॥།༎။።፧፨។៕᠃᠉᙮꓿꘎꘏"
+# A sentence mark, then nothing but closing quotes, brackets and blanks.
+SENTENCE_END = rf"[{SENTENCE_MARKS}][\p{{Pe}}\p{{Pf}}\p{{Pi}}\"'\s]*$"
+PAUSE_END = r"\S\s+\S.*[,;:、，；：،؛\-–—][\s]*$"
+UNMARKED_SCRIPTS = r"[\u0E00-\u0EFF]"
+# A stray line has at most so many words and fewer than so many characters, or is repetitive.
+SHORT_WORDS = 8
+SHORT_CHARS = 40
 SEPARATORS = "|»›•"
 DOUBLED = ("!!", "??")
 BOILERPLATE = (
@@ -34,6 +49,10 @@ BOILERPLATE = (
     "privacy policy", "cookie", "javascript", "click here", "subscribe to", "sign up", "log in", "lorem ipsum",
 )
 BOILERPLATE_WORDS = 25
+# These are also what clean texts are about: all of them together count as one sign.
+TOPICS = ("copyright", "cookie", "cookies", "javascript")
+PHRASES = rf"(?<![\p{{L}}\p{{N}}])({'|'.join(BOILERPLATE)})(?![\p{{L}}\p{{N}}])".replace("cookie", "cookies?")
+NOTICE = r"©|copyright (\(c\)|\d{4})"
 # A document goes if less than this share of its words is left.
 LEAST_LEFT = 0.5
 
@@ -93,24 +112,52 @@ def unmarked(line: Column) -> Column:
     return ~line.rlike(f"[{SENTENCE_MARKS}]")
 
 
+def alone(lines: Column, i: Column) -> Column:
+    """Whether line `i`, which has no sentence mark, is no part of a sentence, a list or the like with the lines next to it."""
+    before, after = (F.coalesce(F.get(lines, j), F.lit("")) for j in (i - 1, i + 1))
+    prose = lambda line: has_word(line) & (count_of(SEPARATORS, line) < 2)
+    unfinished = prose(before) & ~before.rlike(SENTENCE_END)
+    goes_on = F.get(lines, i).rlike(PAUSE_END) | after.rlike(r"^\s*\p{Ll}") | (prose(after) & unmarked(after))
+    return ~(unfinished | goes_on)
+
+
+def stray(lines: Column, line: Column, i: Column) -> Column:
+    """Whether `line`, number `i` of `lines` and with a word, fails for want of a sentence mark."""
+    short = lambda w: (F.size(w) <= SHORT_WORDS) & (F.length(line) < SHORT_CHARS)
+    repetitive = lambda w: 2 * F.size(F.array_distinct(w)) <= F.size(w)
+    fails = lambda w: F.when(short(w), alone(lines, i)).otherwise(repetitive(w))
+    return unmarked(line) & ~line.rlike(UNMARKED_SCRIPTS) & let(words(line), fails)
+
+
+def is_boilerplate(line: Column, n: Column) -> Column:
+    """Whether a line of `n` words has two signs of boilerplate."""
+    lower = F.lower(line)
+    two_signs = lambda found: (F.size(found) > 0) & (
+        (2 * F.size(words(F.array_join(found, " "))) > n) | lower.rlike(NOTICE)
+        | (F.size(F.array_distinct(F.transform(found, lambda x: F.when(x.isin(*TOPICS), "").otherwise(x)))) > 1))
+    return (n <= BOILERPLATE_WORDS) & contains_any(lower, BOILERPLATE) & let(F.regexp_extract_all(lower, F.lit(PHRASES), F.lit(1)), two_signs)
+
+
 def breaks_a_rule(line: Column) -> Column:
-    """Whether a line that has a word and a sentence mark fails."""
+    """Whether a line that has a word fails, whatever its sentence marks."""
     symbols = 10 * count_of(SYMBOLS, line) > F.length(line)
     left = lambda mark: F.length(F.replace(line, F.lit(mark)))
     doubled = reduce(Column.__add__, [F.length(line) - left(mark) for mark in DOUBLED])  # two characters each
     separators = count_of(SEPARATORS, line)
-    phrase = contains_any(F.lower(line), BOILERPLATE)
-    by_words = lambda n: (2 * doubled > n) | ((separators >= 2) & (4 * separators >= n)) | (phrase & (n <= BOILERPLATE_WORDS))
+    by_words = lambda n: (2 * doubled > n) | ((separators >= 2) & (4 * separators >= n)) | is_boilerplate(line, n)
     return symbols | let(F.size(words(line)), by_words)
 
 
 def good_lines(text: Column) -> Column:
     """The lines that stay. Only a text that has any of the tell-tale strings has all rules tried on each line."""
-    lines = F.split(text, "\n")
     suspect = contains_any(text, SYMBOLS + SEPARATORS) | contains_any(text, DOUBLED) | contains_any(F.lower(text), BOILERPLATE)
-    marked = F.filter(lines, lambda l: ~unmarked(l) | ~has_word(l))
-    ruled = F.filter(lines, lambda l: ~has_word(l) | ~(unmarked(l) | breaks_a_rule(l)))
-    return F.when(suspect, ruled).otherwise(marked)
+
+    def stay(lines: Column) -> Column:
+        unstrayed = F.filter(lines, lambda l, i: ~has_word(l) | ~stray(lines, l, i))
+        ruled = F.filter(lines, lambda l, i: ~has_word(l) | ~(stray(lines, l, i) | breaks_a_rule(l)))
+        return F.when(suspect, ruled).otherwise(unstrayed)
+
+    return let(F.split(text, "\n"), stay)
 
 
 def rules(text: Column) -> Column:

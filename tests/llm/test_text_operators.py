@@ -153,6 +153,34 @@ def test_lines(spark, line, stays):
     assert (kept.text.split("\n")[1:-1] == [line]) == stays and kept.rules == "x"
 
 
+CLEAN = [
+    "The old miller walked slowly down to\nthe river, since he wanted to see\nwhether the boat that his brother had\nleft there was still afloat.",
+    "He had seen Mary walk with her\nmother.",
+    "बहुत समय पहले एक गाँव में एक किसान रहता था।\nवह हर दिन अपने खेत में काम करता था।",
+    "กาลครั้งหนึ่งนานมาแล้ว มีชาวนาคนหนึ่ง อาศัยอยู่ในหมู่บ้าน\nเขาทำงานทุกวัน",
+    "ከረጅም ጊዜ በፊት አንድ ገበሬ ነበር።\nበየቀኑ ይሠራ ነበር።",
+    "You need:\n- two eggs\n- a cup of flour\n- some milk",
+    "def f(x):\n    y = x + 1\n    return y",
+    "She kept the catalog in a drawer.", "They put a log in the fire.", "Each cookie needs ten minutes in the oven.",
+    "JavaScript can read a cookie, and that is what this chapter is about.", "Copyright law was changed in that year.",
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_lines_stay(spark, text):
+    docs = spark.createDataFrame([(1, f"{GOOD}\n{text}\n{MORE}"), (2, f"{GOOD} {MORE}\n\n{text}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_rules.keep_good(docs).collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.mark.parametrize("line", [
+    "Contact us", "Copyright (c) Acme and others.", "© 2020 Acme. All rights reserved.", "Click here to read our privacy policy.", "Please log in.",
+    "ho ho hey hey hum hum ha ha hi hi",
+])
+def test_poor_lines_go(spark, line):
+    docs = spark.createDataFrame([(1, f"{GOOD}\n{line}\n{MORE}")], "doc_id long, text string")
+    assert [r.text for r in line_rules.keep_good(docs).collect()] == [f"{GOOD}\n{MORE}"]
+
+
 def test_documents_that_lose_too_much_go(spark):
     bad = "menu | items | and | more | things\nabout | us | jobs | press | news"
     docs = spark.createDataFrame([(1, f"{GOOD}\n{bad}\n{MORE}"), (2, f"A word. Two.\n{bad}"), (3, None)], "doc_id long, text string")
