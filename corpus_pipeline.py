@@ -7,16 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lendlane.llm import langid_crf, line_rules, mixing, packing, vp_simhash
 from lendlane.llm.common import stored
 
-# Documents whose likeliest language has less than this mean probability are in no language that was learned.
+# Documents whose words have less than this mean probability, each of its own likeliest language, are in none that was learned.
 LEAST_LANGUAGE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those in no known language. Labels of documents that are NULL are left so."""
+    """Drop documents without letters and those in no known language; a mixture of known ones is known.
+
+    Labels of documents that are NULL are left so. If there is no label to learn from, only documents without letters go.
+    """
     columns = docs.columns
-    label, score = _free("lang_pred", columns), _free("lang_score", columns)
-    judged = langid_crf.with_language(docs, langid_crf.learn(docs), label, score)
-    known = (F.col(label) != langid_crf.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE)
+    model = langid_crf.learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    label, score, clear = (_free(name, columns) for name in ("lang_pred", "lang_score", "lang_clear"))
+    judged = langid_crf.with_language(docs, model, label, score, clear)
+    known = (F.col(label) != langid_crf.UNDETERMINED) & (F.col(clear) >= LEAST_LANGUAGE)
     return judged.where(known).select(*columns)
 
 

@@ -326,9 +326,9 @@ class Labeller:
         p = self.model.marginals(self.scores[rows].astype(np.float64), lengths)
         return np.split(p, np.cumsum(lengths)[:-1])
 
-    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Label and score of each text."""
-        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Label and score of each text, and how clear its words are: the mean of each word's best probability."""
+        out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
         group: list[tuple[int, list[str]]] = []
         size = 0
 
@@ -336,7 +336,7 @@ class Labeller:
             for (i, _), p in zip(group, self.word_probabilities([w for _, w in group])):
                 row = p.mean(axis=0)
                 best = int(row.argmax())
-                out[i] = (self.model.labels[best], float(min(1.0, row[best])))
+                out[i] = (self.model.labels[best], float(min(1.0, row[best])), float(min(1.0, p.max(axis=1).mean())))
 
         for i, text in enumerate(texts):
             words = words_of(text) if text else []
@@ -357,10 +357,16 @@ def _labeller(model: Field, name: str) -> Labeller:
     return kept_by_worker(f"langid {name}", lambda: Labeller(model))
 
 
-def with_language(docs: DataFrame, model: Field | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of `docs`, which has `text`, and two more. Names that `docs` has already must not be asked for."""
+def with_language(docs: DataFrame, model: Field | None, label: str = "lang_pred", score: str = "score",
+                  clear: str | None = None) -> DataFrame:
+    """All columns of `docs`, which has `text`, and two or three more. Names that `docs` has already must not be asked for.
+
+    `clear` is the mean over a text's words of each word's best probability, whatever label that is.
+    """
+    added = [(label, StringType(), pa.string()), (score, DoubleType(), pa.float64()), (clear, DoubleType(), pa.float64())]
+    added = added if clear else added[:2]
     if model is None:
-        return docs.withColumns({label: F.lit(UNDETERMINED), score: F.lit(0.0)})
+        return docs.withColumns({name: F.lit(UNDETERMINED if name == label else 0.0) for name, _, _ in added})
     name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -369,10 +375,10 @@ def with_language(docs: DataFrame, model: Field | None, label: str = "lang_pred"
         for batch in batches:
             found = labeller.judge([None if t is None else str(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[*batch.schema.names, label, score])
+                [*batch.columns, *[pa.array([f[k] for f in found], kind) for k, (_, _, kind) in enumerate(added)]],
+                names=[*batch.schema.names, *[name for name, _, _ in added]])
 
-    wider = StructType([*docs.schema.fields, StructField(label, StringType()), StructField(score, DoubleType())])
+    wider = StructType([*docs.schema.fields, *[StructField(name, kind) for name, kind, _ in added]])
     return docs.mapInArrow(judged, wider)
 
 

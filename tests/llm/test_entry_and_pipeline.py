@@ -5,7 +5,7 @@ import pytest
 from llm_tables import SMALL, documents, no_docs, odd_docs  # noqa: F401
 
 import corpus_pipeline
-from lendlane.llm import line_rules
+from lendlane.llm import langid_crf, line_rules
 from lendlane.llm.queries import ORACLES, QUERIES
 
 
@@ -34,6 +34,24 @@ def test_pipeline(spark, documents):
     assert len(kept["language_id"]) > 0.99 * len(ids)
 
 
+def test_mixed_languages_are_known(spark, documents):
+    texts = {r.lang: r.text.split() for r in documents.where("lang is not null").orderBy("doc_id").collect() if len(r.text) > 2000}
+    assert len(texts) > 2
+    mixed = " ".join(w for words in texts.values() for w in words[:40])
+    rows = spark.createDataFrame([(10**6, mixed, None, "x", len(mixed)), (10**6 + 1, "12 345 -", None, "x", 8)], documents.schema)
+    model = langid_crf.learn(documents)
+    assert langid_crf.with_language(rows, model).collect()[0].score < corpus_pipeline.LEAST_LANGUAGE
+    after = corpus_pipeline.language(spark, documents.unionByName(rows), SMALL)
+    assert [r.doc_id for r in after.where("doc_id >= 1000000").collect()] == [10**6]
+
+
+def test_documents_stay_without_labels_to_learn_from(spark, odd_docs):
+    rows = odd_docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    after = corpus_pipeline.language(spark, rows, SMALL)
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    assert sorted(str(r.doc_id) for r in after.collect()) == sorted(str(r.doc_id) for r in rows.collect() if letters(r.text))
+
+
 def test_stages_take_odd_rows(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES[:-1]:
