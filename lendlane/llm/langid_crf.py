@@ -7,8 +7,9 @@ words take the language around them while a real switch within a text is
 followed. Forward-backward gives each word's probability of each label; a
 document's score for a language is the mean over its words.
 
-Learning uses a bounded sample: `DOCS_PER_LABEL` documents of each label, drawn by a hash
-of the id, and from each at most `SEGMENTS` runs of `SEGMENT_WORDS` words. Half of the runs
+Every label is learned. Learning uses a bounded sample: at most `DOCS_PER_LABEL` documents of each label,
+drawn by a hash of the id, fewer where there are more than `FULL_LABELS` labels, which also get fewer slots
+(`sample_size`, `slot_bits`), so that the field and its fitting stay bounded; and from each at most `SEGMENTS` runs of `SEGMENT_WORDS` words. Half of the runs
 make the lexicon; the others are strung together across languages, as in
 code-switched text, and the field is fitted to them by full-batch gradient steps.
 
@@ -37,9 +38,12 @@ UNDETERMINED = "und"
 DOCS_PER_LABEL = 300
 SEGMENTS = 6
 SEGMENT_WORDS = 20
-MOST_LABELS = 64
-# Weights are kept in this many slots by hash.
-SLOTS = 1 << 17
+# Up to this many labels have all slots and documents.
+FULL_LABELS = 32
+LEAST_DOCS = 4
+# Weights are kept in 2 to this power slots by hash.
+SLOT_BITS = 17
+LEAST_SLOT_BITS = 12
 LEXICON_BINS = 4
 STEPS = 40
 RATE = 0.3
@@ -48,6 +52,8 @@ SEED = 11
 # Words a worker remembers, and tokens it works on at once.
 MOST_WORDS = 300_000
 TOKENS_AT_ONCE = 250_000
+# Pairs of labels worked on at once.
+PAIRS_AT_ONCE = 1 << 24
 BLOCK = 32
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -58,7 +64,17 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def slot_bits(n_labels: int) -> int:
+    """Slots are halved with each doubling of the labels beyond `FULL_LABELS`."""
+    return max(LEAST_SLOT_BITS, SLOT_BITS - max(0, (n_labels - 1) // FULL_LABELS).bit_length())
+
+
+def sample_size(n_labels: int, docs_per_label: int) -> int:
+    """Documents a label: words times labels stay bounded, down to `LEAST_DOCS` documents."""
+    return min(docs_per_label, max(LEAST_DOCS, docs_per_label * FULL_LABELS**2 // n_labels**2))
+
+
+def features(words: list[str], bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all features of each word, one after the other, and where each word's begin.
 
     n-grams of one to four letters with the word's ends marked, prefixes and
@@ -75,7 +91,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     def add(kind: int, values: np.ndarray, of: np.ndarray) -> None:
         mixed = (values + np.uint64(kind)) * _PRIME
-        slots.append(((mixed ^ (mixed >> np.uint64(29))) * _PRIME >> np.uint64(64 - 17)).astype(np.int64))
+        slots.append(((mixed ^ (mixed >> np.uint64(29))) * _PRIME >> np.uint64(64 - bits)).astype(np.int64))
         owners.append(of)
 
     gram = np.zeros(len(codes), dtype=np.uint64)
@@ -109,20 +125,26 @@ class Field:
     lexicon: dict[str, int] = field(default_factory=dict)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        slot, start = features(words)
+        slot, start = features(words, slot_bits(len(self.labels)))
         out = np.add.reduceat(self.emission[slot], start, axis=0)
-        return out + self.emission[SLOTS + np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))]
+        slots = 1 << slot_bits(len(self.labels))
+        return out + self.emission[slots + np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))]
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Label probabilities of all words of several texts, whose words follow one another in `scores`.
 
         Texts are cut into blocks. A block's product of potentials carries the
         forward and backward vectors across it, so all blocks are worked on side
-        by side and only the block ends of a text are visited one by one.
+        by side and only the block ends of a text are visited one by one. With
+        many labels the texts are taken in parts, since a block has a square of labels.
         """
         n_labels = len(self.labels)
-        step = np.exp(self.transition - self.transition.max())
         per_text = -(-lengths // BLOCK)
+        if len(lengths) > 1 and per_text.sum() * n_labels**2 > PAIRS_AT_ONCE:
+            half = len(lengths) // 2
+            cut = lengths[:half].sum()
+            return np.concatenate([self.marginals(scores[:cut], lengths[:half]), self.marginals(scores[cut:], lengths[half:])])
+        step = np.exp(self.transition - self.transition.max())
         first = np.cumsum(per_text) - per_text
         text_of = np.repeat(np.arange(len(lengths)), per_text)
         number = np.arange(len(text_of)) - first[text_of]
@@ -205,10 +227,11 @@ def fit(runs: list[tuple[str, list[str]]]) -> Field:
     gold, first = np.array(label), np.array(first)
     first = first[np.diff([*first, len(words)]) > 0]
     lengths = np.diff([*first, len(words)])
-    slot, start = features(known)
+    bits = slot_bits(n_labels)
+    slot, start = features(known, bits)
     slot_owner = np.repeat(np.arange(len(known)), np.diff([*start, len(slot)]))
-    extra = SLOTS + np.array([lexicon.get(w, 0) for w in known])
-    n_rows = SLOTS + 1 + n_labels * LEXICON_BINS
+    extra = (1 << bits) + np.array([lexicon.get(w, 0) for w in known])
+    n_rows = (1 << bits) + 1 + n_labels * LEXICON_BINS
     model = Field(labels, np.zeros((n_rows, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels), lexicon)
     seen = [np.full_like(a, 1e-8) for a in (model.emission, model.transition, model.begin)]
     is_first = np.zeros(len(words), dtype=bool)
@@ -255,8 +278,11 @@ def _pair_counts(model: Field, scores: np.ndarray, lengths: np.ndarray, follows:
         moved /= moved.sum(axis=1, keepdims=True)
         backward[:, t] = np.where(filled[:, t + 1, None], moved, 1.0)
     out = np.zeros((n_labels, n_labels))
-    for t in range(1, most):
-        live = filled[:, t]
+    at_once = max(1, PAIRS_AT_ONCE // n_labels**2)
+    for t, k in ((t, k) for t in range(1, most) for k in range(0, n, at_once)):
+        live = np.flatnonzero(filled[k : k + at_once, t]) + k
+        if not len(live):
+            continue
         both = forward[live, t - 1][:, :, None] * step * (potential[live, t] * backward[live, t])[:, None, :]
         out += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     return out
@@ -267,11 +293,13 @@ def learn(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Field | None
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 30))
     labelled = docs.where("lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), draw.alias("draw"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
+    docs_per_label = sample_size(len(counts), docs_per_label)
     # Twice the wanted number on average; exactly that many are used, lowest draws first.
-    below = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1 << 30, (2 * docs_per_label << 30) // n + 1))) for lang, n in counts.items()])
+    bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, (2 * docs_per_label << 30) // n + 1))])
+    below = bounds[F.col("lang")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,10 +330,12 @@ class Labeller:
     def __init__(self, model: Field):
         self.model = model
         self.known: dict[str, int] = {}
+        # With many labels fewer words at once.
+        self.share = max(1, -(-len(model.labels) // FULL_LABELS))
         self.scores = np.empty((1024, len(model.labels)), dtype=np.float32)
 
     def _rows(self, texts: list[list[str]]) -> np.ndarray:
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > MOST_WORDS // self.share:
             self.known.clear()
         known = self.known
         unknown = [w for w in set().union(*texts) if w not in known]
@@ -345,7 +375,7 @@ class Labeller:
             if words:
                 group.append((i, words))
                 size += len(words)
-                if size >= TOKENS_AT_ONCE:
+                if size >= TOKENS_AT_ONCE // self.share:
                     close()
                     group, size = [], 0
         if group:

@@ -34,6 +34,14 @@ def test_marginals_are_those_of_plain_forward_backward(field):
         assert np.allclose(p, np.exp(both - total(both, 1)[:, None]), atol=1e-9)
 
 
+def test_marginals_in_parts_are_the_same(field, monkeypatch):
+    lengths = np.array([1, 31, 100, 64])
+    scores = np.random.default_rng(0).normal(size=(lengths.sum(), len(field.labels)))
+    whole = field.marginals(scores, lengths)
+    monkeypatch.setattr(langid_crf, "PAIRS_AT_ONCE", 1)
+    assert np.allclose(field.marginals(scores, lengths), whole, atol=1e-12)
+
+
 def test_a_switch_within_a_text_is_followed(field, documents):
     by_lang = {r.lang: langid_crf.words_of(r.text) for r in documents.orderBy("doc_id").collect() if len(r.text) > 2000}
     words = by_lang["en"][:30] + by_lang["fr"][:30]
@@ -60,6 +68,24 @@ def test_languages_of_odd_rows(spark, odd_docs, no_docs, field):
     assert {r.lang_pred for r in langid_crf.predict(unlabelled).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    random = np.random.default_rng(3)
+    letters = [random.choice(list("abcdefghijklmnopqrstuvwxyz"), 6, replace=False) for _ in range(70)]
+    said = [["".join(random.choice(own, 5)) for _ in range(15)] for own in letters]
+    # The last six labels are the rarest.
+    rows = [(100 * k + i, " ".join(random.choice(said[k], 60)), f"l{k:02}") for k in range(70) for i in range(5 if k < 64 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid_crf.learn(docs)
+    assert model.labels == sorted({lang for _, _, lang in rows})
+    rare = docs.where("doc_id >= 6400")
+    assert all(r.lang == r.got for r in langid_crf.with_language(rare, model, "got").collect())
+
+
+def test_many_labels_have_fewer_slots_and_documents():
+    assert [langid_crf.slot_bits(n) for n in (1, 4, 32, 33, 64, 65, 10**6)] == [17, 17, 17, 16, 16, 15, 12]
+    assert [langid_crf.sample_size(n, 300) for n in (1, 32, 64, 1000)] == [300, 300, 75, 4]
+
+
 def test_lattice_sums_over_all_segmentations():
     vocabulary = lattice_lm.Vocabulary()
     random = np.random.default_rng(1)
