@@ -91,8 +91,8 @@ class Codes:
     """Several codes side by side; their filters are numbered through."""
 
     def __init__(self, length: int, filters: int, each: int = FILTERS_EACH):
-        # Two, and one more for each time that there are 16 times as many filters.
-        n = 2 + max(0, int(np.log2(filters / LEAST_FILTERS)) // 4)
+        # Two for the fewest filters, and one more as soon as there are more than that, 16 times as many, and so on.
+        n = 2 + max(0, int(np.ceil(np.log2(filters / LEAST_FILTERS) / 4)))
         self.codes = [Code(length, filters, each, k) for k in range(n)]
 
     def decode(self, vector: np.ndarray) -> np.ndarray:

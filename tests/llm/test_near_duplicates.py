@@ -135,3 +135,17 @@ def test_recall_at_the_threshold():
         listed += len(x)
         total += 1
     assert met / total >= 0.99 and 20 <= listed / total <= 50
+
+
+@pytest.mark.parametrize("filters", [4097, 1 << 16, 1 << 20])
+def test_recall_around_steps_in_the_number_of_codes(filters):
+    random = np.random.default_rng(4)
+    code = cap_filters.Codes(64, filters)
+    met = 0
+    for _ in range(1500):
+        a, b = random.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        met += len(np.intersect1d(code.decode(a), code.decode(0.93 * a + np.sqrt(1 - 0.93**2) * b))) > 0
+    assert met / 1500 >= 0.99
