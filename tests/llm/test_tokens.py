@@ -101,6 +101,11 @@ def test_packing_is_tight_and_whole(lengths):
     assert sequence.max() + 1 <= least * 1.005 + 1
 
 
+def test_grouped_lengths_share_a_sequence_by_two_at_most():
+    # What the README says of configurations.
+    assert 3 * (int(packing.CAPACITY * packing.SMALL_SHARE) + 1) > packing.CAPACITY
+
+
 def test_configurations_use_every_group_up():
     sizes, counts = np.array([100, 700, 900, 1300]), np.array([5, 4, 3, 2])
     used = np.zeros(4, int)
