@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lendlane.llm import cap_filters, chat_prefix, langid_crf, lattice_lm, line_rules, mixing, packing, token_counts, token_files, vp_simhash
+from lendlane.llm import (
+    cap_filters, chat_prefix, cover_tree_codes, fim_rank, langid_crf, lattice_lm, line_rules, mixing, packing, piecewise_hash,
+    token_counts, token_files, vp_simhash,
+)
 from lendlane.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +161,89 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words_left >= 0.5 * n_words AS kept
 FROM figures
 """
+
+
+@query
+def op11_fill_in_middle(spark, d):
+    cut = fim_rank.fill_in_middle(_table(spark, d, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    output, form = F.col("output"), F.col("form")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(output).alias("output_sha256"),
+                      digest(fim_rank.restored(output, form)).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+drawn AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    CAST('0x' || substr(digest, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(digest, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(digest, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(digest, 25, 8) AS BIGINT) AS h4
+  FROM texts),
+placed AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+    greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+cut AS (
+  SELECT *, coalesce(array_to_string(units[1 : a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1 : b], ''), '') AS middle,
+    coalesce(array_to_string(units[b + 1 : n], ''), '') AS suffix
+  FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+@query
+def op12_piecewise_hash(spark, d):
+    return piecewise_hash.compare_with_edited(_table(spark, d, "documents"))
+
+
+@query
+def op13_cover_tree_codes(spark, d):
+    return cover_tree_codes.compress(_table(spark, d, "embeddings"))
+
+
+def _lloyd_sql(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """Lloyd rounds over all vectors and entries, each a step of one statement."""
+    steps = [f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row_no, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+cut AS (
+  SELECT row_no, vec_id, label, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v
+  FROM kept, range({parts}) AS t(part)),
+book0 AS (SELECT part, row_no - 1 AS entry, v FROM cut WHERE row_no <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (
+  SELECT row_no, cut.part, min(struct_pack(d := list_sum(list_transform(list_zip(cut.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := entry)) AS best
+  FROM cut JOIN book{k} b ON cut.part = b.part GROUP BY row_no, cut.part)""")
+        if k < rounds:
+            steps.append(f"""
+sums{k} AS (
+  SELECT cut.part, best.e AS entry, place, sum(v[place]) AS s, count(*) AS n
+  FROM cut JOIN near{k} USING (row_no, part), unnest(range(1, len(v) + 1)) AS t(place) GROUP BY ALL),
+means{k} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v FROM sums{k} GROUP BY part, entry),
+book{k + 1} AS (
+  SELECT part, entry, CAST(coalesce(m.v, b.v) AS BIGINT[]) AS v FROM book{k} b LEFT JOIN means{k} m USING (part, entry))""")
+    return ",".join(steps) + f""",
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}),
+coded AS (
+  SELECT row_no, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY row_no)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (row_no), digest
+"""
+
+
+ORACLES["op13_cover_tree_codes"] = _lloyd_sql()
