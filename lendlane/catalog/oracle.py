@@ -289,6 +289,14 @@ ORACLES["terms_range_join"] = TYPED_EVAL + """, bands(lo, hi, rate, tenure, risk
 SELECT s.score, application_id, rate AS estimated_interest_rate, tenure AS maximum_tenure, risk_category,
   CASE WHEN s.score >= 80 THEN '0.5% - 1.0%' ELSE '1.0% - 2.0%' END AS processing_fee
 FROM scored s JOIN bands ON s.score >= lo AND s.score < hi"""
+ORACLES["terms_interval_join"] = ORACLES["terms_range_join"]
+ORACLES["orders_in_bands"] = """
+WITH bands AS (
+  SELECT n_nationkey AS band, CASE WHEN n_nationkey % 9 <> 4 THEN CAST(n_nationkey * 20000.25 AS DECIMAL(18, 2)) END AS low,
+    CASE WHEN n_nationkey % 11 <> 7 THEN CAST(n_nationkey * 20000.25 + n_nationkey % 5 * 9000.5 + n_nationkey % 3 * 70 AS DECIMAL(18, 2)) END AS high
+  FROM nation),
+priced AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders)
+SELECT o_orderkey, band FROM priced LEFT JOIN bands ON (low IS NULL OR price >= low) AND (high IS NULL OR price <= high)"""
 ORACLES["reasons_and_steps"] = TYPED_EVAL + """SELECT application_id, array_to_string(reasons, ' | ') AS reasons,
   coalesce(step, '') AS next_steps FROM evaluated"""
 ORACLES["raw_eligibility"] = RAW_EVAL + """SELECT application_id, stage, eligibility, score,
@@ -501,6 +509,9 @@ WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id,
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM pairs)
 """
+ORACLES["index_recall"] = """
+SELECT count(*) AS questions, 3 * count(*) AS found, CAST(0 AS BIGINT) AS wrong_distances, true AS nine_in_ten_found, true AS few_rows_measured
+FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL"""
 ORACLES["knn_exact"] = NEIGHBOURS + "SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 3"
 ORACLES["knn_blocked"] = ORACLES["knn_exact"]
 _SIGNS = directions(inputs.EMBEDDING_WIDTH).tolist()
@@ -681,13 +692,27 @@ KPIS = ctes(("log", AUDIT), ("s", """SELECT count(*) AS total, count(*) FILTER (
     sum(coalesce(latency, 0)) AS latency_sum FROM log""")) + """
 SELECT total, eligible, conditional, not_eligible, CAST(coalesce(round(100e0 * eligible / nullif(total, 0)), 0) AS BIGINT) AS approval_rate, violations,
   total - violations AS compliant, coalesce(round(latency_sum / nullif(total, 0), 2), 0e0) AS avg_latency FROM s"""
+ORACLES["audit_upsert"] = ORACLES["audit_latest"]
 ORACLES["kpi_summary"] = KPIS
+ORACLES["kpi_from_days"] = KPIS
+ORACLES["kpi_by_day"] = ctes(("log", AUDIT)) + """
+SELECT coalesce(substr(timestamp, 1, 10), 'none') AS log_day, count(*) AS total, count(*) FILTER (decision = 'Eligible') AS eligible,
+  count(*) FILTER (decision = 'Conditionally Eligible') AS conditional, count(*) FILTER (decision = 'Not Eligible') AS not_eligible,
+  count(*) FILTER (contains(guardrail_status, 'Blocked') OR contains(guardrail_status, 'Violation')) AS violations,
+  round(sum(coalesce(latency, 0e0)), 6) AS latency_sum FROM log GROUP BY 1"""
+ORACLES["kpi_latest_stream"] = ctes(("log", AUDIT), ("last", """SELECT * FROM (SELECT *, row_number() OVER (
+    PARTITION BY session_id ORDER BY timestamp DESC NULLS LAST, decision DESC NULLS LAST, guardrail_status DESC NULLS LAST, latency DESC NULLS LAST) AS rn
+    FROM log) WHERE rn = 1"""), ("s", """SELECT count(*) AS total, count(*) FILTER (decision = 'Eligible') AS eligible,
+    count(*) FILTER (decision = 'Conditionally Eligible') AS conditional, count(*) FILTER (decision = 'Not Eligible') AS not_eligible,
+    count(*) FILTER (contains(guardrail_status, 'Blocked') OR contains(guardrail_status, 'Violation')) AS violations,
+    sum(coalesce(latency, 0)) AS latency_sum FROM last""")) + KPIS[KPIS.rindex("SELECT total, eligible"):]
 ORACLES["kpi_refresh_stream"] = KPIS
 ORACLES["decision_distribution"] = ctes(("log", AUDIT), ("buckets(position, decision, name)", "VALUES " + ", ".join(
     f"(CAST({i + 1} AS BIGINT), {q(d)}, {q(n)})" for i, (d, n) in enumerate(BUCKETS)))) + """
 SELECT position, name, (SELECT count(*) FROM log WHERE log.decision = buckets.decision) AS count FROM buckets"""
 ORACLES["recent_transactions"] = ctes(("log", AUDIT)) + """
 SELECT application_id, timestamp, decision, guardrail_status, latency FROM log ORDER BY timestamp DESC, application_id DESC LIMIT 10"""
+ORACLES["recent_from_days"] = ORACLES["recent_transactions"]
 
 # --- conversations -----------------------------------------------------------
 

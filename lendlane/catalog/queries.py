@@ -15,16 +15,17 @@ from lendlane.functions import finance
 from lendlane.functions.employment import normalize_employment
 from lendlane.functions.numbers import parse_number, safe_float, safe_int
 from lendlane.functions.text import clamp_text
-from lendlane.operators import chat, chunk, decide, guards, history, report, retrieve, validate
+from lendlane.operators import chat, chunk, decide, guards, history, report, retrieve, validate, vector_index
 from lendlane.operators.applicants import Applicants, key_factors
 from lendlane.operators.embed import Embedder
 from lendlane.operators.hashed_nearest import nearest_hashed
 from lendlane.operators.nearest import nearest
-from lendlane.plans import assess as assessing, corpus as corpora, kpi
+from lendlane.operators.range_join import range_join
+from lendlane.plans import assess as assessing, corpus as corpora, kpi, kpi_days
 from lendlane.plans.followup import followup_prompts
 from lendlane.plans.tool import evaluate_json
 from lendlane.session import shared_folder
-from lendlane.sources import audit, customers, payload, rules, tables
+from lendlane.sources import audit, customers, keyed, payload, rules, tables
 from lendlane.streaming import chunk_sync, kpi_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +167,24 @@ def terms_range_join(spark, d):
     return decide.terms_by_band_join(scored).withColumn("score", F.col("score").cast("bigint"))
 
 
+@query
+def terms_interval_join(spark, d):
+    scored = _kept(decide.score_applicants(inputs.applicants(spark, d)).select("application_id", "score"), "scores")
+    return decide.terms_by_interval_join(scored).withColumn("score", F.col("score").cast("bigint"))
+
+
+@query
+def orders_in_bands(spark, d):
+    # A band for each nation: overlapping, of very different widths, some a point, some open at an end, with decimal bounds.
+    bands = inputs.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("band"),
+        F.expr("CASE WHEN n_nationkey % 9 <> 4 THEN CAST(n_nationkey * 20000.25 AS DECIMAL(18, 2)) END").alias("band_low"),
+        F.expr("""CASE WHEN n_nationkey % 11 <> 7 THEN CAST(n_nationkey * 20000.25 + n_nationkey % 5 * 9000.5
+                                                           + n_nationkey % 3 * 70 AS DECIMAL(18, 2)) END""").alias("band_high"))
+    orders = inputs.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    return range_join(orders, bands, "price", "band_low", "band_high", "left", "o_orderkey").select("o_orderkey", "band")
+
+
 @query
 def reasons_and_steps(spark, d):
     return decide.evaluate(inputs.applicants(spark, d)).select("application_id", _listed("reasons"), _listed("next_steps"))
@@ -352,6 +371,37 @@ def knn_hashed(spark, d):
     return found.select("query_id", _long("rank"), "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+def _indexed(spark, d):
+    """The table of vectors, an index over all of it, and every hundredth of its rows as questions."""
+    vectors = inputs.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    folder = shared_folder(spark, "vector-index")
+    model = vector_index.build(vectors, folder)
+    return vectors, folder, model, vectors.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+
+
+@query
+def knn_indexed(spark, d):
+    _, folder, _, asked = _indexed(spark, d)
+    found = vector_index.search(spark, folder, asked, skip_same=True)
+    return found.select("query_id", _long("rank"), "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def index_recall(spark, d):
+    # What the index found, held against an exact search and against the vectors themselves.
+    vectors, folder, model, asked = _indexed(spark, d)
+    found = _kept(vector_index.search(spark, folder, asked, skip_same=True), "found")
+    recall = vector_index.recall(found, nearest(asked, vectors, skip_same=True))
+    other = asked.select("query_id", F.col("embedding").alias("q_embedding"))
+    pairs = found.join(vectors, "chunk_id").join(other, "query_id")
+    squares = F.aggregate(F.zip_with("embedding", "q_embedding", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)),
+                          F.lit(0.0), lambda total, x: total + x)
+    wrong = F.abs(F.sqrt(squares) - F.col("distance")) > 1e-9
+    return pairs.agg(F.count_distinct("query_id").alias("questions"), F.count("*").alias("found"), F.count_if(wrong).alias("wrong_distances")).select(
+        "questions", "found", "wrong_distances", F.lit(recall >= 0.9).alias("nine_in_ten_found"),
+        F.lit(model.shortlist < 0.2 * model.indexed_rows).alias("few_rows_measured"))
+
+
 @query
 def retrieval_confidence(spark, d):
     means = _neighbours(spark, d).groupBy("query_id").agg(F.avg("distance").alias("mean_distance"))
@@ -453,6 +503,43 @@ def audit_latest(spark, d):
     return audit.latest(log, key="session_id").select("session_id", "application_id", "timestamp", "decision", "latency")
 
 
+@query
+def audit_upsert(spark, d):
+    # Two batches on one key, merged into a stored table; the first one comes a second time, too late to change anything.
+    log = inputs.audit_rows(spark, d)
+    folder = shared_folder(spark, "audit-by-key")
+    batches = {name: log.where(F.col("application_id").cast("bigint") % 2 == odd) for name, odd in (("first", 0), ("second", 1))}
+    for name in ("first", "second", "first"):
+        keyed.upsert(batches[name], folder, name, key="session_id", buckets=16)
+    return keyed.read(spark, folder).select("session_id", "application_id", "timestamp", "decision", "latency")
+
+
+def _days(spark, d):
+    """The log by day in two batches, counted after each."""
+    log, counters = shared_folder(spark, "log-by-day"), shared_folder(spark, "day-counters")
+    rows = inputs.audit_rows(spark, d)
+    for odd in (0, 1):
+        kpi_days.append_by_day(rows.where(F.col("application_id").cast("bigint") % 2 == odd), log, f"batch-{odd}")
+        kpi_days.refresh(spark, log, counters)
+    return log, counters
+
+
+@query
+def kpi_from_days(spark, d):
+    return kpi_days.days_summary(spark, _days(spark, d)[1])
+
+
+@query
+def kpi_by_day(spark, d):
+    days = kpi_days.by_day(spark, _days(spark, d)[1])
+    return days.withColumn("latency_sum", F.round("latency_sum", 6))
+
+
+@query
+def recent_from_days(spark, d):
+    return kpi_days.recent_from_days(spark, *_days(spark, d))
+
+
 @query
 def kpi_summary(spark, d):
     return kpi.kpi_summary(inputs.audit_rows(spark, d))
@@ -519,6 +606,13 @@ def kpi_refresh_stream(spark, d):
     return kpi_stream.refresh_kpis(spark, inputs.audit_from_events(_stream_of(spark, d, "events")))
 
 
+@query
+def kpi_latest_stream(spark, d):
+    # An application is a session here, so that later rows of one replace earlier ones.
+    rows = inputs.audit_from_events(_stream_of(spark, d, "events")).drop("application_id", "customer_input")
+    return kpi_stream.refresh_latest_kpis(spark, rows, key="session_id")
+
+
 @query
 def chunk_sync_stream(spark, d):
     # Each passage arrives; then a third is rewritten, a stale change comes late, and a seventh is taken out.

@@ -16,6 +16,7 @@ from lendlane.functions.employment import employment_points
 from lendlane.functions.text import literals, present
 from lendlane.operators.applicants import Applicants, key_factors
 from lendlane.operators.validate import sanity_errors
+from lendlane.operators.range_join import range_join
 
 # Wording of the outcomes that have no entry in the rules.
 MISSING_REASON = "Required data is missing or invalid format."
@@ -290,3 +291,18 @@ def terms_by_band_join(df: DataFrame) -> DataFrame:
     scores = spark.range(0, 101).select(F.col("id").cast("int").alias("score"))
     bands = scores.withColumn("terms", finance.loan_terms(F.col("score"))).select("score", "terms.*")
     return df.join(F.broadcast(bands), "score", "left")
+
+
+def term_bands(spark) -> DataFrame:
+    """The bands of indicative terms as a table: from `band_low` to below `band_high`, open at both ends of the scale."""
+    cuts = sorted({band[0] for band in finance.TERM_BANDS[:-1]} | {finance.FEE_CUT})
+    rows = list(zip([None, *cuts], [*cuts, None]))
+    bands = spark.createDataFrame(rows, "band_low int, band_high int")
+    inside = F.coalesce(F.col("band_low"), F.lit(cuts[0] - 1))
+    return bands.withColumn("terms", finance.loan_terms(inside)).select("band_low", "band_high", "terms.*")
+
+
+def terms_by_interval_join(df: DataFrame, bands: DataFrame | None = None, key: str = "application_id") -> DataFrame:
+    """The indicative terms by joining scores of any kind, fractions too, to the bands that hold them."""
+    bands = term_bands(df.sparkSession) if bands is None else bands
+    return range_join(df, bands, "score", "band_low", "band_high", "left", key, closed="left").drop("band_low", "band_high")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.text import present
 from lendlane.operators.embed import Embedder
+from lendlane.operators import vector_index
 from lendlane.operators.nearest import nearest
 from lendlane.operators.skew import join_unique
 
@@ -83,16 +84,21 @@ def gather(neighbours: DataFrame, query_id: str, text: str = "text", fixed_confi
     return grouped.select(query_id, _result(F.array_join(documents, "\n\n"), documents, confidence).alias("retrieved"))
 
 
-def by_vector(df: DataFrame, query: str, corpus: DataFrame, embedder: Embedder, spread_by: str, k: int = TOP_K,
-              fixed_confidence: bool = False, **nearest_options) -> DataFrame:
+def by_vector(df: DataFrame, query: str, corpus: DataFrame | None, embedder: Embedder, spread_by: str, k: int = TOP_K,
+              fixed_confidence: bool = False, index: str | None = None, **nearest_options) -> DataFrame:
     """Add `retrieved` to every row of `df` by the text in column `query`.
 
+    `index` names a stored `vector_index` of the corpus, with its texts, to ask instead of searching the whole corpus.
+
     Equal questions are asked once: applications differ far more than the
     questions about them. The answers are joined back on the question, which may
     well be a hot key, hence the skew-proof join; `spread_by` tells the rows of one question apart.
     """
     questions = embedder.embed(df.select(query).where(F.col(query).isNotNull()).distinct(), query)
-    found = nearest(questions, corpus, k, query_id=query, carry=("text",), **nearest_options)
+    if index is None:
+        found = nearest(questions, corpus, k, query_id=query, carry=("text",), **nearest_options)
+    else:
+        found = vector_index.search(df.sparkSession, index, questions, k, query, carry=("text",), **nearest_options)
     answers = gather(found, query, fixed_confidence=fixed_confidence)
     joined = join_unique(df, answers, query)
     nothing = _result(F.lit(NOTHING_FOUND), F.array().cast("array<string>"), F.lit(0.0))
@@ -108,6 +114,6 @@ def retrieve(df: DataFrame, query: str, backend: str = KEYWORD, corpus: DataFram
         return by_keyword(df, F.col(query))
     if backend not in (VECTORS, INDEX):
         raise ValueError(f"no such backend: {backend}")
-    if corpus is None or embedder is None:
+    if (corpus is None and options.get("index") is None) or embedder is None:
         raise ValueError(f"{backend} needs a corpus and its embedder")
     return by_vector(df, query, corpus, embedder, spread_by, fixed_confidence=backend == INDEX, **options)

@@ -20,25 +20,39 @@ def is_violation(status: Column) -> Column:
     return F.contains(status, F.lit(VIOLATION_MARKS[0])) | F.contains(status, F.lit(VIOLATION_MARKS[1]))
 
 
-def kpi_summary(log: DataFrame) -> DataFrame:
-    """One row; zeros for an empty log. Partial sums per task, so only counters are shuffled."""
+# Counters that add up over parts of a log; `figures` are worked out from their sums.
+COUNTERS = ("total", "eligible", "conditional", "not_eligible", "violations", "latency_sum")
+
+
+def counted() -> list[Column]:
+    """The counters as aggregates. Partial sums per task, so only counters are shuffled."""
     decision = F.col("decision")
-    sums = log.agg(
+    return [
         F.count("*").alias("total"),
         F.count_if(decision == "Eligible").alias("eligible"),
         F.count_if(decision == "Conditionally Eligible").alias("conditional"),
         F.count_if(decision == "Not Eligible").alias("not_eligible"),
         F.count_if(is_violation(F.col("guardrail_status"))).alias("violations"),
         F.sum(F.coalesce(F.col("latency"), F.lit(0.0))).alias("latency_sum"),
-    )
+    ]
+
+
+def figures(sums: DataFrame) -> DataFrame:
+    """The figures of one row of counters; zeros where nothing was counted."""
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return sums.select(
-        "total", "eligible", "conditional", "not_eligible",
+        *[whole(c) for c in ("total", "eligible", "conditional", "not_eligible")],
         F.coalesce(F.round(F.try_divide(100.0 * F.col("eligible"), F.col("total"))), F.lit(0.0)).cast("bigint").alias("approval_rate"),
-        "violations", (F.col("total") - F.col("violations")).alias("compliant"),
+        whole("violations"), F.coalesce(F.col("total") - F.col("violations"), F.lit(0)).cast("bigint").alias("compliant"),
         F.coalesce(F.round(F.try_divide(F.col("latency_sum"), F.col("total")), 2), F.lit(0.0)).alias("avg_latency"),
     )
 
 
+def kpi_summary(log: DataFrame) -> DataFrame:
+    """One row; zeros for an empty log."""
+    return figures(log.agg(*counted()))
+
+
 def decision_distribution(log: DataFrame) -> DataFrame:
     """The three buckets in fixed order, zero-filled: one pass over the log, then three rows."""
     counts = log.agg(*[F.count_if(F.col("decision") == d).alias(f"n{i}") for i, (d, _) in enumerate(BUCKETS)])
