@@ -13,7 +13,6 @@ at random to shards of bounded size, and each shard is packed in one task:
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lendlane.llm.common import kept_by_worker, stored
-from lendlane.llm.word_bpe import WordBpe
+from lendlane.llm.word_bpe import TEXTS_AT_ONCE, WordBpe, with_end
 
 CAPACITY = 2048
 # Pieces in a shard. Each shard may end with a sequence that is not full.
@@ -138,22 +137,23 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int =
 
     One row per piece. A document without text is one piece that holds the end id only.
     """
-    end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept_by_worker(f"bpe {vocabulary}", lambda: WordBpe(vocabulary))
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                some = batch.slice(begin, 2000)
-                rows = []
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), bpe.encode(some.column("text").to_pylist())):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            for begin in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(begin, TEXTS_AT_ONCE)
+                ids, counts = with_end(*bpe.encode_arrays(some.column("text")), end_id)
+                n_pieces = -(-counts // capacity)
+                owner = np.repeat(np.arange(len(counts)), n_pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                start = piece * capacity
+                length = np.minimum(counts[owner] - start, capacity)
+                raw, ends = memoryview(ids).cast("B"), (4 * np.cumsum(length)).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                     pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES)

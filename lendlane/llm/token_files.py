@@ -15,7 +15,7 @@ Ranks are taken over all ids of the block: the commonest 256 ids cost a byte and
 two bits. Because a block carries its own ranks, one pass over the corpus is
 enough, and a lost task is written again without the others.
 
-Documents are in ascending `doc_id` order (NULL first, equal ids by text); a
+Documents are in ascending `doc_id` order (NULL first, equal ids by the beginning of their texts, then as they were stored); a
 document without text holds the end id only. Empty input gives no blocks.
 """
 
@@ -31,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendlane.llm.common import kept_by_worker, shuffle_partitions
-from lendlane.llm.word_bpe import WordBpe
+from lendlane.llm.word_bpe import TEXTS_AT_ONCE, WordBpe, with_end
 
 MAGIC = b"FRB1"
 HEADER = "<4sQQQQI"
 # A block is closed by the document that brings it to this many ids.
 BLOCK_IDS = 1 << 20
+# Characters of a text by which rows of one id are dealt.
+HEAD = 32
 BLOCKS = "part int, seq int, first_in_part long, n_docs long, n_ids long, block binary"
 
 # For each control byte: which of 4 x 4 bytes its four ranks fill.
@@ -44,9 +46,9 @@ _WIDTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
 FILLED = (np.arange(4) <= _WIDTHS[:, :, None]).reshape(256, 16)
 
 
-def encode_block(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
-    """One block of documents, each given by its ids as little-endian unsigned 32-bit integers."""
-    ids = np.frombuffer(b"".join(documents), dtype="<u4")
+def encode_block(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    """One block of documents: all their ids, one after the other, and how many each has."""
+    ids = ids.astype("<u4", copy=False)
     found, counts = np.unique(ids, return_counts=True) if len(ids) < 4096 else _counted(ids)
     order = np.argsort(-counts, kind="stable")
     ranked = found[order]
@@ -62,7 +64,7 @@ def encode_block(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
     body = b"".join([
         np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
         np.array([d is None for d in doc_ids], dtype=np.uint8).tobytes(),
-        np.array([len(d) // 4 for d in documents], dtype="<u8").tobytes(),
+        lengths.astype("<u8").tobytes(),
         ranked.astype("<u4").tobytes(), control.tobytes(), data,
     ])
     return struct.pack(HEADER, MAGIC, len(doc_ids), len(ids), len(ranked), len(data), zlib.crc32(body)) + body
@@ -101,35 +103,42 @@ def decode_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 def write(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 2,
           block_ids: int = BLOCK_IDS) -> None:
     """Encode the texts of `docs` (`doc_id`, `text`) and write them in `doc_id` order."""
-    end = struct.pack("<I", end_id)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept_by_worker(f"bpe {vocabulary}", lambda: WordBpe(vocabulary))
         part = TaskContext.get().partitionId()
-        doc_ids, documents, n_ids, before, seq = [], [], 0, 0, 0
-
-        def closed() -> pa.RecordBatch:
-            row = [part, seq, before, len(doc_ids), n_ids, encode_block(doc_ids, documents)]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        before, seq = 0, 0
+        # Documents of the block that is still open.
+        doc_ids: list[int | None] = []
+        ids, lengths = np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+
+        def closed(n_docs: int) -> pa.RecordBatch:
+            """The first of the documents as a block; the others stay."""
+            nonlocal doc_ids, ids, lengths, before, seq
+            n_ids = int(lengths[:n_docs].sum())
+            row = [part, seq, before, n_docs, n_ids, encode_block(doc_ids[:n_docs], ids[:n_ids], lengths[:n_docs])]
+            doc_ids, ids, lengths, before, seq = doc_ids[n_docs:], ids[n_ids:], lengths[n_docs:], before + n_ids, seq + 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, kinds)], names=["part", "seq", "first_in_part", "n_docs", "n_ids", "block"])
 
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                some = batch.slice(start, 2000)
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), bpe.encode(some.column("text").to_pylist())):
-                    doc_ids.append(doc_id)
-                    documents.append(ids + end)
-                    n_ids += len(ids) // 4 + 1
-                    if n_ids >= block_ids:
-                        yield closed()
-                        doc_ids, documents, n_ids, before, seq = [], [], 0, before + n_ids, seq + 1
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(start, TEXTS_AT_ONCE)
+                more, counts = with_end(*bpe.encode_arrays(some.column("text")), end_id)
+                doc_ids += some.column("doc_id").to_pylist()
+                ids, lengths = np.concatenate([ids, more]), np.concatenate([lengths, counts])
+                while len(ids) >= block_ids:
+                    yield closed(int(np.searchsorted(np.cumsum(lengths), block_ids)) + 1)
         if doc_ids:
-            yield closed()
+            yield closed(len(doc_ids))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The number is given, so that partitions stay as dealt: their order is the order of the ids.
-    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The number is given, so that partitions stay as dealt: their order is the order of the ids. Rows of one id, or without
+    # one, are dealt by text, and equal rows one by one.
+    rows = rows.withColumns({"head": F.substring("text", 1, HEAD), "row": F.monotonically_increasing_id()})
+    order = ["doc_id", "head", "row"]
+    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(blocks, BLOCKS).write.parquet(folder)
 
 
@@ -145,10 +154,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for part, first, block in zip(*(batch.column(c).to_pylist() for c in ("part", "first_in_part", "block"))):
                 doc_ids, lengths, ids = decode_block(block)
                 ends = np.cumsum(lengths)
-                raw = ids.tobytes()
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(doc_ids, pa.int64()), pa.array(ends - lengths + starts[part] + first, pa.int64()),
-                    pa.array([raw[4 * (e - n) : 4 * e] for n, e in zip(lengths.tolist(), ends.tolist())], pa.binary()),
+                    pa.array(doc_ids, pa.int64()), pa.array(ends - lengths + starts[part] + first, pa.int64()), raw,
                 ], names=["doc_id", "start", "ids"])
 
     return blocks.select("part", "first_in_part", "block").mapInArrow(documents, "doc_id long, start long, ids binary")

@@ -1,96 +1,195 @@
-"""The word-end BPE of the `tokenizers` library over many texts: what a word becomes is asked once and remembered."""
+"""The word-end BPE of the `tokenizers` library over many texts: what a word becomes is asked once and remembered.
+
+Texts are cut into words by Arrow, a whole batch at a time, and only distinct words are looked at one by one; the ids
+of all texts are then gathered from the distinct words' ids by numpy.
+"""
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from lendlane.llm.common import tokenizer_file
 
-# Texts of only these characters are cut into words here. None of them changes
+# Texts without any of these are cut into words here. No other character changes
 # under NFC, each has one lower-case form, and their letters are Latin-1.
-PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+NOT_PLAIN = "[^\t\n\r -~À-ÖØ-öø-ÿ]"
 # Fixed value: the vocabulary's own pattern, its classes spelled out for the characters above.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+)"
 # Begins each special token of the vocabulary, which the library cuts out of the raw text.
 SPECIAL = "<|"
-# Words remembered by a worker; with more, it forgets all and begins anew (about 200 bytes a word).
-MOST_WORDS = 500_000
-TEXTS_AT_ONCE = 1000
-CHARACTERS_AT_ONCE = 4_000_000
+# Bytes of words and ids that a worker remembers; with more, it forgets all and begins anew. Longer words are not remembered.
+MOST_BYTES = 128 << 20
+LONGEST_WORD = 64
+TEXTS_AT_ONCE = 8000
+BYTES_AT_ONCE = 12_000_000
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Some runs of `values`, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
+def _numbered(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each string among the distinct ones, and these."""
+    encoded = strings.dictionary_encode()
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
 
 
 class WordBpe:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, exactly as the library gives them."""
+    """Ids of whole texts, exactly as the library gives them."""
 
-    def __init__(self, vocabulary: str = "word_bpe_49k.json", most_words: int = MOST_WORDS):
+    def __init__(self, vocabulary: str = "word_bpe_49k.json", most_bytes: int = MOST_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = tokenizer_file(vocabulary)
         self.whole = Tokenizer.from_file(path)
-        # The same model for words that are cut and lower-cased already, with blanks between them.
+        # The same model for words that are cut, lower-cased and spelled in the library's letters for bytes, with blanks between them.
         self.words = Tokenizer.from_file(path)
         self.words.normalizer = normalizers.Sequence([])
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The letter that stands for each byte of the characters that occur; a blank stays one.
+        self.spelled = np.arange(256, dtype="<u4")
+        for c in range(0xC0, 0x100):
+            self.spelled[list(chr(c).encode())] = [ord(x) for x in letters.pre_tokenize_str(chr(c))[0][0]]
         # Only the last token of a word carries the word-end mark.
         ids = self.words.get_vocab()
         self.is_last = np.zeros(max(ids.values()) + 1, dtype=bool)
         self.is_last[[i for token, i in ids.items() if token.endswith(self.words.model.end_of_word_suffix)]] = True
-        self.most_words = most_words
-        self.known: dict[str, bytes] = {}
+        self.most_bytes = most_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.values = np.empty(0, dtype="<u4")
+        self.starts = self.lengths = np.empty(0, dtype=np.int64)
+        #: An estimate of the bytes held: a string, its entry, its ids.
+        self.held = 0
 
-    def _learn(self, words: list[str]) -> None:
+    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by the library, one after the other, and how many each has."""
         if not words:
-            return
-        encoded = self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(encoded.ids, dtype="<u4")
-        ends = (4 * (np.flatnonzero(self.is_last[ids]) + 1)).tolist()
+            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+        joined = " ".join(words)
+        if not joined.isascii():
+            joined = self.spelled[np.frombuffer(joined.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.is_last[ids]) + 1
         if len(ends) != len(words):
             raise ValueError("the vocabulary does not mark the ends of words")
-        raw = ids.tobytes()
-        self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def _some(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.most_words:
-            self.known.clear()
-        cut, odd = {}, []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if PLAIN.fullmatch(text) and SPECIAL not in text:
-                cut[i] = text.lower().split()
-            else:
-                odd.append(i)
-        # Looked up among a few distinct words first: the memory of all words is far larger than a processor's cache.
-        here = list(set().union(*cut.values()))
-        known = self.known
-        local = dict(zip(here, map(known.get, here)))
-        unknown = [w for w, ids in local.items() if ids is None]
-        mixed = {w: PIECES.findall(w) for w in unknown if not w.isalpha()}
-        alone = {w for w in unknown if w not in mixed}.union(*mixed.values())
-        self._learn([w for w in alone if w not in known])
-        for word, pieces in mixed.items():
-            known[word] = b"".join([known[p] for p in pieces])
-        for word in unknown:
-            local[word] = known[word]
-        out = [b""] * len(texts)
-        for i, words in cut.items():
-            out[i] = b"".join(map(local.__getitem__, words))
-        for i, encoded in zip(odd, self.whole.encode_batch([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.array(encoded.ids, dtype="<u4").tobytes()
-        return out
+        return ids, np.diff(ends, prepend=0)
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+
+    def _remember(self, words: list[str], values: np.ndarray, lengths: np.ndarray) -> None:
+        """Keep the ids of words that are not known yet."""
+        starts = np.cumsum(lengths) - lengths
+        short = np.fromiter(map(len, words), np.int64, len(words)) <= LONGEST_WORD
+        kept = [w for w, s in zip(words, short.tolist()) if s]
+        n = lengths[short]
+        begin = len(self.values) + np.cumsum(n) - n
+        self.known.update(zip(kept, range(len(self.starts), len(self.starts) + len(kept))))
+        self.values = np.concatenate([self.values, gathered(values, starts[short], n)])
+        self.starts, self.lengths = np.concatenate([self.starts, begin]), np.concatenate([self.lengths, n])
+        self.held += 250 * len(kept) + 2 * sum(map(len, kept)) + 4 * int(n.sum())
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words without blanks: a pool of ids, and where each word's begin and how many they are."""
+        listed = words.to_pylist()
+        rows = self._rows(listed)
+        new = np.flatnonzero(rows < 0)
+        if not len(new):
+            return self.values, self.starts[rows], self.lengths[rows]
+        # New words in their pieces, which are asked for once each.
+        spaced = pc.replace_substring_regex(words.take(pa.array(new)), PIECE, r"\1 ")
+        split = pc.ascii_split_whitespace(spaced)
+        at, pieces = _numbered(split.flatten())
+        names = pieces.to_pylist()
+        piece_rows = self._rows(names)
+        unknown = [i for i in np.flatnonzero(piece_rows < 0).tolist() if names[i]]
+        asked = [names[i] for i in unknown]
+        fresh, fresh_lengths = self._library(asked)
+        pool = np.concatenate([self.values, fresh])
+        piece_start, piece_length = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+        here = piece_rows >= 0
+        piece_start[here], piece_length[here] = self.starts[piece_rows[here]], self.lengths[piece_rows[here]]
+        piece_start[unknown] = len(self.values) + np.cumsum(fresh_lengths) - fresh_lengths
+        piece_length[unknown] = fresh_lengths
+        values = gathered(pool, piece_start[at], piece_length[at])
+        upto = np.concatenate([[0], np.cumsum(piece_length[at])])
+        ends = upto[np.asarray(split.offsets)]
+        lengths = np.diff(ends)
+        new_words = [listed[i] for i in new.tolist()]
+        start, length = np.empty(len(listed), dtype=np.int64), np.empty(len(listed), dtype=np.int64)
+        old = rows >= 0
+        start[old], length[old] = self.starts[rows[old]], self.lengths[rows[old]]
+        start[new], length[new] = len(self.values) + ends[:-1] - ends[0], lengths
+        pool = np.concatenate([self.values, values])
+        self._remember(new_words, values, lengths)
+        others = [i for i, p in enumerate(asked) if p not in self.known]
+        begin = np.cumsum(fresh_lengths) - fresh_lengths
+        self._remember([asked[i] for i in others], gathered(fresh, begin[others], fresh_lengths[others]), fresh_lengths[others])
+        return pool, start, length
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.held > self.most_bytes:
+            self._forget()
+        odd = pc.or_(pc.match_substring_regex(texts, NOT_PLAIN), pc.match_substring(texts, SPECIAL)).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        split = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        at, words = _numbered(split.flatten())
+        pool, start, length = self._ids_of(words)
+        upto = np.concatenate([[0], np.cumsum(length[at])])
+        offsets = np.asarray(split.offsets)
+        counts = np.diff(upto[offsets - offsets[0]])
+        ids = gathered(pool, start[at], length[at])
+        if odd.any():
+            found = [np.array(e.ids, dtype="<u4") for e in self.whole.encode_batch(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+            counts[odd] = [len(f) for f in found]
+            together = np.empty(int(counts.sum()), dtype="<u4")
+            is_odd = np.repeat(odd, counts)
+            together[~is_odd] = ids
+            together[is_odd] = np.concatenate(found)
+            ids = together
+        return ids, counts
+
+    def encode_arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has; NULL is an empty text."""
+        texts = pc.fill_null(texts, "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        ids, counts, begin = [np.empty(0, dtype="<u4")], [np.empty(0, dtype=np.int64)], 0
+        while begin < len(texts):
+            before = size[begin - 1] if begin else 0
+            end = int(np.searchsorted(size, before + BYTES_AT_ONCE, side="left"))
+            end = min(max(end, begin + 1), begin + TEXTS_AT_ONCE, len(texts))
+            some = self._some(texts.slice(begin, end - begin))
+            ids.append(some[0])
+            counts.append(some[1])
+            begin = end
+        return np.concatenate(ids), np.concatenate(counts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; NULL is an empty text."""
-        out: list[bytes] = []
-        start = characters = 0
-        for i, text in enumerate(texts):
-            characters += len(text or "")
-            if i + 1 - start >= TEXTS_AT_ONCE or characters >= CHARACTERS_AT_ONCE or i + 1 == len(texts):
-                out += self._some(texts[start : i + 1])
-                start, characters = i + 1, 0
-        return out
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, counts = self.encode_arrays(pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same ids with an end id after each text."""
+    counts = counts + 1
+    out = np.empty(int(counts.sum()), dtype="<u4")
+    ends = np.cumsum(counts) - 1
+    is_end = np.zeros(len(out), dtype=bool)
+    is_end[ends] = True
+    out[is_end], out[~is_end] = end_id, ids
+    return out, counts

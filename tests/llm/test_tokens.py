@@ -29,10 +29,30 @@ ODD = ["a\nb  c\t d", " a", "a ", "it's don't 'tis !!?,. x", "x\x00y", "\x1cq\x8
 
 def test_words_are_encoded_as_by_the_library(library, documents):
     texts = [r.text for r in documents.select("text").collect()] + ODD
-    bpe = WordBpe(most_words=500)  # forgets again and again
+    bpe = WordBpe(most_bytes=100_000)  # forgets again and again
     assert [np.frombuffer(b, "<u4").tolist() for b in bpe.encode(texts)] == [ids_of(library, t) for t in texts]
 
 
+def test_memory_of_words_is_bounded_in_bytes(library):
+    bpe = WordBpe(most_bytes=1_000_000)
+    random = np.random.default_rng(4)
+    texts = ["".join(chr(97 + c) for c in random.integers(0, 26, n)) for n in (20_000, 65, 64)] * 30
+    assert bpe.encode(texts) == [np.array(ids_of(library, t), "<u4").tobytes() for t in texts]
+    assert all(len(w) <= 64 for w in bpe.known) and len(bpe.known) == 1
+    for k in range(20):
+        bpe.encode([" ".join(f"w{i}x{k}" for i in range(2000))])
+        assert bpe.held < 2_500_000
+
+
+def test_rows_of_one_id_are_dealt_to_several_files(spark):
+    folder = shared_folder(spark, "t")
+    docs = spark.range(4000).selectExpr("7 AS doc_id", "concat('text ', id % 3) AS text")
+    token_files.write(docs, folder)
+    assert spark.read.parquet(folder).select("part").distinct().count() > 2
+    got = sorted(token_files.read(spark, folder).selectExpr("start", "octet_length(ids) div 4 AS n").collect())
+    assert len(got) == 4000 and [r.start for r in got] == [sum(x.n for x in got[:i]) for i in (range(4000))][: len(got)]
+
+
 def test_counts_are_the_librarys(documents):
     from sentencepiece import SentencePieceProcessor
 
@@ -57,14 +77,13 @@ def test_block_round_trip(n):
     random = np.random.default_rng(n)
     ids = (random.zipf(1.2, n) % 70_000_000).astype("<u4")
     cuts = [0, n // 3, n // 3, n]
-    documents = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-    doc_ids, lengths, back = token_files.decode_block(token_files.encode_block([None, -5, 2**40], documents))
-    assert (doc_ids, lengths.tolist()) == ([None, -5, 2**40], [len(d) // 4 for d in documents])
+    doc_ids, lengths, back = token_files.decode_block(token_files.encode_block([None, -5, 2**40], ids, np.diff(cuts)))
+    assert (doc_ids, lengths.tolist()) == ([None, -5, 2**40], np.diff(cuts).tolist())
     assert back.tolist() == ids.tolist()
 
 
 def test_damaged_block_is_refused():
-    block = bytearray(token_files.encode_block([1], [np.arange(9, dtype="<u4").tobytes()]))
+    block = bytearray(token_files.encode_block([1], np.arange(9, dtype="<u4"), np.array([9])))
     block[-1] ^= 1
     with pytest.raises(ValueError):
         token_files.decode_block(bytes(block))
