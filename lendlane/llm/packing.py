@@ -5,14 +5,21 @@ at random to shards of bounded size, and each shard is packed in one task:
 
 1. Large lengths are sorted and cut into groups of equal cardinality; each
    length counts as the largest of its group, so only a few sizes remain.
-2. For the largest size left, the configuration of few sizes that fills a
-   sequence best is found and used as often as the groups can supply it.
-3. Actual pieces take the places of their group, and give back what rounding up cost.
-4. What is left, small pieces above all, goes largest first to the sequence that it fits best.
+2. How often to use which configuration of these sizes is a linear programme, solved by generating
+   configurations: the prices of the sizes ask, as a knapsack, for the best configuration not used yet, until none is worth more
+   than a sequence, to within `GAP`.
+3. Actual pieces take the places of their group, which gives back what rounding up cost; the last place of a sequence goes to the
+   largest piece that fits, or to its group.
+4. What is left, small pieces above all, goes largest first to the sequence that it fits best. Sequences with much
+   room are opened again and their pieces placed anew, as long as that needs no more sequences.
+
+What counts as large is tried at several shares of a sequence, and what needs fewest sequences is kept. Over half a sequence, a
+configuration is one size, and the rest is best fit alone: so no shard needs more sequences than best fit does.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,42 +34,89 @@ from lendlane.llm.word_bpe import TEXTS_AT_ONCE, WordBpe, with_end
 CAPACITY = 2048
 # Pieces in a shard. Each shard may end with a sequence that is not full.
 SHARD_PIECES = 1 << 16
-# Sizes that remain after grouping, and the share of a sequence up to which a piece is small.
-GROUPS = 1024
-SMALL_SHARE = 1 / 3
-
-
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Iterator[tuple[list[int], int]]:
-    """Group numbers that share a sequence, and how many sequences, until all groups are used up.
-
-    `sizes` ascend. A configuration is the largest size left with at most two
-    more, chosen so that least is left over.
-    """
-    left = counts.copy()
+# Sizes that remain after grouping, and the shares of a sequence up to which a piece is small that are tried.
+GROUPS = 64
+SMALL_SHARES = (1 / 8, 1 / 4, 1 / 2)
+# How far above the least possible number of sequences, as a share, the configurations may stay.
+GAP = 5e-4
+# Sequences with more room than these shares are opened again, one share after the other.
+REOPENED = (1 / 2, 1 / 8, 1 / 32, 1 / 128)
+
+
+def dearest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of highest price: how often it has each size. A knapsack, by capacity."""
+    worth = np.zeros((len(sizes) + 1, capacity + 1))
+    for g, (size, price) in enumerate(zip(sizes.tolist(), prices.tolist())):
+        now = worth[g].copy()
+        if price > 0:
+            for _ in range(capacity // size):
+                np.maximum(now[size:], now[:-size] + price, out=now[size:])
+        worth[g + 1] = now
+    chosen, room = np.zeros(len(sizes), dtype=np.int64), capacity
+    for g in range(len(sizes) - 1, -1, -1):
+        while worth[g + 1][room] > worth[g][room] + 1e-12:
+            chosen[g] += 1
+            room -= int(sizes[g])
+    return float(worth[-1][capacity]), chosen
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
+    """Configurations of ascending sizes and how often to use each, in fractions, so that each size occurs as often as it counts."""
+    fits = capacity // sizes
+    found = list(np.diag(fits))
+    inverse, times = np.diag(1 / fits), counts / fits
+    bound = 0.0
     while True:
-        there = np.flatnonzero(left)
-        if not len(there):
-            return
-        top = there[-1]
-        left[top] -= 1
-        there = there[left[there] > 0]
-        room = capacity - sizes[top]
-        first = there[: np.searchsorted(sizes[there], room, side="right")]
-        chosen = [int(top)]
-        if len(first):
-            rest = room - sizes[first]
-            second = np.searchsorted(sizes[first], rest, side="right") - 1
-            # A group with one piece left cannot be both.
-            second = np.where((second >= 0) & (first[second] == first) & (left[first] < 2), second - 1, second)
-            filled = sizes[first] + np.where(second >= 0, sizes[first[second]], 0)
-            best = int(np.argmax(filled))
-            chosen += [int(first[best]), *([int(first[second[best]])] if second[best] >= 0 else [])]
-        left[top] += 1
-        need = np.bincount(chosen)
-        used = np.flatnonzero(need)
-        times = int((left[used] // need[used]).min())
-        left[used] -= times * need[used]
-        yield chosen, times
+        prices = inverse.sum(axis=0)
+        worth, chosen = dearest(sizes, prices, capacity)
+        bound = max(bound, times.sum() / worth)  # no packing of these sizes needs less
+        if worth <= 1 + 1e-9 or bound >= times.sum() * (1 - gap):
+            return [(c, float(t)) for c, t in zip(found, times) if t > 1e-9]
+        # It replaces the configuration that it uses up first.
+        change = inverse @ chosen
+        ratio = np.where(change > 1e-9, times / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(ratio.argmin())
+        step = ratio[out]
+        times = np.maximum(times - step * change, 0)
+        times[out] = step
+        row = inverse[out] / change[out]
+        inverse = inverse - np.outer(change, row)
+        inverse[out] = row
+        found[out] = chosen
+
+
+def substituted(lengths: np.ndarray, large: np.ndarray, sizes: np.ndarray, used: list[tuple[np.ndarray, float]], capacity: int,
+                free_last: bool) -> tuple[np.ndarray, list[int]]:
+    """Actual pieces in the places of configurations: a sequence for each (-1: none yet), and the room of each sequence.
+
+    The configurations of the largest sizes come first. A place takes the largest piece up to its group's size; the last one, if
+    `free_last`, the largest that fits.
+    """
+    sequence, room = np.full(len(lengths), -1, dtype=np.int64), []
+    by_length: list[list[int]] = [[] for _ in range(capacity + 1)]
+    some = 0  # bit n: a piece of n tokens is left
+    for i, n in zip(large.tolist(), lengths[large].tolist()):
+        by_length[n].append(i)
+        some |= 1 << n
+    below = [0, *sizes[:-1].tolist()]
+    for configuration, times in sorted(used, key=lambda c: -int(np.flatnonzero(c[0])[-1])):
+        places = np.repeat(np.arange(len(sizes)), configuration)[::-1].tolist()
+        for _ in range(math.ceil(times - 1e-6)):
+            if not (some & ((1 << (int(sizes[places[0]]) + 1)) - 1)) >> (below[places[0]] + 1):
+                break  # its largest group is used up
+            free = capacity
+            for k, group in enumerate(places):
+                limit = free if free_last and k == len(places) - 1 else min(free, int(sizes[group]))
+                fitting = some & ((1 << (limit + 1)) - 1)
+                if not fitting:
+                    break
+                n = fitting.bit_length() - 1
+                sequence[by_length[n].pop()] = len(room)
+                if not by_length[n]:
+                    some ^= 1 << n
+                free -= n
+            room.append(free)
+    return sequence, room
 
 
 def best_fit(lengths: np.ndarray, order: np.ndarray, room: list[int], sequence: np.ndarray, capacity: int) -> None:
@@ -89,37 +143,39 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, room: list[int], sequence:
         some |= 1 << (r - n)
 
 
+def reopened(lengths: np.ndarray, order: np.ndarray, sequence: np.ndarray, room: list[int], capacity: int) -> tuple[np.ndarray, list[int]]:
+    """The same or fewer sequences, after placing the pieces of loosely filled ones anew."""
+    for share in REOPENED:
+        loose = np.array(room) > capacity * share
+        if loose.any():
+            number = np.where(loose, -1, np.cumsum(~loose) - 1)
+            again, rest = number[sequence], [r for r, is_loose in zip(room, loose.tolist()) if not is_loose]
+            best_fit(lengths, order[again[order] < 0], rest, again, capacity)
+            if len(rest) <= len(room):
+                sequence, room = again, rest
+    return sequence, room
+
+
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS,
-                 small_share: float = SMALL_SHARE) -> tuple[np.ndarray, np.ndarray]:
+                 small_shares: tuple = SMALL_SHARES) -> tuple[np.ndarray, np.ndarray]:
     """A sequence and an offset for each length; every length is between 1 and `capacity`."""
-    sequence = np.full(len(lengths), -1, dtype=np.int64)
-    order = np.argsort(lengths, kind="stable")
-    large = order[lengths[order] > capacity * small_share]
-    room: list[int] = []
-    if len(large):
-        cut = np.array_split(large, min(groups, len(large)))
-        sizes = np.array([lengths[g[-1]] for g in cut])  # rounded up to the largest of the group
-        taken = np.zeros(len(cut), dtype=np.int64)
-        for chosen, times in configurations(sizes, np.array([len(g) for g in cut]), capacity):
-            for _ in range(times):
-                s, free = len(room), capacity
-                for g in chosen:
-                    taken[g] += 1
-                    i = cut[g][-taken[g]]
-                    sequence[i] = s
-                    free -= int(lengths[i])
-                room.append(free)
-    # Sequences less than half full are opened again, so that their pieces may share.
-    again = {s for s, free in enumerate(room) if free > capacity // 2}
-    if again:
-        renumbered = np.cumsum([s not in again for s in range(len(room))]) - 1
-        placed = sequence >= 0
-        loose = placed & np.isin(sequence, list(again))
-        sequence[placed] = renumbered[sequence[placed]]
-        sequence[loose] = -1
-        room = [free for s, free in enumerate(room) if s not in again]
-    rest = order[::-1]
-    best_fit(lengths, rest[sequence[rest] < 0], room, sequence, capacity)
+    ascending = np.argsort(lengths, kind="stable")
+    least: tuple[np.ndarray, list[int]] | None = None
+    for share in small_shares:
+        large = ascending[lengths[ascending] > capacity * share]
+        sizes, used = np.empty(0, dtype=np.int64), []
+        if len(large):
+            cut = np.array_split(large, min(groups, len(large)))
+            # Rounded up to the largest of the group; groups of one size are one.
+            sizes, group = np.unique([lengths[g[-1]] for g in cut], return_inverse=True)
+            used = configurations(sizes, np.bincount(group, [len(g) for g in cut]), capacity)
+        for free_last in (True, False) if 2 * capacity * share < capacity else (False,):
+            sequence, room = substituted(lengths, large, sizes, used, capacity, free_last)
+            best_fit(lengths, ascending[::-1][sequence[ascending[::-1]] < 0], room, sequence, capacity)
+            sequence, room = reopened(lengths, ascending[::-1], sequence, room, capacity)
+            if least is None or len(room) < len(least[1]):
+                least = sequence, room
+    sequence = least[0]
     by_sequence = np.argsort(sequence, kind="stable")
     ends = np.cumsum(lengths[by_sequence])
     firsts = np.flatnonzero(np.diff(sequence[by_sequence], prepend=-1))

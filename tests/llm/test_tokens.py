@@ -120,18 +120,45 @@ def test_packing_is_tight_and_whole(lengths):
     assert sequence.max() + 1 <= least * 1.005 + 1
 
 
-def test_grouped_lengths_share_a_sequence_by_two_at_most():
-    # What the README says of configurations.
-    assert 3 * (int(packing.CAPACITY * packing.SMALL_SHARE) + 1) > packing.CAPACITY
-
-
-def test_configurations_use_every_group_up():
-    sizes, counts = np.array([100, 700, 900, 1300]), np.array([5, 4, 3, 2])
-    used = np.zeros(4, int)
-    for chosen, times in packing.configurations(sizes, counts, 2048):
-        assert sizes[chosen].sum() <= 2048
-        np.add.at(used, chosen, times)
-    assert used.tolist() == counts.tolist()
+def best_fit_alone(lengths):
+    room, sequence = [], np.full(len(lengths), -1)
+    packing.best_fit(lengths, np.argsort(lengths, kind="stable")[::-1], room, sequence, 2048)
+    return len(room)
+
+
+@pytest.mark.parametrize("shape, over", [("560 to 799", 0.01), ("uniform", 0.004), ("log-normal", 0.001), ("300 to 420", 0.015), ("one size", 0.0)])
+def test_few_size_configurations_need_no_more_than_best_fit(shape, over):
+    random = np.random.default_rng(7)
+    lengths = {"560 to 799": random.integers(560, 800, 60_000), "uniform": random.integers(1, 2049, 60_000),
+               "log-normal": random.lognormal(6.3, 0.9, 60_000).clip(1, 2048).astype(int),
+               "300 to 420": random.integers(300, 421, 60_000), "one size": np.full(3000, 682)}[shape]
+    sequence, _ = packing.pack_lengths(lengths)
+    assert np.bincount(sequence, lengths).max() <= 2048 and (np.bincount(sequence) > 0).all()
+    bound = max(-(-lengths.sum() // 2048), (lengths > 1024).sum())
+    assert sequence.max() + 1 <= min(best_fit_alone(lengths), bound * (1 + over) + 1)
+    if shape == "560 to 799":  # three to a sequence, which best fit does not find
+        assert sequence.max() + 1 < 0.92 * best_fit_alone(lengths)
+
+
+def test_configurations_use_every_size_as_often_as_it_counts():
+    sizes, counts = np.array([100, 500, 700, 900, 1300]), np.array([50, 60, 45, 33, 20])
+    used = packing.configurations(sizes, counts, 2048)
+    assert all((c * sizes).sum() <= 2048 for c, _ in used)
+    assert np.allclose(sum(c * t for c, t in used), counts)
+    assert max(np.count_nonzero(c) for c, _ in used) >= 3
+    # The linear programme's optimum, by trying all configurations against the prices of the last round.
+    total = sum(t for _, t in used)
+    assert (counts * sizes).sum() / 2048 <= total <= 1.0006 * best_fit_alone(np.repeat(sizes, counts))
+
+
+def test_the_dearest_configuration_is_found():
+    random = np.random.default_rng(2)
+    for _ in range(20):
+        sizes, prices = np.sort(random.choice(np.arange(3, 20), 4, replace=False)), random.random(4)
+        worth, chosen = packing.dearest(sizes, prices, 40)
+        every = [c for c in np.ndindex(14, 14, 14, 14) if (np.array(c) * sizes).sum() <= 40]
+        assert np.isclose(worth, max((np.array(c) * prices).sum() for c in every)) and np.isclose(worth, (chosen * prices).sum())
+        assert (chosen * sizes).sum() <= 40
 
 
 def test_pieces_of_odd_rows(library, odd_docs, no_docs):
