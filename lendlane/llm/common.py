@@ -35,6 +35,11 @@ def held_out(id_column: Column, parts: int) -> Column:
     return F.coalesce(remainder(id_column, parts) == 1, F.lit(False))
 
 
+def whole_row(columns: list[str]) -> Column:
+    """All columns as one struct, whatever characters their names hold."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in columns])
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it from there: computed once, and safe from lost executors."""
     path = shared_folder(df.sparkSession, purpose)

@@ -7,8 +7,8 @@ words take the language around them while a real switch within a text is
 followed. Forward-backward gives each word's probability of each label; a
 document's score for a language is the mean over its words.
 
-Every label is learned. Learning uses a bounded sample: at most `DOCS_PER_LABEL` documents of each label,
-drawn by a hash of the id, fewer where there are more than `FULL_LABELS` labels, which also get fewer slots
+Every label is learned. Learning uses a bounded sample: at most `DOCS_PER_LABEL` documents of each label, drawn for each
+label by a hash of id and text (rows that are equal in both count once), fewer where there are more than `FULL_LABELS` labels, which also get fewer slots
 (`sample_size`, `slot_bits`), so that the field and its fitting stay bounded; and from each at most `SEGMENTS` runs of `SEGMENT_WORDS` words. Half of the runs
 make the lexicon; the others are strung together across languages, as in
 code-switched text, and the field is fitted to them by full-batch gradient steps.
@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lendlane.llm.common import held_out, kept_by_worker
@@ -49,12 +49,18 @@ STEPS = 40
 RATE = 0.3
 PENALTY = 1e-4
 SEED = 11
-# Words a worker remembers, and tokens it works on at once.
+DRAWS = 1 << 40
+# Words a worker remembers, none longer than that; tokens it works on at once.
 MOST_WORDS = 300_000
+LONGEST_WORD = 64
 TOKENS_AT_ONCE = 250_000
 # Pairs of labels worked on at once.
 PAIRS_AT_ONCE = 1 << 24
 BLOCK = 32
+# With more labels than this a block's product costs more than it saves, and texts are gone through word by word, side by side.
+BLOCKED_LABELS = 24
+# Numbers gathered at once while the scores of words are added up.
+GATHERED_AT_ONCE = 1 << 24
 
 LETTERS = re.compile(r"[^\W\d_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +132,7 @@ class Field:
 
     def scores(self, words: list[str]) -> np.ndarray:
         slot, start = features(words, slot_bits(len(self.labels)))
-        out = np.add.reduceat(self.emission[slot], start, axis=0)
+        out = _added(self.emission, slot, start)
         slots = 1 << slot_bits(len(self.labels))
         return out + self.emission[slots + np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))]
 
@@ -139,6 +145,10 @@ class Field:
         many labels the texts are taken in parts, since a block has a square of labels.
         """
         n_labels = len(self.labels)
+        if n_labels > BLOCKED_LABELS:
+            _, forward, backward, _ = self.side_by_side(scores, lengths)
+            p = forward * backward
+            return p / p.sum(axis=1, keepdims=True)
         per_text = -(-lengths // BLOCK)
         if len(lengths) > 1 and per_text.sum() * n_labels**2 > PAIRS_AT_ONCE:
             half = len(lengths) // 2
@@ -191,6 +201,41 @@ class Field:
         return unit(np.maximum(out[filled], 0) + 1e-300)
 
 
+    def side_by_side(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Potentials, forward and backward vectors (each of sum 1), and the transitions' potentials; a word of every text at a time."""
+        step, begin = np.exp(self.transition - self.transition.max()), np.exp(self.begin - self.begin.max())
+        potential = np.exp(scores - scores.max(axis=1, keepdims=True))
+        starts = np.cumsum(lengths) - lengths
+        longest_first = np.argsort(-lengths, kind="stable")
+        starts, sizes = starts[longest_first], lengths[longest_first]
+        live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]) + 1 if len(sizes) else 0)]
+        unit = lambda v: v / v.sum(axis=1, keepdims=True)
+        forward, backward = np.empty_like(potential), np.ones_like(potential)
+        at = starts[: live[0]] if live else starts
+        forward[at] = unit(begin * potential[at])
+        for t in range(1, len(live) - 1):
+            at = starts[: live[t]] + t
+            forward[at] = unit((forward[at - 1] @ step) * potential[at])
+        for t in range(len(live) - 2, 0, -1):
+            at = starts[: live[t]] + t
+            backward[at - 1] = unit((backward[at] * potential[at]) @ step.T)
+        return potential, forward, backward, step
+
+
+def _added(rows: np.ndarray, slot: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of `rows` by runs of slots, some runs at a time."""
+    out = np.empty((len(start), rows.shape[1]), dtype=rows.dtype)
+    ends = [*start[1:].tolist(), len(slot)]
+    at_once = max(1, GATHERED_AT_ONCE // rows.shape[1])
+    begin = 0
+    while begin < len(start):
+        first = int(start[begin])
+        end = max(begin + 1, int(np.searchsorted(start, first + at_once)))
+        out[begin:end] = np.add.reduceat(rows[slot[first : ends[end - 1]]], start[begin:end] - first, axis=0)
+        begin = end
+    return out
+
+
 def fit(runs: list[tuple[str, list[str]]]) -> Field:
     """A field from runs of words with their language, in a fixed order."""
     labels = sorted({lang for lang, _ in runs})
@@ -238,16 +283,19 @@ def fit(runs: list[tuple[str, list[str]]]) -> Field:
     is_first[first] = True
     follows = np.flatnonzero(~is_first)
     for _ in range(STEPS):
-        per_word = np.add.reduceat(model.emission[slot], start, axis=0) + model.emission[extra]
-        scores = per_word[token]
-        p = model.marginals(scores, lengths)
-        error = -p
+        per_word = _added(model.emission, slot, start) + model.emission[extra]
+        potential, forward, backward, step = model.side_by_side(per_word[token], lengths)
+        p = forward * backward
+        error = -p / p.sum(axis=1, keepdims=True)
         error[np.arange(len(words)), gold] += 1
         by_word = np.zeros_like(per_word)
         np.add.at(by_word, token, error)
         g_emission = np.stack([np.bincount(slot, by_word[slot_owner, c], n_rows) + np.bincount(extra, by_word[:, c], n_rows)
                                for c in range(n_labels)], axis=1) - PENALTY * len(words) * model.emission
-        pair = _pair_counts(model, scores, lengths, follows)
+        # Expected transitions: of each word's pairs with the one before it, in proportion, added up as one product.
+        onward = potential[follows] * backward[follows]
+        weight = 1 / ((forward[follows - 1] @ step) * onward).sum(axis=1, keepdims=True)
+        pair = step * ((forward[follows - 1] * weight).T @ onward)
         g_transition = np.zeros_like(model.transition)
         np.add.at(g_transition, (gold[follows - 1], gold[follows]), 1)
         g_transition -= pair + PENALTY * len(words) * model.transition
@@ -259,47 +307,24 @@ def fit(runs: list[tuple[str, list[str]]]) -> Field:
     return model
 
 
-def _pair_counts(model: Field, scores: np.ndarray, lengths: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """Expected transitions: plain forward-backward over the strings, side by side."""
-    n, most, n_labels = len(lengths), int(lengths.max(initial=1)), len(model.labels)
-    starts = np.cumsum(lengths) - lengths
-    filled = np.arange(most) < lengths[:, None]
-    potential = np.ones((n, most, n_labels))
-    potential[filled] = np.exp(scores - scores.max(axis=1, keepdims=True))
-    step, begin = np.exp(model.transition), np.exp(model.begin)
-    forward, backward = np.empty_like(potential), np.ones_like(potential)
-    now = begin * potential[:, 0]
-    forward[:, 0] = now = now / now.sum(axis=1, keepdims=True)
-    for t in range(1, most):
-        moved = (now @ step) * potential[:, t]
-        forward[:, t] = now = moved / moved.sum(axis=1, keepdims=True)
-    for t in range(most - 2, -1, -1):
-        moved = (backward[:, t + 1] * potential[:, t + 1]) @ step.T
-        moved /= moved.sum(axis=1, keepdims=True)
-        backward[:, t] = np.where(filled[:, t + 1, None], moved, 1.0)
-    out = np.zeros((n_labels, n_labels))
-    at_once = max(1, PAIRS_AT_ONCE // n_labels**2)
-    for t, k in ((t, k) for t in range(1, most) for k in range(0, n, at_once)):
-        live = np.flatnonzero(filled[k : k + at_once, t]) + k
-        if not len(live):
-            continue
-        both = forward[live, t - 1][:, :, None] * step * (potential[live, t] * backward[live, t])[:, None, :]
-        out += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-    return out
-
-
 def learn(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Field | None:
     """Fit a field to the labelled rows of `docs` (`doc_id`, `text`, `lang`). None if there is no label with words."""
-    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(DRAWS))
     labelled = docs.where("lang is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), draw.alias("draw"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("draw", draw)
+    # One row for each label. Different rows, near enough: a sketch of a few kilobytes a label.
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     if not counts:
         return None
     docs_per_label = sample_size(len(counts), docs_per_label)
-    # Twice the wanted number on average; exactly that many are used, lowest draws first.
-    bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, (2 * docs_per_label << 30) // n + 1))])
-    below = bounds[F.col("lang")]
+    # So many more than wanted that too few are as good as impossible; exactly as many as wanted are used.
+    drawn = 2 * docs_per_label + 40
+    bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(DRAWS, drawn * DRAWS // max(1, n) + 1))])
+    some = labelled.where(F.col("draw") < bounds[F.col("lang")])
+    # Equal rows are one, reduced in each task before they meet; what is left of a label is bounded, so it may be ordered.
+    once = some.groupBy("lang", "draw").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    lowest = Window.partitionBy("lang").orderBy("draw")
+    chosen = once.withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= docs_per_label).drop("place")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,14 +338,10 @@ def learn(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Field | None
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else
                                              [pa.array([], k) for k in kinds], names=["draw", "doc_id", "lang", "runs"])
 
-    sample = labelled.where(F.col("draw") < below).mapInArrow(cut, "draw long, doc_id long, lang string, runs array<string>")
-    rows = sample.orderBy("draw", "doc_id", "runs").limit(4 * docs_per_label * len(counts)).collect()
-    used: Counter = Counter()
+    sample = chosen.select("draw", "doc_id", "lang", "text").mapInArrow(cut, "draw long, doc_id long, lang string, runs array<string>")
     runs: list[tuple[str, list[str]]] = []
-    for r in rows:
-        if used[r.lang] < docs_per_label and r.runs:
-            used[r.lang] += 1
-            runs += [(r.lang, run.split(" ")) for run in r.runs]
+    for r in sample.orderBy("lang", "draw").collect():
+        runs += [(r.lang, run.split(" ")) for run in r.runs]
     return fit(runs) if runs else None
 
 
@@ -337,17 +358,24 @@ class Labeller:
     def _rows(self, texts: list[list[str]]) -> np.ndarray:
         if len(self.known) > MOST_WORDS // self.share:
             self.known.clear()
-        known = self.known
-        unknown = [w for w in set().union(*texts) if w not in known]
+        known, here = self.known, set().union(*texts)
+        unknown = [w for w in here if w not in known]
+        # Long ones come last; their rows are used once and written over.
+        unknown.sort(key=lambda w: len(w) > LONGEST_WORD)
+        long = {}
         if unknown:
             have = len(known)
             if have + len(unknown) > len(self.scores):
                 grown = np.empty((2 * (have + len(unknown)), self.scores.shape[1]), dtype=np.float32)
                 grown[:have] = self.scores[:have]
                 self.scores = grown
-            known.update(zip(unknown, range(have, have + len(unknown))))
-            self.scores[have : len(known)] = self.model.scores(unknown)
-        return np.concatenate([np.fromiter(map(known.__getitem__, t), np.int64, len(t)) for t in texts])
+            self.scores[have : have + len(unknown)] = self.model.scores(unknown)
+            numbered = list(zip(unknown, range(have, have + len(unknown))))
+            n_short = sum(len(w) <= LONGEST_WORD for w in unknown)
+            known.update(numbered[:n_short])
+            long = dict(numbered[n_short:])
+        row = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
+        return np.concatenate([np.fromiter(map(row, t), np.int64, len(t)) for t in texts])
 
     def word_probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each text (a list of at least one word) the label probabilities of its words."""

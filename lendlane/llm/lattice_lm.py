@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 from lendlane.llm.common import held_out, kept_by_worker, stored, tokenizer_file
 
 HEAD = 100_000
-# Distinct words that a task adds up before it hands them on.
-WORDS_AT_ONCE = 400_000
+# Bytes of distinct words, or of words with their counts, that a task holds before it hands them on: for each an entry and
+# a text of that length, and whatever longer words have beyond.
+BYTES_AT_ONCE = 96 << 20
+ENTRY, USUAL = 150, 64
 # Fixed value: how the library writes a blank.
 BLANK = "▁"
 END = "</s>"
@@ -110,6 +112,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train: Counter = Counter()
         other: set[bytes] = set()
+        beyond = 0
 
         def handed_on() -> pa.RecordBatch:
             words = list(train) + list(other.difference(train))
@@ -120,9 +123,13 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, out in zip(batch.column("text"), batch.column("held_out").to_pylist()):
-                (other if out else train).update(tokens(text.as_py()))
-                if len(train) + len(other) > WORDS_AT_ONCE:
+                raw = text.as_py() or b""
+                found = tokens(raw)
+                (other if out else train).update(found)
+                beyond += max(0, len(raw) - USUAL * len(found))
+                if (ENTRY + USUAL) * (len(train) + len(other)) + beyond > BYTES_AT_ONCE:
                     yield handed_on()
+                    beyond = 0
         yield handed_on()
 
     found = rows.select("text", "held_out").mapInArrow(counted, "word binary, n long")
@@ -174,7 +181,11 @@ def scored_words(words: DataFrame, scores: np.ndarray, vocabulary: str, n_train:
 
 
 def score(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", folds: int = 5, head: int = HEAD) -> DataFrame:
-    """For each row of `docs` (`doc_id`, `text`) its `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`."""
+    """For each row of `docs` (`doc_id`, `text`) its `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`.
+
+    Rows are told apart by their place in the input, so `docs` is a scan or a stored table: run again, it must give the same
+    rows in the same places.
+    """
     spark = docs.sparkSession
     rows = _rows(docs, folds)
     words = stored(word_counts(rows), "words")
@@ -194,6 +205,7 @@ def score(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", folds: int =
         of = shared.value.get
         for batch in batches:
             keys, others, times, info = [], [], [], []
+            beyond = 0
 
             def handed_on() -> pa.RecordBatch:
                 out = [pa.array(keys, pa.int64()), pa.array(others, pa.binary()), pa.array(times, pa.int64()), pa.array(info, shape)]
@@ -202,7 +214,9 @@ def score(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", folds: int =
                 return pa.RecordBatch.from_arrays(out, names=["key", "word", "n", "doc"])
 
             for key, doc_id, text, out in zip(*(batch.column(c) for c in ("key", "doc_id", "text", "held_out"))):
-                key, found = key.as_py(), Counter(tokens(text.as_py()))
+                key, raw = key.as_py(), text.as_py() or b""
+                found = Counter(tokens(raw))
+                beyond += max(0, len(raw) - USUAL * len(found))
                 base, lattice, n_tokens, n_known = end_base, end_lattice, 1, int(ends > 0)
                 for word, n in found.items():
                     n_tokens += n
@@ -222,8 +236,9 @@ def score(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", folds: int =
                 times.append(0)
                 info.append({"doc_id": doc_id.as_py(), "held_out": int(out.as_py()), "n_tokens": n_tokens,
                              "n_known": n_known, "base": base, "lattice": lattice})
-                if len(keys) > 200_000:
+                if (ENTRY + USUAL) * len(keys) + beyond > BYTES_AT_ONCE // 2:
                     yield handed_on()
+                    beyond = 0
             yield handed_on()
 
     shape = pa.struct([("doc_id", pa.int64()), ("held_out", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),

@@ -25,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lendlane.llm.common import BLANKS
+from lendlane.llm.common import BLANKS, whole_row
 
 # The base rules.
 LEAST_WORDS = 10
@@ -198,7 +198,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     # Exploding no or one struct drops the others; a filter would work out the rules once more.
     passed = F.explode(F.filter(F.array(rules(F.col("text"))), lambda r: r["kept"]))
     columns = [c for c in docs.columns]
-    held = docs.select(F.struct(*columns).alias("row"), passed.alias("rules"))
+    held = docs.select(whole_row(columns).alias("row"), passed.alias("rules"))
     clean = F.col("rules.clean_text")
     cleaned = {"text": clean, "n_chars": F.length(clean).cast("long")}
     return held.select(*[cleaned[c].alias(c) if c in cleaned else F.col("row")[c].alias(c) for c in columns])

@@ -25,7 +25,7 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lendlane.llm.common import BLANKS, stored
+from lendlane.llm.common import BLANKS, stored, whole_row
 
 # Weights in turn, and the most times a source or document is taken.
 WEIGHTS = (5, 2, 1)
@@ -176,7 +176,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     `n_chars`, where there is one, is that of the row's text.
     """
     columns = docs.columns
-    rows = taken(stored(sized(docs, F.struct(*columns).alias("row")), "mix-rows")).where("taken > 0")
+    rows = taken(stored(sized(docs, whole_row(columns).alias("row")), "mix-rows")).where("taken > 0")
     schema = docs.schema
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

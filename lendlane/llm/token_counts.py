@@ -20,8 +20,10 @@ from lendlane.llm.common import kept_by_worker, tokenizer_file
 
 # Fixed value: how the library writes a blank.
 BLANK = "▁"
-# Distinct rest strings remembered by a worker (about 150 bytes each); with more, it begins anew.
-MOST_STRINGS = 1_500_000
+# Bytes of strings remembered by a worker (each its text, an entry and a number); with more, it begins anew. A pre-token of a
+# text without blanks may be a whole line: longer ones are not remembered.
+MOST_BYTES = 256 << 20
+LONGEST = 64
 LIMIT = 4096
 # A run of blanks and what follows it, or a line feed and what follows it.
 PRE_TOKENS = re.compile(r" +[^ \n]*|\n[^ \n]*")
@@ -30,18 +32,23 @@ PRE_TOKENS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 class TokenCounter:
     """Counts the library's tokens of whole texts."""
 
-    def __init__(self, vocabulary: str = "piece_bpe_32k.model", most_strings: int = MOST_STRINGS):
+    def __init__(self, vocabulary: str = "piece_bpe_32k.model", most_bytes: int = MOST_BYTES):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=tokenizer_file(vocabulary))
-        self.most_strings = most_strings
+        self.most_bytes = most_bytes
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())
                   if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i))]
         #: Whether pre-tokens may be cut before a run of blanks, and around a line feed.
         self.separable = self._separable(pieces)
         #: Strings that, after a blank, are proven to encode as one token.
         self.whole = self._whole(pieces)
+        self._forget()
+
+    def _forget(self) -> None:
         self.counts = dict.fromkeys(self.whole, 1)
+        #: An estimate of the bytes held beside the vocabulary's strings.
+        self.held = 0
 
     def _separable(self, pieces: list[str]) -> bool:
         """No piece goes on with a blank after another character, none holds a line feed, and texts are not altered."""
@@ -62,25 +69,28 @@ class TokenCounter:
         # A text that begins with a line feed has the library's blank before it, here the empty string.
         return text.replace("\n", " \n").split(" ")
 
-    def _merge(self, strings: list[str]) -> None:
+    def _merge(self, strings: list[str]) -> dict[str, int]:
         """Count by the library; it puts a blank before each string, which is one token where a line feed follows."""
         plain = [s[1:] if s[:1] == " " else s for s in strings]
-        for s, ids in zip(strings, self.library.encode(plain, num_threads=1)):
-            self.counts[s] = len(ids) - (s[:1] == "\n")
-        if "" in strings:
-            self.counts[""] = 1  # a lone blank
+        found = {s: len(ids) - (s[:1] == "\n") for s, ids in zip(strings, self.library.encode(plain, num_threads=1))}
+        if "" in found:
+            found[""] = 1  # a lone blank
+        short = {s: n for s, n in found.items() if len(s) <= LONGEST}
+        self.counts.update(short)
+        self.held += sum(150 + (1 if s.isascii() else 4) * len(s) for s in short)
+        return found
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; NULL is an empty text, which has none."""
         if not self.separable:
             return [len(ids) for ids in self.library.encode([t or "" for t in texts], num_threads=1)]
-        if len(self.counts) > self.most_strings:
-            self.counts = dict.fromkeys(self.whole, 1)
+        if self.held > self.most_bytes:
+            self._forget()
         cut = [self._pre_tokens(t) if t else [] for t in texts]
         known = self.counts
         here = list(set().union(*cut))
-        self._merge([s for s in here if s not in known])
-        local = {s: known[s] for s in here}
+        local = {s: known[s] for s in here if s in known}
+        local |= self._merge([s for s in here if s not in local])
         return [sum(map(local.__getitem__, tokens)) for tokens in cut]
 
 

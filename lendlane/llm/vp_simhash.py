@@ -1,13 +1,18 @@
 """SimHash near-duplicates, found exactly by vantage-point trees over Hamming distance.
 
-Equal fingerprints are one point. A vantage-point tree, grown from a bounded
+Equal fingerprints are one point. A vantage-point tree, grown from a
 sample of points, deals all points to shards: at each node, points within the
 node's radius of its vantage point go inside, the others outside. A point is
-kept in one shard and asks for its neighbours in every shard that the triangle
-bound cannot rule out: a ball that overlaps the boundary goes both ways. Each
-shard grows its own tree and prunes in the same manner. No pair within the
+kept in one shard. Of two near points that part at a node, the outer one asks for
+its neighbours inside, and its question follows every branch that the triangle
+bound cannot rule out. Shards are large, so that a point asks in few others; one that many
+ask is met by several tasks, each with a part of the questions. Each
+task grows its own tree and prunes in the same manner. No pair within the
 distance is lost, whatever the sample.
 
+The sample has `SAMPLE_EACH` points for each shard, so a 4096th of all points is
+gathered, eight bytes each, and the tree has two nodes for each shard.
+
 A text without words has fingerprint zero and is linked like any other. NULL
 counts as such a text. Rows are documents: repeated rows are copies.
 """
@@ -20,19 +25,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lendlane.llm.common import shuffle_partitions, sorted_groups, stored
+from lendlane.llm.common import shuffle_partitions, sorted_groups, stored, whole_row
 from lendlane.llm.components import components
 
 # Fixed value: the hash seed.
 SEED = 42
 SHINGLE = 3
 MOST_BITS = 2
-# Points a shard is meant to hold; points of the sample from which the tree grows.
-SHARD_POINTS = 8192
-SAMPLE_POINTS = 1 << 14
+# Points a shard is meant to hold; points of the sample for each shard, and its least size.
+SHARD_POINTS = 1 << 16
+SAMPLE_EACH = 16
+LEAST_SAMPLE = 1 << 14
+# Questions that a task is meant to answer for a shard.
+BLOCK_QUESTIONS = 1 << 17
 LEAF_POINTS = 48
 # Pairs held at once while a shard links its points.
 PAIRS_AT_ONCE = 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -109,7 +118,10 @@ def grow(sample: np.ndarray, shards: int) -> list[tuple]:
 
 
 def route(nodes: list[tuple], points: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each shard the indices of the points that may have a neighbour there, and whether it is their own."""
+    """For each shard the indices of the points that are kept or ask there, and whether it is their own.
+
+    Where two points part, only the outer one asks for the inner one.
+    """
     open_ = [(0, np.arange(len(points)), np.ones(len(points), dtype=bool))]
     while open_:
         at, index, own = open_.pop()
@@ -121,9 +133,9 @@ def route(nodes: list[tuple], points: np.ndarray, bits: int) -> Iterator[tuple[i
         vantage, radius, inside, outside = nodes[at]
         d = distance(points[index], np.uint64(vantage))
         # Inside points are at most `radius` away, outside ones at least `radius + 1`.
-        into, out = d <= radius + bits, d >= radius + 1 - bits
+        into, out = d <= radius + bits, np.where(own, d > radius, d >= radius + 1 - bits)
         open_.append((inside, index[into], own[into] & (d[into] <= radius)))
-        open_.append((outside, index[out], own[out] & (d[out] > radius)))
+        open_.append((outside, index[out], own[out]))
 
 
 def near_pairs(points: np.ndarray, asking: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,36 +182,49 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[label]
 
 
-def links(points: DataFrame, bits: int = MOST_BITS, shard_points: int = SHARD_POINTS) -> DataFrame:
+def links(points: DataFrame, bits: int = MOST_BITS, shard_points: int = SHARD_POINTS, block_questions: int = BLOCK_QUESTIONS) -> DataFrame:
     """Edges (`a`, `b`) that connect all `points` (`fingerprint`, distinct longs) within `bits` of each other."""
     spark = points.sparkSession
     n = points.count()
-    # A bounded sample; it decides how evenly the shards are filled, not what is found.
-    chosen = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(SAMPLE_POINTS).collect()
-    nodes = grow(np.array([r.fingerprint for r in chosen], dtype="<i8").view("<u8"), max(1, -(-n // shard_points)))
+    shards = max(1, -(-n // shard_points))
+    # It decides how evenly the shards are filled, not what is found.
+    sample = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(max(LEAST_SAMPLE, SAMPLE_EACH * shards)).select("fingerprint")
+    chosen = sample.toArrow().column("fingerprint").combine_chunks().to_numpy(zero_copy_only=False).view("<u8")
+    nodes = grow(chosen, shards)
+    # How often a shard is asked, going by the sample; crowded ones are met by several tasks.
+    blocks = {shard: max(1, -(-len(index) * n // (max(1, len(chosen)) * block_questions))) for shard, index, _ in route(nodes, chosen, bits)}
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("fingerprint").to_numpy(zero_copy_only=False)
             for shard, index, own in route(nodes, found.view("<u8"), bits):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(index), shard), pa.int32()), pa.array(found[index]), pa.array(own)],
-                    names=["shard", "fingerprint", "own"])
+                n_blocks, here = blocks.get(shard, 1), found[index]
+                turn = (here.view("<u8") * _MIX >> np.uint64(32)).astype(np.int64) % n_blocks
+                # Kept points are in all blocks of their shard, and ask in one.
+                kept = here[own]
+                rows = [(turn[~own], here[~own], False, True)] + [(np.full(len(kept), b), kept, True, turn[own] == b) for b in range(n_blocks)]
+                for block, some, holds, asks in rows:
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(some), shard), pa.int32()), pa.array(block, pa.int32()), pa.array(some),
+                             pa.array(np.broadcast_to(holds, len(some))), pa.array(np.broadcast_to(asks, len(some)))],
+                            names=["shard", "block", "fingerprint", "holds", "asks"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, ["shard"]):
-            asking = table.column("fingerprint").to_numpy().view("<u8")
+        for table in sorted_groups(batches, ["shard", "block"]):
+            all_points = table.column("fingerprint").to_numpy().view("<u8")
+            holds, asks = (table.column(c).to_numpy() for c in ("holds", "asks"))
             a = b = np.empty(0, dtype="<u8")
-            for x, y in near_pairs(asking[table.column("own").to_numpy()], asking, bits):
+            for x, y in near_pairs(all_points[holds], all_points[asks], bits):
                 a, b = np.concatenate([a, x]), np.concatenate([b, y])
                 if len(a) > PAIRS_AT_ONCE:
                     a, b = stars(a, b)
             a, b = stars(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a.view("<i8")), pa.array(b.view("<i8"))], names=["a", "b"])
 
-    shards = points.mapInArrow(dealt, "shard int, fingerprint long, own boolean")
-    by_shard = shards.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard")
-    return by_shard.mapInArrow(linked, "a long, b long")
+    kept = points.mapInArrow(dealt, "shard int, block int, fingerprint long, holds boolean, asks boolean")
+    by_task = kept.repartition(shuffle_partitions(spark), "shard", "block").sortWithinPartitions("shard", "block")
+    return by_task.mapInArrow(linked, "a long, b long")
 
 
 def group_fingerprints(hashed: DataFrame, bits: int = MOST_BITS, shard_points: int = SHARD_POINTS) -> DataFrame:
@@ -231,7 +256,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MOST_BI
 def first_of_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = MOST_BITS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """`docs` (all its columns) with one row of each group: that with the smallest doc_id, NULL after all others."""
     columns = tuple(docs.columns)
-    whole = F.struct(*columns).alias("row")
+    whole = whole_row(list(columns)).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", whole)
     hashed = stored(fingerprints(rows, shingle, ("doc_id", "row")), "simhash-rows")
     groups = group_fingerprints(hashed.select("doc_id", "fingerprint"), bits, shard_points)

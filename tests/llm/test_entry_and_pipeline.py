@@ -2,6 +2,7 @@
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 from llm_tables import SMALL, documents, no_docs, odd_docs  # noqa: F401
 
 import corpus_pipeline
@@ -15,7 +16,7 @@ def test_matches_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_pipeline(spark, documents):
@@ -58,3 +59,11 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs):
             out = stage(spark, docs, SMALL)
             assert out.columns == docs.columns
             out.collect()
+
+
+def test_stages_keep_columns_of_any_name(spark, odd_docs):
+    docs = odd_docs.withColumns({"a.b": F.lit("dot"), "LANG_PRED": F.lit("upper"), "`tick`": F.lit("t"), "Label": F.lit(1), "clear": F.lit(2.0)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        assert {(r["a.b"], r["LANG_PRED"], r["`tick`"], r["Label"], r["clear"]) for r in out.collect()} == {("dot", "upper", "t", 1, 2.0)}

@@ -149,3 +149,23 @@ def test_recall_around_steps_in_the_number_of_codes(filters):
         b /= np.linalg.norm(b)
         met += len(np.intersect1d(code.decode(a), code.decode(0.93 * a + np.sqrt(1 - 0.93**2) * b))) > 0
     assert met / 1500 >= 0.99
+
+
+@pytest.mark.parametrize("n, copies", [(235_000, 2), (4_000_000, 5)])
+def test_a_point_asks_in_few_shards(n, copies):
+    random = np.random.default_rng(n)
+    shards = -(-n // vp_simhash.SHARD_POINTS)
+    sample = random.integers(0, 2**64, max(vp_simhash.LEAST_SAMPLE, vp_simhash.SAMPLE_EACH * shards), dtype=np.uint64)
+    points = random.integers(0, 2**64, min(n, 500_000), dtype=np.uint64)
+    visits = [(len(index), int(own.sum())) for _, index, own in vp_simhash.route(vp_simhash.grow(sample, shards), points, 2)]
+    assert sum(own for _, own in visits) == len(points) and sum(v for v, _ in visits) <= copies * len(points)
+    assert max(own for _, own in visits) * n / len(points) < 3 * vp_simhash.SHARD_POINTS
+
+
+def test_crowded_shards_are_met_by_several_tasks(spark):
+    random = np.random.default_rng(6)
+    points = np.unique(np.concatenate([random.integers(0, 2**40, 400), *[np.int64(1) << random.integers(0, 40, 200)]]))
+    points = np.unique(np.concatenate([points, points[:150] ^ 9, points[:90] ^ 64]))
+    given = spark.createDataFrame([(int(p),) for p in points], "fingerprint long")
+    near = lambda **how: {(r.node, r.component) for r in components.components(vp_simhash.links(given, **how)).collect()}
+    assert near() == near(shard_points=40, block_questions=1 << 17) == near(shard_points=40, block_questions=25) != set()

@@ -10,7 +10,7 @@ import pytest
 
 from llm_tables import documents, no_docs, odd_docs  # noqa: F401
 
-from lendlane.llm import langid_crf, lattice_lm, line_rules
+from lendlane.llm import langid_crf, lattice_lm, line_rules, token_counts
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,14 @@ def test_marginals_in_parts_are_the_same(field, monkeypatch):
     assert np.allclose(field.marginals(scores, lengths), whole, atol=1e-12)
 
 
+def test_marginals_word_by_word_are_the_same(field, monkeypatch):
+    lengths = np.array([1, 31, 100, 64, 1])
+    scores = np.random.default_rng(0).normal(size=(lengths.sum(), len(field.labels)))
+    whole = field.marginals(scores, lengths)
+    monkeypatch.setattr(langid_crf, "BLOCKED_LABELS", 0)
+    assert np.allclose(field.marginals(scores, lengths), whole, atol=1e-9)
+
+
 def test_a_switch_within_a_text_is_followed(field, documents):
     by_lang = {r.lang: langid_crf.words_of(r.text) for r in documents.orderBy("doc_id").collect() if len(r.text) > 2000}
     words = by_lang["en"][:30] + by_lang["fr"][:30]
@@ -81,6 +89,50 @@ def test_every_label_is_learned(spark):
     assert all(r.lang == r.got for r in langid_crf.with_language(rare, model, "got").collect())
 
 
+def labelled(spark, n_labels, docs_each, seed=5):
+    """Texts of invented languages, each of words over a few letters of its own."""
+    random = np.random.default_rng(seed)
+    rows = []
+    for k in range(n_labels):
+        own = random.choice(list("abcdefghijklmnopqrstuvwxyzàèìòùáéíóúñçßøå"), 7, replace=False)
+        said = ["".join(random.choice(own, random.integers(3, 8))) for _ in range(60)]
+        rows += [(len(rows) + i, f"l{k:03}", " ".join(random.choice(said, 40))) for i in range(docs_each)]
+    return spark.createDataFrame(rows, "doc_id long, lang string, text string")
+
+
+def test_copies_of_one_row_and_rows_without_an_id_leave_other_labels_learned(spark):
+    docs = labelled(spark, 2, 60)
+    flood = spark.range(10_000).selectExpr("17L AS doc_id", "'en' AS lang", "'the same words once more and again' AS text")
+    nameless = spark.range(5_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'de' AS lang", "concat('und wieder der satz nummer', id) AS text")
+    model = langid_crf.learn(docs.unionByName(flood).unionByName(nameless))
+    assert model.labels == ["de", "en", "l000", "l001"]
+    got = langid_crf.with_language(docs, model, "got")
+    assert got.where("lang <> got").count() == 0
+
+
+def test_a_hundred_labels(spark):
+    docs = labelled(spark, 100, 8)
+    model = langid_crf.learn(docs.where("doc_id % 8 <> 3"))
+    assert len(model.labels) == 100
+    other = docs.where("doc_id % 8 = 3")
+    assert langid_crf.with_language(other, model, "got").where("lang = got").count() >= 0.95 * other.count()
+
+
+def test_memories_are_bounded_in_bytes(field):
+    random = np.random.default_rng(1)
+    long = ["".join(map(chr, random.integers(0x4E00, 0x9FA5, 20_000))) for _ in range(30)]
+    labeller = langid_crf.Labeller(field)
+    first = labeller.judge([*long, "a few short words"])
+    assert len(labeller.known) == 4 and labeller.judge([long[0], "a few short words"]) == [first[0], first[-1]]
+    counter = token_counts.TokenCounter(most_bytes=2_000_000)
+    before = len(counter.counts)
+    counts = counter.count(long)
+    assert len(counter.counts) == before and counts == [len(i) for i in counter.library.encode(long)]
+    for k in range(12):
+        counter.count([" ".join(f"word{i}x{k}" for i in range(4000))])
+        assert counter.held <= 3_000_000
+
+
 def test_many_labels_have_fewer_slots_and_documents():
     assert [langid_crf.slot_bits(n) for n in (1, 4, 32, 33, 64, 65, 10**6)] == [17, 17, 17, 16, 16, 15, 12]
     assert [langid_crf.sample_size(n, 300) for n in (1, 32, 64, 1000)] == [300, 300, 75, 4]

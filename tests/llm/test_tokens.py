@@ -57,7 +57,7 @@ def test_counts_are_the_librarys(documents):
     from sentencepiece import SentencePieceProcessor
 
     texts = [r.text for r in documents.select("text").collect()] + ODD + ["", " ", "  ", "\n", "▁ ▁a", "a▁b", " \n ", "</s> <s>"]
-    counter = token_counts.TokenCounter(most_strings=20_000)
+    counter = token_counts.TokenCounter(most_bytes=200_000)
     assert counter.separable and len(counter.whole) > 10_000
     known = SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
     assert counter.count(texts) == [len(known.encode(t)) for t in texts]
