@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendlane.llm import langid_crf, line_rules, mixing, packing, vp_simhash
-from lendlane.llm.common import stored
+from lendlane.llm.common import stored, whole_row
 
 # Documents whose words have less than this mean probability, each of its own likeliest language, are in none that was learned.
 LEAST_LANGUAGE = 0.4
@@ -16,20 +16,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Labels of documents that are NULL are left so. If there is no label to learn from, only documents without letters go.
     """
-    columns = docs.columns
     model = langid_crf.learn(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    label, score, clear = (_free(name, columns) for name in ("lang_pred", "lang_score", "lang_clear"))
-    judged = langid_crf.with_language(docs, model, label, score, clear)
-    known = (F.col(label) != langid_crf.UNDETERMINED) & (F.col(clear) >= LEAST_LANGUAGE)
-    return judged.where(known).select(*columns)
-
-
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
+    judged = langid_crf.with_language(docs.select("text", whole_row(docs.columns).alias("row")), model, "label", "score", "clear")
+    known = (F.col("label") != langid_crf.UNDETERMINED) & (F.col("clear") >= LEAST_LANGUAGE)
+    return judged.where(known).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
