@@ -259,6 +259,35 @@ def test_poor_lines_go(spark, line):
     assert [r.text for r in line_rules.keep_good(docs).collect()] == [f"{GOOD}\n{MORE}"]
 
 
+VERSE = "Roses are red\nViolets are blue\nSugar is sweet\nAnd so are you"
+MENUS = [
+    "Home\nAbout us\nProducts\nServices\nContact\nLogin", "Home\n\nAbout us\n\nProducts\n\nLogin",
+    "Home About Us Products Services Blog Careers Contact Support Login Register Help FAQ Sitemap",
+    "Home > About us > Our team > Jobs", "Home / Shop / Shoes / Sale", "Accept all cookies\nReject\nMore options",
+    "Posted by admin on May 3\nRead more",
+]
+
+
+@pytest.mark.parametrize("menu", MENUS)
+@pytest.mark.parametrize("where", ["{0}\n{1}\n{2}", "{0} {1}\n{2}", "{2}\n{0}\n{1}"])
+def test_menus_go(spark, menu, where):
+    text = where.format(GOOD, MORE, menu) if where != "{0}\n{1}\n{2}" else f"{GOOD}\n{menu}\n{MORE}"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    kept = [l for l in line_rules.keep_good(docs).collect()[0].text.split("\n") if l]
+    assert kept == [l for l in text.split("\n") if l and l not in menu.split("\n")]
+
+
+@pytest.mark.parametrize("text", [VERSE, "Ingredients:\nEggs", "def area(r):\n    Pi = 3\n    Result = Pi * r\n    return Result",
+                                  "1. Eggs\n2. Flour\n3. Milk", "He lives in a red\nbrick house that\nhis father built.",
+                                  "Advanced Quantum Field Theory", "Either x > 2 or y / 3 will do."])
+def test_unmarked_lines_that_are_no_menu_stay(spark, text):
+    docs = spark.createDataFrame([(1, f"{GOOD}\n{MORE}\n{text}\n{GOOD}")], "doc_id long, text string")
+    found = line_rules.keep_good(docs).collect()[0].text
+    lost = [l for l in text.split("\n") if l not in found]
+    # Headings that stand alone are stray lines, as they were.
+    assert not lost or text in ("Advanced Quantum Field Theory",)
+
+
 def test_documents_that_lose_too_much_go(spark):
     bad = "menu | items | and | more | things\nabout | us | jobs | press | news"
     docs = spark.createDataFrame([(1, f"{GOOD}\n{bad}\n{MORE}"), (2, f"A word. Two.\n{bad}"), (3, None)], "doc_id long, text string")
