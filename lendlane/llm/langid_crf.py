@@ -416,9 +416,11 @@ def _labeller(model: Field, name: str) -> Labeller:
 
 
 def with_language(docs: DataFrame, model: Field | None, label: str = "lang_pred", score: str = "score",
-                  clear: str | None = None) -> DataFrame:
+                  clear: str | None = None, within: str | None = None) -> DataFrame:
     """All columns of `docs`, which has `text`, and two or three more. Names that `docs` has already must not be asked for.
 
+    `within` names a struct column that holds `text` instead, so that whole rows are carried and their text is sent once.
+
     `clear` is the mean over a text's words of each word's best probability, whatever label that is.
     """
     added = [(label, StringType(), pa.string()), (score, DoubleType(), pa.float64()), (clear, DoubleType(), pa.float64())]
@@ -431,7 +433,8 @@ def with_language(docs: DataFrame, model: Field | None, label: str = "lang_pred"
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(shared.value, name)
         for batch in batches:
-            found = labeller.judge([None if t is None else str(t) for t in batch.column("text").to_pylist()])
+            texts = batch.column(within).field("text") if within else batch.column("text")
+            found = labeller.judge([None if t is None else str(t) for t in texts.to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *[pa.array([f[k] for f in found], kind) for k, (_, _, kind) in enumerate(added)]],
                 names=[*batch.schema.names, *[name for name, _, _ in added]])
