@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid_crf.learn(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = langid_crf.with_language(docs.select("text", whole_row(docs.columns).alias("row")), model, "label", "score", "clear")
+    judged = langid_crf.with_language(docs.select(whole_row(docs.columns).alias("row")), model, "label", "score", "clear", "row")
     known = (F.col("label") != langid_crf.UNDETERMINED) & (F.col("clear") >= LEAST_LANGUAGE)
     return judged.where(known).select("row.*")
 
