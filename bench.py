@@ -21,6 +21,7 @@ HEADLINE = [
     "tfidf_retrieval", "policy_retrieval", "report_short", "report_full", "assess_batch", "audit_log",
     "audit_latest", "kpi_summary", "recent_transactions", "directory_lookup", "chat_history", "chat_fallback",
     "followup_prompt_table", "json_tool", "kpi_refresh_stream", "chunk_sync_stream",
+    "terms_interval_join", "orders_in_bands", "audit_upsert", "kpi_from_days", "kpi_latest_stream", "knn_indexed",
 ]
 
 
