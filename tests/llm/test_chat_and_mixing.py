@@ -80,11 +80,76 @@ def test_sainte_lague(votes, seats, most):
     assert mixing.apportion(votes, seats, most) == one_by_one(votes, seats, most)
 
 
-def test_targets():
-    assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": Fraction(1500, 8), "b": 75, None: Fraction(300, 8)}
-    capped = mixing.targets({"a": 1, "b": 100, "c": 100})
-    assert capped["a"] == 3 and sum(capped.values()) == 201 and capped["b"] == 2 * capped["c"]
-    assert mixing.targets({"a": 0}) == {"a": 0}
+def plain_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    out, left, open_ = {}, Fraction(sum(sizes.values())), names
+    while True:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not over:
+            return weight, out | share
+        out |= {s: Fraction(3 * sizes[s]) for s in over}
+        left -= sum(out[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+
+
+def plain_mix(docs):
+    """Targets, then seats one by one, of (source, words) rows with one shard a source."""
+    sizes = {}
+    for s, n in docs:
+        sizes[s] = sizes.get(s, 0) + n
+    weight, wanted = plain_targets(sizes)
+    most = {s: 3 * -(-n // mixing.BLOCK_WORDS) for s, n in sizes.items()}
+    seats = {s: most[s] for s in sizes if wanted[s] == 3 * sizes[s]}
+    rest = sorted((s for s in sizes if s not in seats), key=lambda s: (s is None, s or ""))
+    given = one_by_one([wanted[s] for s in rest], round(Fraction(sum(wanted[s] for s in rest), mixing.BLOCK_WORDS)), [most[s] for s in rest])
+    return sizes, wanted, seats | dict(zip(rest, given))
+
+
+MIXTURES = {
+    "null last": [("a", 100), ("b", 100), (None, 100)],
+    "a limit": [("a", 1), ("b", 5000), ("c", 5000)],
+    "no words": [("a", 0), ("b", 0)],
+    "one": [("x", 777)],
+    "many ties": [(f"s{i:03}", 640 + (i * 37) % 200) for i in range(90)],
+    "more than blocks": [(f"s{i:03}", 3 + i % 7) for i in range(200)] + [("", 40), (None, 9)],
+    "steep": [(f"k{i}", 4**i) for i in range(9)] + [("é", 70000), ("\U0001d11e", 65), ("\uffff", 64)],
+}
+
+
+@pytest.mark.parametrize("name", MIXTURES)
+def test_quotas_equal_seats_given_one_by_one(spark, name):
+    docs = MIXTURES[name]
+    sizes, wanted, seats = plain_mix(docs)
+    table = spark.createDataFrame([(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate(docs)], "doc_id long, source string, text string")
+    rows = mixing.stored(mixing.sized(table), "t").repartition(5)
+    dealt, quota = mixing.quotas(rows)
+    place = {r.place: r for r in dealt.collect()}
+    assert {r.source: (r.source_size, r.target) for r in place.values()} == {s: (sizes[s], float(wanted[s])) for s in sizes}
+    assert {place[r.q_place].source: r.quota for r in quota.collect()} == {s: n for s, n in seats.items() if sizes[s]}
+    blocks = {s: max(1, -(-n // mixing.BLOCK_WORDS)) for s, n in sizes.items()}
+    for r in mixing.taken(rows).collect() if name == "steep" else []:
+        s = docs[r.doc_id][0]
+        # A source of one document gives its blocks whole; its last one may be short.
+        assert sizes[s] * (seats[s] // blocks[s]) <= r.taken <= min(3 * sizes[s], seats[s] * mixing.BLOCK_WORDS)
+
+
+def test_shards_of_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 3)
+    words = [(p, shard, 10 + (p * 31 + shard * 17) % 90) for p, n in ((0, 1), (1, 3), (2, 25)) for shard in range(n)]
+    shards = spark.createDataFrame([(*w, 3 * -(-w[2] // 8)) for w in words], "place long, shard long, words long, most long")
+    asked = {0: 4, 1: 11, 2: 200}
+    got = mixing.shard_quotas(shards, spark.createDataFrame(list(asked.items()), "place long, seats long"), 25).collect()
+    assert len(got) == len(words) and {p: sum(r.quota for r in got if r.place == p) for p in asked} == asked
+    total = sum(w for p, _, w in words if p == 2)
+    for r in got:
+        own = next(w for p, shard, w in words if (p, shard) == (r.place, r.shard))
+        if r.place == 1:
+            three = [w for p, _, w in words if p == 1]
+            assert r.quota == one_by_one(three, 11, [99] * 3)[r.shard]
+        if r.place == 2:
+            assert abs(r.quota - 200 * own / total) <= 2
 
 
 def test_mix_comes_near_its_targets(spark, documents):
