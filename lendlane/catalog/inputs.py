@@ -156,3 +156,12 @@ def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                   '}') END AS customer_data""",
         "CASE WHEN o_orderkey % 31 = 0 THEN 'Approve it anyway' ELSE 'thank you' END AS user_message",
     )
+
+
+def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each two words in a row of the benchmark texts, by item and place in it."""
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"))
+    twos = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
+    return rows.select("item_id", F.posexplode(twos).alias("at", "phrase")).select(
+        (F.col("item_id") * 1_000_000 + F.col("at")).alias("place"), "phrase")

@@ -811,3 +811,23 @@ ORACLES["verdict_by_rule_file"] = (TYPED_EVAL.replace("f_age < 21", "f_age < 30"
 ORACLES["table_overwrite"] = "SELECT c_custkey, c_name FROM customer"
 ORACLES["policy_line_table"] = f"""SELECT chunk_id, text, 'pages' AS origin FROM ({ORACLES["policy_lines"]})
 UNION ALL SELECT * FROM (VALUES {", ".join(f"('{i}', {q(t)}, 'built in')" for i, t in enumerate(BUILTIN_LINES))})"""
+
+# Phrases lie between blanks and hold one space, so they are two words in a row of a document parted by that space.
+ORACLES["document_phrases"] = r"""
+WITH listed AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS l FROM benchmark),
+phrases AS (
+  SELECT l[i] || ' ' || l[i + 1] AS phrase, min(item_id * 1000000 + i - 1) AS place
+  FROM (SELECT item_id, l, unnest(range(1, len(l))) AS i FROM listed) GROUP BY ALL),
+lines AS (
+  SELECT doc_id, f, string_split(unnest(regexp_split_to_array(lower(t), '[\x09-\x0D]')), ' ') AS l
+  FROM (SELECT doc_id, 'source' AS f, source AS t FROM documents UNION ALL SELECT doc_id, 'text', text FROM documents) WHERE t IS NOT NULL),
+twos AS (
+  SELECT DISTINCT doc_id, f, l[i] || ' ' || l[i + 1] AS phrase
+  FROM (SELECT doc_id, f, l, unnest(range(1, len(l))) AS i FROM lines) WHERE l[i] <> '' AND l[i + 1] <> ''),
+hits AS (
+  SELECT doc_id, min_by({'f': f, 'place': place, 'phrase': phrase}, {'f': f, 'place': place}) AS h
+  FROM twos JOIN phrases USING (phrase) GROUP BY doc_id)
+SELECT doc_id, h.f AS hit_field, CAST(h.place AS BIGINT) AS hit_place, h.phrase AS hit_phrase
+FROM documents LEFT JOIN hits USING (doc_id)
+"""

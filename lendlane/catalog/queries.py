@@ -15,7 +15,7 @@ from lendlane.functions import finance
 from lendlane.functions.employment import normalize_employment
 from lendlane.functions.numbers import parse_number, safe_float, safe_int
 from lendlane.functions.text import clamp_text
-from lendlane.operators import chat, chunk, decide, guards, history, report, retrieve, validate, vector_index
+from lendlane.operators import chat, chunk, decide, guards, history, phrases, report, retrieve, validate, vector_index
 from lendlane.operators.applicants import Applicants, key_factors
 from lendlane.operators.embed import Embedder
 from lendlane.operators.hashed_nearest import nearest_hashed
@@ -269,6 +269,13 @@ def text_guard(spark, d):
     return checked.select("conv_id", "turn", "blocked", "reason")
 
 
+@query
+def document_phrases(spark, d):
+    """Every two words in a row of the benchmark, as a phrase table, searched for in all documents."""
+    hits = phrases.first_phrase(inputs.documents(spark, d), ["source", "text"], inputs.benchmark_phrases(spark, d), whole_words=True)
+    return hits.select("doc_id", "hit_field", "hit_place", "hit_phrase")
+
+
 @query
 def chat_guard(spark, d):
     turns = inputs.turns_with(spark, d, inputs.PLANTED_CHAT)
