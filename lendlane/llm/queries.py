@@ -49,6 +49,7 @@ def op3_chat(spark, d):
     planted = spark.createDataFrame(PLANTED_CHAT, "conv_id long, turn long, role string, text string")
     folder = shared_folder(spark, "chat")
     chat_prefix.write(_table(spark, d, "conversations").select(*planted.columns).unionByName(planted), folder)
+    chat_prefix.expand(spark, folder)
     return chat_prefix.digests(spark, folder)
 
 

@@ -1,6 +1,8 @@
 """Chat formatting read back, and mixtures against plain apportionment."""
 
 import hashlib
+import itertools
+import shutil
 from fractions import Fraction
 
 import pytest
@@ -22,6 +24,7 @@ def formatted(spark):
     chats = spark.createDataFrame([(*t, "clash", 1) for t in TURNS], "conv_id long, turn long, role string, text string, rendered string, start int")
     folder = shared_folder(spark, "t")
     chat_prefix.write(chats, folder)
+    chat_prefix.expand(spark, folder)
     return folder
 
 
@@ -30,8 +33,9 @@ def turns_of(conv_id):
     return sorted(own, key=lambda t: (t[0] is not None, t[0] or 0, t[1].encode(), t[2].encode()))
 
 
-def test_digests(spark, formatted):
-    rows = {r.conv_id: r for r in chat_prefix.digests(spark, formatted).collect()}
+@pytest.mark.parametrize("read", [chat_prefix.digests, chat_prefix.prefix_digests])
+def test_digests(spark, formatted, read):
+    rows = {r.conv_id: r for r in read(spark, formatted).collect()}
     assert set(rows) == {t[0] for t in TURNS}
     for conv_id, r in rows.items():
         own = turns_of(conv_id)
@@ -41,25 +45,49 @@ def test_digests(spark, formatted):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
-def test_each_assistant_turn_is_an_example(spark, formatted):
-    texts = chat_prefix.texts(spark, formatted).collect()
-    totals = {r.conv_id: r.formatted_chars for r in chat_prefix.digests(spark, formatted).collect()}
-    for conv_id in totals:
+@pytest.mark.parametrize("piece_chars", [chat_prefix.PIECE_CHARS, 30, 1])
+def test_each_assistant_turn_is_an_example(spark, formatted, piece_chars, tmp_path):
+    shutil.copytree(formatted, tmp_path / "chat", ignore=shutil.ignore_patterns("examples"))
+    folder = str(tmp_path / "chat")
+    chat_prefix.expand(spark, folder, piece_chars)
+    pieces = sorted(chat_prefix.examples(spark, folder).collect(), key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.record, r.piece))
+    assert sorted(map(str, chat_prefix.digests(spark, folder).collect())) == sorted(map(str, chat_prefix.prefix_digests(spark, folder).collect()))
+    for conv_id in {r.conv_id for r in pieces}:
         own = turns_of(conv_id)
-        records = sorted((r for r in texts if r.conv_id == conv_id), key=lambda r: r.record)
-        examples = [r for r in records if r.loss_start is not None]
-        assert [r.record for r in examples] == [k for k, t in enumerate(own) if t[1] == "assistant"]
-        for r in examples:
-            assert chat_prefix.unescaped(r.text[r.loss_start : r.loss_end]) == own[r.record][2]
-            assert r.text[r.loss_end :] == chat_prefix.CLOSE
-        assert sum(len(r.text) for r in records) == totals[conv_id]
-        assert records[-1].record == len(own) - 1  # nothing is left out
+        records = {}
+        for r in pieces:
+            if r.conv_id == conv_id:
+                records.setdefault(r.record, []).append(r)
+        assert [k for k, rows in records.items() if rows[-1].loss_start is not None] == [k for k, t in enumerate(own) if t[1] == "assistant"]
+        for k, rows in records.items():
+            assert [t for r in rows for t in chat_prefix.parsed(r.text)] == [(role, x) for _, role, x in own[: k + 1]]
+            assert rows[-1].n_turns == k + 1 and all(r.loss_start is None for r in rows[:-1])
+            if rows[-1].loss_start is not None:
+                assert chat_prefix.unescaped(rows[-1].text[rows[-1].loss_start : rows[-1].loss_end]) == own[k][2]
+                assert rows[-1].text[rows[-1].loss_end :] == chat_prefix.CLOSE
+        assert max(records) == len(own) - 1 and [r.final for r in pieces if r.conv_id == conv_id] == [
+            k == len(own) - 1 for k, rows in records.items() for _ in rows]
+
+
+def test_a_very_long_conversation_keeps_each_turn_once(spark):
+    n = 100_000
+    chat = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    folder = shared_folder(spark, "t")
+    chat_prefix.write(chat, folder)
+    (row,) = chat_prefix.prefix_digests(spark, folder).collect()
+    said = [("user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(n)]
+    loss = "".join(x for role, x in said if role == "assistant")
+    assert (row.n_turns, row.loss_sha256) == (n, hashlib.sha256(loss.encode()).hexdigest())
+    assert row.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in said).encode()).hexdigest()
+    upto = list(itertools.accumulate(len(r) + len(x) + 19 for r, x in said))
+    assert row.formatted_chars == sum(upto[1::2])
 
 
 def test_no_conversations(spark):
     folder = shared_folder(spark, "t")
     chat_prefix.write(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), folder)
-    assert chat_prefix.digests(spark, folder).count() == 0
+    chat_prefix.expand(spark, folder)
+    assert chat_prefix.digests(spark, folder).count() == 0 == chat_prefix.prefix_digests(spark, folder).count()
 
 
 def one_by_one(votes, seats, most):
