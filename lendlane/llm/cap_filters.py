@@ -7,10 +7,13 @@ every filter whose direction it meets at more than a set cosine; these are liste
 block by block, dropping whatever cannot reach the bound any more. Vectors of a
 label that share a filter are compared, in double precision.
 
-Equal vectors of a label are one class with a count. A pair of classes is counted in the first
-filter that both have. A filter shared by many is cut into blocks of vectors,
-and each pair of blocks is a task of its own. Filters grow in number with the
-largest label, so that a filter holds about as many vectors at every size.
+Equal vectors of a label are one class with a count. Each class is decoded and kept once,
+with the list of its filters. Vectors meet in groups of neighbouring filters, which share
+most of a direction: a vector goes once to each group that it has filters in, and is
+compared there filter by filter. A pair of classes is counted in the first group where both
+have a filter in common. A group of many is cut into blocks of vectors, and each pair of
+blocks is a task of its own. Filters grow in number with the largest label, so that a
+filter, and a group, hold about as many vectors at every size.
 
 The search is not exhaustive. Vectors that no direction of a code meets well are
 listed seldom, so there are several codes of independent rotations, and more of
@@ -39,8 +42,11 @@ FILTER_VECTORS = 256
 LEAST_FILTERS = 4096
 # Filters a vector is in at least: its best ones, even below the bound.
 LEAST_EACH = 4
-# Vectors of one block of a filter.
-BLOCK_VECTORS = 2000
+# Vectors that a group of filters is meant to hold, and those of one block of a group.
+BLOCK_VECTORS = 4096
+# Numbers held at once when filters are listed, and rows compared at once.
+DECODE_NUMBERS = 1 << 20
+COMPARE_ROWS = 512
 SEED = 7
 
 
@@ -86,6 +92,29 @@ class Code:
             numbers = numbers[np.argsort(-sums, kind="stable")[:LEAST_EACH]]
         return np.sort(numbers)
 
+    def decode_rows(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many vectors: rows and their filters' numbers, in no order."""
+        turned = units @ self.rotation
+        parts = [turned[:, cut] @ words.T for cut, words in zip(self.cuts, self.words)]
+        later = np.zeros((len(parts) + 1, len(units)))
+        for k in range(len(parts) - 1, 0, -1):
+            later[k] = later[k + 1] + parts[k].max(axis=1)
+        row, number, total = np.arange(len(units)), np.zeros(len(units), dtype=np.int64), np.zeros(len(units))
+        for k, part in enumerate(parts):
+            kept = []
+            step = max(1, DECODE_NUMBERS // self.n_words)
+            for start in range(0, len(row), step):
+                r, n, t = (x[start : start + step] for x in (row, number, total))
+                sums = t[:, None] + part[r]
+                i, j = np.nonzero(sums >= (self.bound - 1e-9 - later[k + 1][r])[:, None])
+                kept.append((r[i], n[i] * self.n_words + j, sums[i, j]))
+            row, number, total = (np.concatenate(c) for c in zip(*kept)) if kept else (row, number, total)
+        few = np.bincount(row, minlength=len(units)) < LEAST_EACH
+        best = [(r, self.decode(units[r])) for r in np.flatnonzero(few)]
+        enough = ~few[row]
+        return (np.concatenate([row[enough], *[np.full(len(n), r) for r, n in best]]),
+                np.concatenate([number[enough], *[n for _, n in best]]))
+
 
 class Codes:
     """Several codes side by side; their filters are numbered through."""
@@ -103,6 +132,17 @@ class Codes:
             first += code.n_words ** len(code.words)
         return np.concatenate(numbers)
 
+    def decode_rows(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many filters each unit vector has, and their numbers, ascending within a vector."""
+        first, rows, numbers = 0, [], []
+        for code in self.codes:
+            row, number = code.decode_rows(units)
+            rows.append(row)
+            numbers.append(first + number)
+            first += code.n_words ** len(code.words)
+        row, number = np.concatenate(rows), np.concatenate(numbers)
+        return np.bincount(row, minlength=len(units)), number[np.lexsort((number, row))]
+
 
 def unit_vectors(raw: np.ndarray) -> np.ndarray:
     """Rows at length one, in double precision, without a square that overflows or vanishes."""
@@ -123,115 +163,156 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, found
 
 
-def _number(vectors: DataFrame) -> str:
-    """The components' own type, in which vectors travel; they are compared as doubles."""
-    return {"array<float>": "<f4"}.get(dict(vectors.dtypes)["embedding"], "<f8")
+def _rows(lists: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, one after the other, and the lengths of the lists."""
+    whole = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return whole.flatten().to_numpy(zero_copy_only=False), whole.value_lengths().to_numpy(zero_copy_only=False)
 
 
-def filtered(reps: DataFrame, each: int = FILTERS_EACH) -> DataFrame:
-    """A row for each class and filter: `label`, `size` (vector length), `filter`, `rep`, `copies`, `vector`, `filters`."""
+def sizes(reps: DataFrame, each: int, block_vectors: int) -> tuple[int, int]:
+    """How many filters a code has, and how many of them are a group, so that a group holds about a block of vectors."""
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     filters = max(LEAST_FILTERS, each * largest // FILTER_VECTORS)
-    names = ["label", "size", "filter", "rep", "copies", "vector", "filters"]
-    number = _number(reps)
+    return filters, max(1, block_vectors * filters // max(1, each * largest))
+
+
+def filtered(reps: DataFrame, filters: int, each: int = FILTERS_EACH) -> DataFrame:
+    """Classes (`label`, `embedding`, `rep`, `copies`) with the numbers of their `filters`, ascending."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_length: dict[int, Codes] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                rows = []
-                for r in batch.slice(start, 500).to_pylist():
-                    raw = np.array([r["embedding"]], dtype=number)
-                    n = raw.shape[1]
+            for begin in range(0, batch.num_rows, COMPARE_ROWS):
+                part = batch.slice(begin, COMPARE_ROWS)
+                values, lengths = _rows(part.column("embedding"))
+                starts = np.cumsum(lengths) - lengths
+                found: list = [None] * part.num_rows
+                for n in np.unique(lengths).tolist():
+                    rows = np.flatnonzero(lengths == n)
                     codes = by_length.get(n) or by_length.setdefault(n, Codes(n, filters, each))
-                    numbers = codes.decode(unit_vectors(raw)[0])
-                    row = (r["label"], n, r["rep"], r["copies"], raw.tobytes(), numbers.tobytes())
-                    rows += [(*row[:2], f, *row[2:]) for f in numbers.tolist()]
-                kinds = [batch.schema.field("label").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    kind = dict(reps.dtypes)["label"]
+                    counts, numbers = codes.decode_rows(unit_vectors(values[starts[rows][:, None] + np.arange(n)]))
+                    for row, own in zip(rows.tolist(), np.split(numbers, np.cumsum(counts)[:-1])):
+                        found[row] = own
+                offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "filters"])
+
+    kind = dict(reps.dtypes)
     return reps.select("label", "embedding", "rep", "copies").mapInArrow(
-        listed, f"label {kind}, size int, filter long, rep long, copies long, vector binary, filters binary")
+        listed, f"label {kind['label']}, embedding {kind['embedding']}, rep long, copies long, filters array<long>")
 
 
-def in_blocks(listed: DataFrame, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
-    """Deal the vectors of each large filter to blocks, and give every pair of blocks (`i`, `j`) its rows."""
-    key = ["label", "size", "filter"]
-    large = listed.groupBy(*key).count().where(F.col("count") > block_vectors).select(
+def in_blocks(listed: DataFrame, group_filters: int, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
+    """Send each class to the groups it has filters in, deal those of large groups to blocks, and give every pair of blocks (`i`, `j`) its rows.
+
+    `filters` are those of the group and, as far as they come before it, of others.
+    """
+    key = ["label", "size", "group"]
+    groups = F.array_distinct(F.transform("filters", lambda f: F.floor(f / group_filters)))
+    sent = listed.select("label", F.size("embedding").alias("size"), F.explode(groups).alias("group"), "rep", "copies", "embedding", "filters")
+    large = sent.groupBy(*key).count().where(F.col("count") > block_vectors).select(
         *[F.col(k).alias(f"l_{k}") for k in key], F.ceil(F.col("count") / block_vectors).cast("int").alias("blocks"))
-    same = [listed[k] == large[f"l_{k}"] for k in key]
-    cut = listed.join(large, same, "left").drop(*[f"l_{k}" for k in key])
+    same = [sent[k] == large[f"l_{k}"] for k in key]
+    cut = sent.join(large, same, "left").drop(*[f"l_{k}" for k in key])
     n = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("rep"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda other: F.struct(
         F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    return cut.select(*key, "rep", "copies", "vector", "filters", own.alias("own"), F.explode(pairs).alias("pair")).select(
-        *key, "pair.i", "pair.j", "own", "rep", "copies", "vector", "filters")
+    needed = F.filter("filters", lambda f: f < (F.col("group") + 1) * group_filters)
+    return cut.select(*key, "rep", "copies", "embedding", needed.alias("filters"), own.alias("own"), F.explode(pairs).alias("pair")).select(
+        *key, "pair.i", "pair.j", "own", "rep", "copies", "embedding", "filters")
+
+
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the smallest linked one, after links between `a` and `b` are added."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root[root] != root).any():
+            root = root[root]
 
 
-def verified(blocks: DataFrame, number: str, threshold: float = THRESHOLD) -> DataFrame:
+def verified(blocks: DataFrame, group_filters: int, threshold: float = THRESHOLD) -> DataFrame:
     """For each class and task with links: `rep`, `links` first found here, and `root`, the smallest class linked here."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, ["label", "size", "filter", "i", "j"]):
+        for table in sorted_groups(batches, by_task):
             if table.num_rows < 2:
                 continue
             column = lambda c: table.column(c).to_numpy()
-            i, j, this = (table.column(c)[0].as_py() for c in ("i", "j", "filter"))
+            i, j, group = (table.column(c)[0].as_py() for c in ("i", "j", "group"))
             own, reps, copies = column("own"), column("rep"), column("copies")
-            raw = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=number)
-            units = unit_vectors(raw.reshape(table.num_rows, -1))
-            lists = [np.frombuffer(f, dtype=np.int64) for f in table.column("filters").to_pylist()]
+            units = unit_vectors(_rows(table.column("embedding"))[0].reshape(table.num_rows, -1))
+            filters, lengths = _rows(table.column("filters"))
+            holder = np.repeat(np.arange(table.num_rows), lengths)
+            here = filters >= group * group_filters
+            known, place = np.unique(filters[here], return_inverse=True)
+            member = np.zeros((len(known), table.num_rows), dtype=bool)
+            member[place, holder[here]] = True
+            earlier = [np.sort(f) for f in np.split(np.where(here, -1, filters), np.cumsum(lengths)[:-1])]
             left, right = (np.flatnonzero(own == b) for b in (i, j))
-            links, label = np.zeros(len(reps), dtype=np.int64), np.arange(len(reps))
-            a_all, b_all = [], []
-            for start in range(0, len(left), 512):
-                rows = left[start : start + 512]
-                near = units[rows] @ units[right].T >= threshold
-                x, y = np.nonzero(near)
-                a, b = rows[x], right[y]
+            on_right = [right[m[right]] for m in member]
+            links, root = np.zeros(len(reps), dtype=np.int64), np.arange(len(reps))
+            smaller = np.argsort(reps, kind="stable")
+            rank = np.empty(len(reps), dtype=np.int64)
+            rank[smaller] = np.arange(len(reps))
+            linked = np.zeros(len(reps), dtype=bool)
+            for start in range(0, len(left), COMPARE_ROWS):
+                rows = left[start : start + COMPARE_ROWS]
+                near = np.zeros((len(rows), len(reps)), dtype=bool)
+                for m, others in zip(member, on_right):
+                    some = np.flatnonzero(m[rows])
+                    if len(some) and len(others):
+                        near[np.ix_(some, others)] |= units[rows[some]] @ units[others].T >= threshold
+                x, b = np.nonzero(near)
+                a = rows[x]
                 once = reps[a] < reps[b] if i == j else reps[a] != reps[b]
-                a_all.append(a[once])
-                b_all.append(b[once])
-            a, b = np.concatenate(a_all), np.concatenate(b_all)
-            if not len(a):
-                continue
-            # A pair counts here unless both are in an earlier filter too.
-            some, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            earlier = [lists[k][lists[k] < this] for k in some.tolist()]
-            known, codes = np.unique(np.concatenate(earlier), return_inverse=True)
-            member = np.zeros((len(some), len(known)), dtype=np.float32)
-            member[np.repeat(np.arange(len(some)), [len(e) for e in earlier]), codes] = 1
-            p, q = at[: len(a)], at[len(a) :]
-            first = np.ones(len(a), dtype=bool)
-            for start in range(0, len(a), 1 << 16):
-                part = slice(start, start + (1 << 16))
-                first[part] = ~(member[p[part]] * member[q[part]]).any(axis=1)
-            np.add.at(links, a[first], copies[b[first]])
-            np.add.at(links, b[first], copies[a[first]])
-            root = reps.copy()
-            while True:
-                before = root.copy()
-                low = np.minimum(root[a], root[b])
-                np.minimum.at(root, a, low)
-                np.minimum.at(root, b, low)
-                if (root == before).all():
-                    break
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(reps[some]), pa.array(links[some]), pa.array(root[some])], names=["rep", "links", "root"])
-
-    by_task = ["label", "size", "filter", "i", "j"]
+                a, b = a[once], b[once]
+                if not len(a):
+                    continue
+                linked[a] = linked[b] = True
+                root = _merged(root, rank[a], rank[b])
+                first = _first_met(a, b, earlier)
+                np.add.at(links, a[first], copies[b[first]])
+                np.add.at(links, b[first], copies[a[first]])
+            some = np.flatnonzero(linked)
+            if len(some):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(reps[some]), pa.array(links[some]), pa.array(reps[smaller[root[rank[some]]]])], names=["rep", "links", "root"])
+
+    by_task = ["label", "size", "group", "i", "j"]
     dealt = blocks.repartition(shuffle_partitions(blocks.sparkSession), *by_task).sortWithinPartitions(*by_task)
     return dealt.mapInArrow(compared, "rep long, links long, root long")
 
 
+def _first_met(a: np.ndarray, b: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
+    """Which pairs have no filter of an earlier group in common (-1 stands for a filter of this group)."""
+    some, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    lists = [earlier[k][np.searchsorted(earlier[k], 0) :] for k in some.tolist()]
+    known, place = np.unique(np.concatenate(lists), return_inverse=True)
+    member = np.zeros((len(some), len(known)), dtype=np.float32)
+    member[np.repeat(np.arange(len(some)), [len(f) for f in lists]), place] = 1
+    p, q = at[: len(a)], at[len(a) :]
+    first = np.ones(len(a), dtype=bool)
+    step = max(1, DECODE_NUMBERS * 8 // max(1, len(known)))
+    for start in range(0, len(a), step):
+        part = slice(start, start + step)
+        first[part] = ~(member[p[part]] * member[q[part]]).any(axis=1)
+    return first
+
+
 def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, each: int = FILTERS_EACH,
                    block_vectors: int = BLOCK_VECTORS) -> DataFrame:
     """`vec_id`, `n_links`, `component_id`, `kept` for each row of `vectors` (`vec_id`, `embedding`, `label`)."""
     rows, found = classes(vectors)
     reps = stored(found, "vector-classes")
-    pairs = stored(verified(in_blocks(stored(filtered(reps, each), "caps"), block_vectors), _number(reps), threshold), "vector-links")
+    filters, group_filters = sizes(reps, each, block_vectors)
+    listed = stored(filtered(reps, filters, each), "caps")
+    pairs = stored(verified(in_blocks(listed, group_filters, block_vectors), group_filters, threshold), "vector-links")
     links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
     rooted = components(pairs.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     placed = reps.join(links, "rep", "left").join(rooted, reps["rep"] == rooted["node"], "left").select(

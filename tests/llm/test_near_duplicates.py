@@ -121,6 +121,22 @@ def test_vectors_are_linked_as_by_brute_force(spark, block_vectors):
     assert cap_filters.linked_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length, filters", [(64, 4096), (64, 1 << 17), (3, 4096), (1, 4096)])
+def test_vectors_side_by_side_have_the_filters_of_each(length, filters):
+    units = cap_filters.unit_vectors(np.random.default_rng(8).normal(size=(70, length)))
+    codes = cap_filters.Codes(length, filters)
+    counts, numbers = codes.decode_rows(units)
+    assert len(units) == len(counts) and [n.tolist() for n in np.split(numbers, np.cumsum(counts)[:-1])] == [codes.decode(u).tolist() for u in units]
+
+
+def test_a_vector_is_sent_to_few_groups(spark):
+    reps = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("label", "embedding", "vec_id as rep", "1L as copies")
+    reps = cap_filters.stored(reps, "t")
+    filters, group = cap_filters.sizes(reps, cap_filters.FILTERS_EACH, cap_filters.BLOCK_VECTORS)
+    sent = cap_filters.in_blocks(cap_filters.filtered(reps, filters), group).count() / reps.count()
+    assert sent < 12
+
+
 def test_recall_at_the_threshold():
     random = np.random.default_rng(2)
     code = cap_filters.Codes(64, cap_filters.LEAST_FILTERS)
