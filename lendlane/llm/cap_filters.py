@@ -43,10 +43,13 @@ LEAST_FILTERS = 4096
 # Filters a vector is in at least: its best ones, even below the bound.
 LEAST_EACH = 4
 # Vectors that a group of filters is meant to hold, and those of one block of a group.
-BLOCK_VECTORS = 4096
-# Numbers held at once when filters are listed, and rows compared at once.
+BLOCK_VECTORS = 8192
+# Vectors decoded at once, numbers held while they are, and pairs looked at at once.
+DECODE_ROWS = 512
 DECODE_NUMBERS = 1 << 20
-COMPARE_ROWS = 512
+COMPARE_PAIRS = 1 << 22
+# Large groups up to which their list is broadcast (some 50 bytes each); a longer one is joined by a shuffle.
+BROADCAST_GROUPS = 200_000
 SEED = 7
 
 
@@ -182,8 +185,8 @@ def filtered(reps: DataFrame, filters: int, each: int = FILTERS_EACH) -> DataFra
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_length: dict[int, Codes] = {}
         for batch in batches:
-            for begin in range(0, batch.num_rows, COMPARE_ROWS):
-                part = batch.slice(begin, COMPARE_ROWS)
+            for begin in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(begin, DECODE_ROWS)
                 values, lengths = _rows(part.column("embedding"))
                 starts = np.cumsum(lengths) - lengths
                 found: list = [None] * part.num_rows
@@ -210,8 +213,10 @@ def in_blocks(listed: DataFrame, group_filters: int, block_vectors: int = BLOCK_
     key = ["label", "size", "group"]
     groups = F.array_distinct(F.transform("filters", lambda f: F.floor(f / group_filters)))
     sent = listed.select("label", F.size("embedding").alias("size"), F.explode(groups).alias("group"), "rep", "copies", "embedding", "filters")
-    large = sent.groupBy(*key).count().where(F.col("count") > block_vectors).select(
-        *[F.col(k).alias(f"l_{k}") for k in key], F.ceil(F.col("count") / block_vectors).cast("int").alias("blocks"))
+    large = stored(sent.groupBy(*key).count().where(F.col("count") > block_vectors).select(
+        *[F.col(k).alias(f"l_{k}") for k in key], F.ceil(F.col("count") / block_vectors).cast("int").alias("blocks")), "large-groups")
+    if large.count() <= BROADCAST_GROUPS:
+        large = F.broadcast(large)
     same = [sent[k] == large[f"l_{k}"] for k in key]
     cut = sent.join(large, same, "left").drop(*[f"l_{k}" for k in key])
     n = F.coalesce("blocks", F.lit(1))
@@ -261,8 +266,9 @@ def verified(blocks: DataFrame, group_filters: int, threshold: float = THRESHOLD
             rank = np.empty(len(reps), dtype=np.int64)
             rank[smaller] = np.arange(len(reps))
             linked = np.zeros(len(reps), dtype=bool)
-            for start in range(0, len(left), COMPARE_ROWS):
-                rows = left[start : start + COMPARE_ROWS]
+            step = max(1, COMPARE_PAIRS // len(reps))
+            for start in range(0, len(left), step):
+                rows = left[start : start + step]
                 near = np.zeros((len(rows), len(reps)), dtype=bool)
                 for m, others in zip(member, on_right):
                     some = np.flatnonzero(m[rows])
@@ -294,14 +300,15 @@ def _first_met(a: np.ndarray, b: np.ndarray, earlier: list[np.ndarray]) -> np.nd
     some, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     lists = [earlier[k][np.searchsorted(earlier[k], 0) :] for k in some.tolist()]
     known, place = np.unique(np.concatenate(lists), return_inverse=True)
-    member = np.zeros((len(some), len(known)), dtype=np.float32)
-    member[np.repeat(np.arange(len(some)), [len(f) for f in lists]), place] = 1
+    member = np.zeros((len(some), len(known) // 8 + 1), dtype=np.uint8)
+    holder = np.repeat(np.arange(len(some)), [len(f) for f in lists])
+    np.bitwise_or.at(member, (holder, place >> 3), np.left_shift(1, place & 7).astype(np.uint8))
     p, q = at[: len(a)], at[len(a) :]
     first = np.ones(len(a), dtype=bool)
-    step = max(1, DECODE_NUMBERS * 8 // max(1, len(known)))
+    step = max(1, COMPARE_PAIRS // member.shape[1])
     for start in range(0, len(a), step):
         part = slice(start, start + step)
-        first[part] = ~(member[p[part]] * member[q[part]]).any(axis=1)
+        first[part] = ~(member[p[part]] & member[q[part]]).any(axis=1)
     return first
 
 
