@@ -9,7 +9,6 @@ from __future__ import annotations
 from lendlane.catalog import inputs
 from lendlane.functions.finance import TERM_BANDS
 from lendlane.operators import chat, guards, retrieve
-from lendlane.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, _passages
 from lendlane.operators.hashed_nearest import directions
 from lendlane.operators.validate import ACCEPTED_EMPLOYMENT, SPECIAL_CHARACTERS
 from lendlane.config import DEFAULT_RULES
@@ -555,9 +554,21 @@ ORACLES["tfidf_retrieval"] = ctes(
     ("ranked", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM pairs"),
 ) + "SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 3"
 
-# The passages of the built-in policy and rules, cut once here; the cutting itself is tested by itself.
-_PASSAGES = [(f"{source}_{i}", p) for source, text in (("policy", BUILTIN_POLICY), ("rules", DEFAULT_RULES.as_text()))
-             for i, p in enumerate(p for p in _passages(text, CHUNK_SIZE, CHUNK_OVERLAP) if p)]
+ORACLES["idf_by_versions"] = ctes(
+    ("docs", "SELECT doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id % 7 <> 0"), *_weights("docs", "d"),
+) + """SELECT s.slot, count(id) AS passages, round(ln(((SELECT count(*) FROM docs) + 1e0) / (count(id) + 1e0)), 9) AS idf
+FROM (SELECT unnest(range(128)) AS slot) s LEFT JOIN d_counts d ON d.slot = s.slot GROUP BY s.slot"""
+ORACLES["policy_files"] = f"""
+SELECT trim(line, {_SPACE}) AS line, count(*) AS times FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+WHERE length(trim(line, {_SPACE})) > 20 GROUP BY ALL"""
+
+# Where the passages of the built-in policy and rules begin and end.
+_SPANS = {
+    "policy": [(1, 422), (424, 830), (831, 1179), (1181, 1660), (1662, 2071), (2073, 2315)],
+    "rules": [(0, 490), (455, 950), (955, 1217)],
+}
+_PASSAGES = [(f"{source}_{i}", text[begin:end]) for source, text in (("policy", BUILTIN_POLICY), ("rules", DEFAULT_RULES.as_text()))
+             for i, (begin, end) in enumerate(_SPANS[source])]
 POLICY_SEARCH = [
     ("raw", RAW), ("questions", f"SELECT application_id, {QUESTION} AS question FROM raw"),
     ("passages(id, text)", "VALUES " + ", ".join(f"({q(i)}, {q(t)})" for i, t in _PASSAGES)),

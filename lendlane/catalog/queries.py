@@ -15,7 +15,7 @@ from lendlane.functions import finance
 from lendlane.functions.employment import normalize_employment
 from lendlane.functions.numbers import parse_number, safe_float, safe_int
 from lendlane.functions.text import clamp_text
-from lendlane.operators import chat, chunk, decide, guards, history, phrases, report, retrieve, validate, vector_index
+from lendlane.operators import chat, chunk, decide, frequencies, guards, history, phrases, report, retrieve, validate, vector_index
 from lendlane.operators.applicants import Applicants, key_factors
 from lendlane.operators.embed import Embedder
 from lendlane.operators.hashed_nearest import nearest_hashed
@@ -25,7 +25,7 @@ from lendlane.plans import assess as assessing, corpus as corpora, kpi, kpi_days
 from lendlane.plans.followup import followup_prompts
 from lendlane.plans.tool import evaluate_json
 from lendlane.session import shared_folder
-from lendlane.sources import audit, customers, keyed, payload, rules, tables
+from lendlane.sources import audit, customers, keyed, payload, policy, rules, tables
 from lendlane.streaming import chunk_sync, kpi_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,6 +433,27 @@ def tfidf_retrieval(spark, d):
     return found.select("query_id", _long("rank"), "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+@query
+def idf_by_versions(spark, d):
+    # All documents come in three versions; a fourth takes some of them away again.
+    folder = shared_folder(spark, "frequencies")
+    docs = inputs.documents(spark, d)
+    for version in range(3):
+        frequencies.write_version(folder, version, docs.where(F.col("doc_id") % 3 == version))
+    frequencies.write_version(folder, 3, docs.limit(0), removed=docs.where("doc_id % 7 = 0"))
+    found = frequencies.weights(frequencies.frequencies(spark, folder))
+    return found.select(_long("slot"), "passages", F.round("idf", 9).alias("idf"))
+
+
+@query
+def policy_files(spark, d):
+    # Texts laid down as files and read back whole, a file a row; their lines as policy lines are told from headings.
+    folder = shared_folder(spark, "policy-texts")
+    inputs.documents(spark, d).select(F.coalesce("text", F.lit("")).alias("text")).write.text(folder)
+    lines = policy.policy_text(spark, folder).select(F.explode(chunk.kept_lines(F.col("text"))).alias("line"))
+    return lines.groupBy("line").agg(F.count("*").alias("times"))
+
+
 @query
 def policy_retrieval(spark, d):
     corpus, embedder = corpora.build_corpus(corpora.policy_documents(spark))

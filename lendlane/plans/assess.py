@@ -40,8 +40,12 @@ def assess(applications: DataFrame, rules: Rules = DEFAULT_RULES, gates: Gates =
     evaluation_factors, reasoning, documents_required, disclaimer,
     guardrail_status, sanitized, retrieved, and the evaluation itself.
     Passages come from the keyword table, or from `corpus` when one is given.
-    With keywords the whole assessment is one narrow stage.
+    With keywords the whole assessment is one narrow stage. Applications without
+    ids get them from what they say (`with_identity`); equal ones share an id.
     """
+    if "application_id" not in applications.columns:
+        stated = [n for n in (*FIELD_ORDER, "user_message") if n in applications.columns]
+        applications = with_identity(applications, *stated)
     guarded = guards.check_applicants(applications, enabled=gates.guardrails)
     checked = validate_required(guarded)
     outcome = F.when(F.col("blocked"), "blocked").when(~F.col("valid"), "invalid").otherwise("scored")

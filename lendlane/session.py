@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if wanted else df
 
 
+def _reaches_all(master: str, folder: str) -> bool:
+    """Whether a folder is on a store of its own, or all of the session on one machine."""
+    scheme = folder.partition(":")[0] if ":" in folder else "file"
+    return scheme != "file" or re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared folder named by `spark.checkpoint.dir`.
 
-    A session without the setting writes under its warehouse, which all executors share too.
+    A local session without the setting writes under its warehouse. So does one on a cluster, if the
+    warehouse is no folder of the machine the driver runs on; otherwise it is refused, as executors would each see a folder of their own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lendlane-scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not _reaches_all(spark.sparkContext.master, warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{warehouse}/lendlane-scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
