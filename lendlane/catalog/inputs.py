@@ -158,6 +158,19 @@ def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dynamic_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed applications as JSON, with debts as numbers, texts, null or not at all."""
+    return applicants(spark, sf_dir).select("application_id", F.expr("""concat(
+        rtrim('}', to_json(named_struct('name', name, 'age', age, 'monthly_income', monthly_income, 'employment_type', employment_type,
+            'loan_amount_requested', concat(loan_amount_requested, '')))),
+        if(application_id % 2 = 0, concat(', "credit_score": ', credit_score), concat(', "credit_score": "', credit_score, '"')),
+        CASE application_id % 5 WHEN 0 THEN ', "existing_liabilities": 0' WHEN 1 THEN ', "existing_liabilities": "0"'
+            WHEN 2 THEN concat(', "existing_liabilities": ', existing_liabilities) WHEN 3 THEN ', "existing_liabilities": null'
+            ELSE concat(', "existing_liabilities": "', existing_liabilities, '"') END,
+        CASE application_id % 3 WHEN 0 THEN ', "monthly_loan_payment": 5000.5' WHEN 1 THEN ', "monthly_loan_payment": "7,500"' ELSE '' END,
+        '}')""").alias("customer_data"))
+
+
 def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each two words in a row of the benchmark texts, by item and place in it."""
     words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")

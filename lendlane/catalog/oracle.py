@@ -274,6 +274,12 @@ SELECT application_id, round(CASE WHEN f_income <> 0 THEN f_debt / f_income ELSE
 # --- decisions ---------------------------------------------------------------
 
 ORACLES["eligibility_verdict"] = TYPED_EVAL + "SELECT application_id, stage, eligibility, score FROM scored"
+# The number 0 and null give way to the monthly payment; the text "0" does not.
+_OWED = """CASE WHEN application_id % 5 IN (0, 3) OR application_id % 5 = 2 AND existing_liabilities = 0
+  THEN CASE application_id % 3 WHEN 0 THEN 5000.5e0 WHEN 1 THEN 7500e0 ELSE 0e0 END
+  WHEN application_id % 5 = 1 THEN 0e0 ELSE CAST(existing_liabilities AS DOUBLE) END"""
+ORACLES["dynamic_verdicts"] = ctes(*cascade(f"SELECT * REPLACE ({_OWED} AS existing_liabilities) FROM ({APPLICANTS})", TYPED)) + """
+SELECT application_id, f_debt AS debt, stage, eligibility, score FROM scored"""
 ORACLES["score_breakdown"] = TYPED_EVAL + """SELECT application_id, CAST(p_income AS BIGINT) p_income, CAST(p_credit AS BIGINT) p_credit,
   CAST(p_debt AS BIGINT) p_debt, CAST(p_employment AS BIGINT) p_employment, CAST(p_request AS BIGINT) p_request,
   CAST(points AS BIGINT) points FROM scored"""

@@ -15,7 +15,7 @@ from lendlane.functions import finance
 from lendlane.functions.employment import normalize_employment
 from lendlane.functions.numbers import parse_number, safe_float, safe_int
 from lendlane.functions.text import clamp_text
-from lendlane.operators import chat, chunk, decide, frequencies, guards, history, phrases, report, retrieve, validate, vector_index
+from lendlane.operators import chat, chunk, decide, dynamic, frequencies, guards, history, phrases, report, retrieve, validate, vector_index
 from lendlane.operators.applicants import Applicants, key_factors
 from lendlane.operators.embed import Embedder
 from lendlane.operators.hashed_nearest import nearest_hashed
@@ -149,6 +149,12 @@ def eligibility_verdict(spark, d):
     return rows.select("application_id", "stage", "eligibility", _long("score"))
 
 
+@query
+def dynamic_verdicts(spark, d):
+    rows = decide.score_applicants(dynamic.with_fields(inputs.dynamic_payloads(spark, d)))
+    return rows.select("application_id", F.col("f_debt").alias("debt"), "stage", "eligibility", _long("score"))
+
+
 @query
 def score_breakdown(spark, d):
     rows = decide.score_applicants(inputs.applicants(spark, d))

@@ -19,8 +19,8 @@ NO_PURPOSE = "Not Specified"
 class Applicants:
     """Typed access to the applicant columns of a table of applications.
 
-    A table is either raw (text columns, as files and forms deliver them) or
-    typed (numeric columns). Absent columns read as NULL.
+    A column is raw (text, as files and forms deliver it), typed (a number), or a VARIANT
+    (dynamic), whose type is looked at in each row. Absent columns read as NULL.
     """
 
     def __init__(self, df: DataFrame):
@@ -33,31 +33,59 @@ class Applicants:
     def is_text(self, name: str) -> bool:
         return isinstance(self._types.get(name), T.StringType)
 
+    def is_variant(self, name: str) -> bool:
+        return isinstance(self._types.get(name), T.VariantType)
+
+    def _is_said(self, name: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.col(name)) == "STRING", F.lit(False))
+
+    def said(self, name: str) -> Column:
+        """What was given as text; NULL for a number."""
+        return F.when(self._is_said(name), self.text(name)) if self.is_variant(name) else self.text(name)
+
+    def _dynamic(self, name: str, read, kind: str) -> Column:
+        """A VARIANT's number: a text is read, anything else is cast."""
+        return F.when(self._is_said(name), read(self.text(name))).otherwise(F.try_variant_get(F.col(name), "$", kind))
+
     def text(self, name: str) -> Column:
         if not self.has(name):
             return F.lit(None).cast("string")
+        if self.is_variant(name):
+            return F.try_variant_get(F.col(name), "$", "string")
         return F.col(name) if self.is_text(name) else F.col(name).cast("string")
 
     def number(self, name: str) -> Column:
         """Lenient reading, as the scoring cascade uses it."""
         if not self.has(name):
             return F.lit(None).cast("double")
+        if self.is_variant(name):
+            return self._dynamic(name, parse_number, "double")
         return parse_number(F.col(name)) if self.is_text(name) else F.col(name).cast("double")
 
     def decimal(self, name: str) -> Column:
         """Strict reading of a number, as the validators use it."""
         if not self.has(name):
             return F.lit(None).cast("double")
+        if self.is_variant(name):
+            return self._dynamic(name, strict_float, "double")
         return strict_float(F.col(name)) if self.is_text(name) else F.col(name).cast("double")
 
     def whole(self, name: str) -> Column:
         """Strict reading of a whole number; numeric columns lose their fraction, text may not have one."""
         if not self.has(name):
             return F.lit(None).cast("bigint")
+        if self.is_variant(name):
+            return self._dynamic(name, strict_int, "bigint")
         return strict_int(F.col(name)) if self.is_text(name) else F.col(name).cast("bigint")
 
     def is_zero(self, name: str) -> Column:
-        """True for a zero. A zero written as text counts as the number 0: files and forms deliver numbers."""
+        """True for a zero.
+
+        In a text column a zero counts as the number 0, since files and forms deliver numbers;
+        in a dynamic one a text is a text.
+        """
+        if self.is_variant(name):
+            return ~self._is_said(name) & F.coalesce(self.decimal(name) == 0, F.lit(False))
         return F.coalesce(self.decimal(name) == 0, F.lit(False))
 
     def debt(self) -> Column:

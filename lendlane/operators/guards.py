@@ -144,9 +144,9 @@ def check_applicants(df: DataFrame, patterns=BLOCKED_PHRASES, enabled: bool = Tr
     if not enabled:
         return df.withColumns({"reason": F.lit(""), "blocked": F.lit(False)})
     a = Applicants(df)
-    named = [n for n in FIELD_ORDER if a.is_text(n)]
-    fields = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in named])
-    joined = F.concat_ws("\n", *[F.col(n) for n in named])
+    named = [n for n in FIELD_ORDER if a.is_text(n) or a.is_variant(n)]
+    fields = F.array(*[F.struct(F.lit(n).alias("name"), a.said(n).alias("value")) for n in named])
+    joined = F.concat_ws("\n", *[a.said(n) for n in named])
     return input_guard(df, fields, joined, a.text("user_message"), a.decimal("monthly_income"), patterns)
 
 
