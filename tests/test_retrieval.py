@@ -204,3 +204,37 @@ def test_worker_functions_travel_by_value(tmp_path):
     code = "import pickle, sys; f, *_ = pickle.loads(sys.stdin.buffer.read()); print(list(f('a b', 500, 50)))"
     done = subprocess.run([sys.executable, "-c", code], input=blob, capture_output=True, cwd=tmp_path, env={})
     assert done.stdout.decode().strip() == "['a b']", done.stderr.decode()[-300:]
+
+
+def test_a_search_by_blocks_ships_a_query_once_a_slice(spark):
+    from lendlane.operators import nearest as operator
+
+    rng = np.random.default_rng(11)
+
+    def packed(rows):
+        """Bytes of vectors handed to the tasks, and the rows of the plan's exchanges before them."""
+        seen = []
+        original = operator.met
+        operator.met = lambda both, *a, **b: seen.append(both) or original(both, *a, **b)
+        try:
+            matrix = rng.normal(size=(rows, 4))
+            nearest(vectors(spark, matrix, "query_id"), vectors(spark, matrix, "chunk_id"), 3, skip_same=True, **BLOCKS)
+        finally:
+            operator.met = original
+        return seen[0].agg(F.sum(F.octet_length("vectors"))).first()[0]
+
+    # Three times the rows in three times the blocks: nine times the bytes, if each block met each pack by itself.
+    assert packed(6000) <= 3.3 * packed(2000)
+
+
+@pytest.mark.parametrize("way", [BROADCAST, BLOCKS])
+def test_nearest_among_copies_repeated_ids_and_floats(spark, way):
+    rng = np.random.default_rng(12)
+    matrix = rng.normal(size=(400, 5)).astype(np.float32).astype(np.float64)
+    matrix[50:300] = matrix[50]
+    floats = lambda name: vectors(spark, matrix, name).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert found(nearest(floats("query_id"), floats("chunk_id"), 3, skip_same=True, **way)) == brute(matrix, matrix, 3, True)
+    # All rows twice: one of a query's own is left out.
+    twice = floats("chunk_id").unionAll(floats("chunk_id"))
+    got = [(r["query_id"], r["chunk_id"]) for r in nearest(floats("query_id").where("query_id < 20"), twice, 3, skip_same=True, **way).collect()]
+    assert len(got) == 60 and all((i, i) in got for i in range(20))
