@@ -237,3 +237,20 @@ def test_chunk_sync_keeps_the_newest(spark, tmp_path):
     compacted = shared_folder(spark, "compact")
     chunk_sync.compact(spark, index, compacted)
     assert chunk_sync.current_index(spark, compacted).count() == 3
+
+
+def test_streams_read_a_table_in_one_file_or_in_a_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "words " * (40 * i)) for i in range(9)], "doc_id long, text string")
+    events = spark.createDataFrame(
+        [(i, f"2024-01-0{1 + i % 3} 10:00:00", i % 4, ["purchase", "view", "error"][i % 3], 1.5 * i, "{}") for i in range(20)],
+        "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    one, many = tmp_path / "one", tmp_path / "many"
+    for name, rows in (("documents", docs), ("events", events)):
+        rows.repartition(4).write.parquet(str(many / f"{name}.parquet"))
+        rows.coalesce(1).write.parquet(str(tmp_path / name))
+        one.mkdir(exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(one / f"{name}.parquet")
+    for name in ("chunk_sync_stream", "kpi_refresh_stream", "kpi_latest_stream"):
+        whole, parts = (sorted(QUERIES[name](spark, str(d)).collect()) for d in (one, many))
+        assert whole == parts and whole
+    assert QUERIES["kpi_refresh_stream"](spark, str(many)).first().total == 20
