@@ -48,17 +48,22 @@ def refresh(spark: SparkSession, log: str, counters: str) -> int:
     known = {(r[0], r[1]) for r in kept_counters(spark, counters).select(DAY, BATCH).collect()}
     new = sorted(there - known)
     if new:
-        days = sorted({d for d, _ in new})
-        batches = sorted({b for _, b in new})
-        wanted = spark.createDataFrame(new, f"w_day string, w_batch string")
-        # Folders of other days and batches are not read; of those that are, the join takes the pairs.
-        some = rows.where(F.col(DAY).isin(days) & F.col(BATCH).isin(batches)).join(
-            wanted, (F.col(DAY) == F.col("w_day")) & (F.col(BATCH) == F.col("w_batch")), "left_semi")
-        counted = some.groupBy(DAY, BATCH).agg(*kpi.counted())
-        counted.select(DAY, BATCH, *kpi.COUNTERS).coalesce(1).write.mode("append").parquet(counters)
+        _counted(rows, new).write.mode("append").parquet(counters)
     return len(new)
 
 
+def _counted(rows: DataFrame, new: list[tuple[str, str]]) -> DataFrame:
+    """The counters of some folders of the log. Rows are summed where they are read; one row a folder is shuffled, and written in one file."""
+    days = sorted({d for d, _ in new})
+    batches = sorted({b for _, b in new})
+    wanted = rows.sparkSession.createDataFrame(new, "w_day string, w_batch string")
+    # Folders of other days and batches are not read; of those that are, the join takes the pairs.
+    some = rows.where(F.col(DAY).isin(days) & F.col(BATCH).isin(batches)).join(
+        F.broadcast(wanted), (F.col(DAY) == F.col("w_day")) & (F.col(BATCH) == F.col("w_batch")), "left_semi")
+    # Dealt to one task after counting, by a shuffle: a coalesce would draw the counting itself into that task.
+    return some.groupBy(DAY, BATCH).agg(*kpi.counted()).select(DAY, BATCH, *kpi.COUNTERS).repartition(1)
+
+
 def days_summary(spark: SparkSession, counters: str, first: str | None = None, last: str | None = None) -> DataFrame:
     """The figures of all days, or of those from `first` to `last`."""
     kept = kept_counters(spark, counters)

@@ -193,6 +193,18 @@ def test_figures_from_days_count_a_folder_once(spark, tmp_path):
     assert one == kpi.kpi_summary(rows.where(F.substring("timestamp", 1, 10) == day)).first()
 
 
+def test_folders_are_counted_where_their_rows_are_read(spark, tmp_path):
+    log = str(tmp_path / "log")
+    kpi_days.append_by_day(inputs.audit_rows(spark, SMALL), log, "1")
+    rows = kpi_days.read_log(spark, log)
+    new = [tuple(r) for r in rows.select(kpi_days.DAY, kpi_days.BATCH).distinct().collect()]
+    counted = kpi_days._counted(rows, new)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Coalesce" not in plan
+    assert counted.rdd.getNumPartitions() == 1
+    assert counted.agg(F.sum("total")).first()[0] == rows.count() and counted.count() == len(new)
+
+
 # --- vector index -----------------------------------------------------------------------------------------------------
 
 def table_of(spark, matrix, ids="chunk_id"):
