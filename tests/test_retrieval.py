@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lendlane.catalog.queries import QUERIES
 from lendlane.operators import chunk, retrieve
 from lendlane.operators.embed import Embedder, term_slots
-from lendlane.operators.hashed_nearest import nearest_hashed
+from lendlane.operators.hashed_nearest import directions, nearest_hashed
 from lendlane.operators.nearest import nearest
 from lendlane.operators.skew import join_unique
 from lendlane.plans import corpus as corpora
@@ -238,3 +238,21 @@ def test_nearest_among_copies_repeated_ids_and_floats(spark, way):
     twice = floats("chunk_id").unionAll(floats("chunk_id"))
     got = [(r["query_id"], r["chunk_id"]) for r in nearest(floats("query_id").where("query_id < 20"), twice, 3, skip_same=True, **way).collect()]
     assert len(got) == 60 and all((i, i) in got for i in range(20))
+
+
+def test_hashed_neighbours_meet_in_slices_not_in_pairs_of_rows(spark):
+    rng = np.random.default_rng(6)
+    matrix = rng.normal(size=(300, 8))
+    matrix[:120] = matrix[0]
+    queries, corpus = vectors(spark, matrix, "query_id"), vectors(spark, matrix, "chunk_id")
+    cut = nearest_hashed(queries, corpus, 8, skip_same=True, tables=6, slice_rows=7)
+    assert "Join" not in cut._jdf.queryExecution().executedPlan().toString()
+    signs = directions(8, 6)
+    codes = ((np.einsum("nd,tbd->ntb", matrix, signs) >= 0) * (1 << np.arange(signs.shape[1]))).sum(2)
+    expected = set()
+    for i in range(300):
+        other = [j for j in range(300) if j != i and (codes[j] == codes[i]).any()]
+        order = sorted((round(float(np.sqrt(((matrix[j] - matrix[i]) ** 2).sum())), 9), j) for j in other)
+        expected |= {(i, r + 1, j, round(x, 6)) for r, (x, j) in enumerate(order[:3])}
+    assert found(cut) == expected
+    assert found(nearest_hashed(queries, corpus, 8, skip_same=True, tables=6)) == expected
