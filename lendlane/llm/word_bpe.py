@@ -25,8 +25,8 @@ SPECIAL = "<|"
 # Bytes of words and ids that a worker remembers; with more, it forgets all and begins anew. Longer words are not remembered.
 MOST_BYTES = 128 << 20
 LONGEST_WORD = 64
-TEXTS_AT_ONCE = 8000
-BYTES_AT_ONCE = 12_000_000
+TEXTS_AT_ONCE = 2000
+BYTES_AT_ONCE = 3_000_000
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

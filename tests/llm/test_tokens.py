@@ -174,3 +174,19 @@ def test_pieces_of_odd_rows(library, odd_docs, no_docs):
     for (s, o, n), (s2, o2, _) in zip(places, places[1:]):
         assert o2 == (o + n if s == s2 else 0)
     assert packing.pack_documents(no_docs).count() == 0
+
+
+def test_texts_are_encoded_in_small_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([" ".join(f"w{(i * 31 + j) % 500}" for j in range(500)) for i in range(6000)])
+    bpe = WordBpe()
+    bpe.encode_arrays(texts[:100])
+    tracemalloc.start()
+    ids, counts = bpe.encode_arrays(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Beside the ids and their joined copy, what one piece needs: five times the ids with pieces of 12 MB.
+    assert len(ids) == counts.sum() and most < 3 * ids.nbytes
