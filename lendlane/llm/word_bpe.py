@@ -1,13 +1,12 @@
-"""The word-end BPE of the `tokenizers` library over many texts: what a word becomes is asked once and remembered.
+"""The word-end BPE of the `tokenizers` library over many texts: what a piece of a word becomes is asked once and remembered.
 
-Texts are cut into words by Arrow, a whole batch at a time, and only distinct words are looked at one by one; the ids
-of all texts are then gathered from the distinct words' ids by numpy.
+Texts are cut into pieces by numpy and numbered by Arrow, some megabytes at a time, together with the pieces that are known, so that no
+piece becomes a Python object; the ids of all texts are then gathered from the distinct pieces' ids.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +17,18 @@ from lendlane.llm.common import tokenizer_file
 # Texts without any of these are cut into words here. No other character changes
 # under NFC, each has one lower-case form, and their letters are Latin-1.
 NOT_PLAIN = "[^\t\n\r -~À-ÖØ-öø-ÿ]"
-# Fixed value: the vocabulary's own pattern, its classes spelled out for the characters above.
-PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+)"
+# What a byte of a plain text in lower case is, as in the vocabulary's own pattern: 's|'t|'re|'ve|'m|'ll|'d|letters|one digit|others.
+# All bytes of characters that take two are letters.
+BLANK, LETTER, DIGIT, OTHER = range(4)
+KIND = np.full(256, OTHER, dtype=np.uint8)
+KIND[list(b"\t\n\r ")], KIND[list(b"0123456789")] = BLANK, DIGIT
+KIND[ord("a") : ord("z") + 1] = KIND[0x80:] = LETTER
+CONTRACTED = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 # Begins each special token of the vocabulary, which the library cuts out of the raw text.
 SPECIAL = "<|"
-# Bytes of words and ids that a worker remembers; with more, it forgets all and begins anew. Longer words are not remembered.
-MOST_BYTES = 128 << 20
+# Bytes of pieces and ids that a worker remembers; with more, it forgets those used least, down to half. All of them are numbered anew
+# with each few megabytes of texts. Longer pieces, in bytes, are not remembered.
+MOST_BYTES = 32 << 20
 LONGEST_WORD = 64
 TEXTS_AT_ONCE = 2000
 BYTES_AT_ONCE = 3_000_000
@@ -31,15 +36,41 @@ BYTES_AT_ONCE = 3_000_000
 
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Some runs of `values`, one after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
-
-
-def _numbered(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The number of each string among the distinct ones, and these."""
-    encoded = strings.dictionary_encode()
-    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+    places = np.cumsum(lengths, dtype=np.int64)
+    total = int(places[-1]) if len(places) else 0
+    # How far each run moves, in place of where it ends.
+    np.subtract(starts, places, out=places)
+    places += lengths
+    places = np.repeat(places, lengths)
+    places += np.arange(total)
+    return values[places]
+
+
+def cut(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of plain texts in lower case, one after the other, and how many come before each text and after the last."""
+    kind = KIND[data]
+    begins = np.ones(len(data), dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == DIGIT
+    begins[bounds[bounds < len(data)]] = True
+    # An apostrophe alone takes what is contracted after it, in its own text.
+    marks = np.flatnonzero(data == ord("'"))
+    marks = marks[begins[marks]]
+    ends = bounds[np.searchsorted(bounds, marks, side="right")]
+    for letters in CONTRACTED:
+        at = marks[marks + len(letters) < ends]
+        for k, letter in enumerate(letters, 1):
+            at = at[data[at + k] == letter]
+        begins[at + 1] = False
+        after = at + len(letters) + 1
+        begins[after[after < len(data)]] = True
+    is_kept = kind != BLANK
+    begins &= is_kept
+    upto = np.searchsorted(np.flatnonzero(begins), bounds)
+    kept = data[is_kept]
+    offsets = np.full(upto[-1] + 1, len(kept), dtype=np.int32)
+    offsets[:-1] = np.flatnonzero(begins[is_kept])
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)]), upto
 
 
 class WordBpe:
@@ -68,90 +99,70 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        #: Distinct pieces; of each, where its ids begin, how many they are, and how often it was used.
+        self.pieces = pa.array([], pa.string())
         self.values = np.empty(0, dtype="<u4")
-        self.starts = self.lengths = np.empty(0, dtype=np.int64)
-        #: An estimate of the bytes held: a string, its entry, its ids.
+        self.starts, self.lengths, self.uses = (np.empty(0, dtype=t) for t in (np.int64, np.int32, np.int64))
+        #: An estimate of the bytes held: a string, its place while it is numbered, its ids.
         self.held = 0
 
-    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words by the library, one after the other, and how many each has."""
-        if not words:
-            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
-        joined = " ".join(words)
+    @property
+    def known(self) -> list[str]:
+        return self.pieces.to_pylist()
+
+    def _library(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the library, one after the other, and how many each has."""
+        if not len(pieces):
+            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py()
         if not joined.isascii():
             joined = self.spelled[np.frombuffer(joined.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
         ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.is_last[ids]) + 1
-        if len(ends) != len(words):
+        if len(ends) != len(pieces):
             raise ValueError("the vocabulary does not mark the ends of words")
-        return ids, np.diff(ends, prepend=0)
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-
-    def _remember(self, words: list[str], values: np.ndarray, lengths: np.ndarray) -> None:
-        """Keep the ids of words that are not known yet."""
-        starts = np.cumsum(lengths) - lengths
-        short = np.fromiter(map(len, words), np.int64, len(words)) <= LONGEST_WORD
-        kept = [w for w, s in zip(words, short.tolist()) if s]
-        n = lengths[short]
-        begin = len(self.values) + np.cumsum(n) - n
-        self.known.update(zip(kept, range(len(self.starts), len(self.starts) + len(kept))))
-        self.values = np.concatenate([self.values, gathered(values, starts[short], n)])
-        self.starts, self.lengths = np.concatenate([self.starts, begin]), np.concatenate([self.lengths, n])
-        self.held += 250 * len(kept) + 2 * sum(map(len, kept)) + 4 * int(n.sum())
-
-    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of distinct words without blanks: a pool of ids, and where each word's begin and how many they are."""
-        listed = words.to_pylist()
-        rows = self._rows(listed)
-        new = np.flatnonzero(rows < 0)
-        if not len(new):
-            return self.values, self.starts[rows], self.lengths[rows]
-        # New words in their pieces, which are asked for once each.
-        spaced = pc.replace_substring_regex(words.take(pa.array(new)), PIECE, r"\1 ")
-        split = pc.ascii_split_whitespace(spaced)
-        at, pieces = _numbered(split.flatten())
-        names = pieces.to_pylist()
-        piece_rows = self._rows(names)
-        unknown = [i for i in np.flatnonzero(piece_rows < 0).tolist() if names[i]]
-        asked = [names[i] for i in unknown]
-        fresh, fresh_lengths = self._library(asked)
+        return ids, np.diff(ends, prepend=0).astype(np.int32)
+
+    def _remember(self, pieces: pa.Array, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
+        """Keep these pieces and their ids instead of those known; if they are too many, the most used ones."""
+        size = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.flatnonzero(size <= LONGEST_WORD)
+        size += 60 + 4 * lengths.astype(np.int64)
+        if size[rows].sum() > self.most_bytes:
+            rows = rows[np.argsort(-uses[rows], kind="stable")]
+            rows = np.sort(rows[np.cumsum(size[rows]) <= self.most_bytes // 2])
+            uses = uses // 2
+        if len(rows) < len(pieces):
+            pieces, values, lengths, uses = pieces.take(pa.array(rows)), gathered(values, starts[rows], lengths[rows]), lengths[rows], uses[rows]
+            starts = np.cumsum(lengths, dtype=np.int64) - lengths
+        self.pieces, self.values, self.starts, self.lengths, self.uses = pieces, values, starts, lengths, uses
+        self.held = int(size[rows].sum())
+
+    def _ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces: a pool of ids, and where each piece's begin and how many they are."""
+        n_known = len(self.pieces)
+        # The pieces that are known come first, so that they keep their numbers.
+        encoded = pa.concat_arrays([self.pieces, pieces]).dictionary_encode()
+        at, distinct = np.asarray(encoded.indices)[n_known:], encoded.dictionary
+        fresh, n_fresh = self._library(distinct.slice(n_known))
         pool = np.concatenate([self.values, fresh])
-        piece_start, piece_length = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
-        here = piece_rows >= 0
-        piece_start[here], piece_length[here] = self.starts[piece_rows[here]], self.lengths[piece_rows[here]]
-        piece_start[unknown] = len(self.values) + np.cumsum(fresh_lengths) - fresh_lengths
-        piece_length[unknown] = fresh_lengths
-        values = gathered(pool, piece_start[at], piece_length[at])
-        upto = np.concatenate([[0], np.cumsum(piece_length[at])])
-        ends = upto[np.asarray(split.offsets)]
-        lengths = np.diff(ends)
-        new_words = [listed[i] for i in new.tolist()]
-        start, length = np.empty(len(listed), dtype=np.int64), np.empty(len(listed), dtype=np.int64)
-        old = rows >= 0
-        start[old], length[old] = self.starts[rows[old]], self.lengths[rows[old]]
-        start[new], length[new] = len(self.values) + ends[:-1] - ends[0], lengths
-        pool = np.concatenate([self.values, values])
-        self._remember(new_words, values, lengths)
-        others = [i for i, p in enumerate(asked) if p not in self.known]
-        begin = np.cumsum(fresh_lengths) - fresh_lengths
-        self._remember([asked[i] for i in others], gathered(fresh, begin[others], fresh_lengths[others]), fresh_lengths[others])
-        return pool, start, length
+        starts = np.concatenate([self.starts, len(self.values) + np.cumsum(n_fresh, dtype=np.int64) - n_fresh])
+        lengths = np.concatenate([self.lengths, n_fresh])
+        uses = np.bincount(at, minlength=len(distinct))
+        uses[:n_known] += self.uses
+        self._remember(distinct, pool, starts, lengths, uses)
+        return pool, starts[at], lengths[at]
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.held > self.most_bytes:
-            self._forget()
         odd = pc.or_(pc.match_substring_regex(texts, NOT_PLAIN), pc.match_substring(texts, SPECIAL)).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        split = pc.ascii_split_whitespace(pc.utf8_lower(plain))
-        at, words = _numbered(split.flatten())
-        pool, start, length = self._ids_of(words)
-        upto = np.concatenate([[0], np.cumsum(length[at])])
-        offsets = np.asarray(split.offsets)
-        counts = np.diff(upto[offsets - offsets[0]])
-        ids = gathered(pool, start[at], length[at])
+        plain = pc.utf8_lower(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts).cast(pa.string())
+        bounds = np.frombuffer(plain.buffers()[1], dtype=np.int32, count=len(plain) + 1, offset=4 * plain.offset).astype(np.int64)
+        data = np.frombuffer(plain.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
+        pieces, upto_text = cut(data, bounds - bounds[0])
+        pool, start, length = self._ids_of(pieces)
+        del pieces
+        counts = np.diff(np.concatenate([[0], np.cumsum(length)])[upto_text])
+        ids = gathered(pool, start, length)
         if odd.any():
             found = [np.array(e.ids, dtype="<u4") for e in self.whole.encode_batch(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
             counts[odd] = [len(f) for f in found]

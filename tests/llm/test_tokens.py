@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_tables import documents, no_docs, odd_docs  # noqa: F401
@@ -33,6 +34,29 @@ def test_words_are_encoded_as_by_the_library(library, documents):
     assert [np.frombuffer(b, "<u4").tolist() for b in bpe.encode(texts)] == [ids_of(library, t) for t in texts]
 
 
+def test_texts_are_cut_as_by_the_library(library):
+    random = np.random.default_rng(11)
+    letters = list("aassttrreevvmmlldd''''''''IS5ßÉ!,-  \n\r\t")
+    texts = ["".join(random.choice(letters, n)) for n in random.integers(0, 40, 3000)]
+    texts += ["it'", "s", "", "'", "ll", "we'l", "l", "'re've", "''s", "'sé", "'ssé", "9's", "!'s", "'", "d'", "", None, " ", "\n"]
+    wanted = [ids_of(library, t) for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in WordBpe().encode(texts)] == wanted
+    # A part of a column whose places are 64-bit numbers.
+    ids, counts = WordBpe().encode_arrays(pa.array(texts, pa.large_string())[5:])
+    assert ids.tolist() == sum(wanted[5:], []) and counts.tolist() == [len(w) for w in wanted[5:]]
+
+
+def test_usual_words_are_not_asked_again_when_rare_ones_are_forgotten(library):
+    bpe = WordBpe(most_bytes=400_000)
+    usual = [f"usual{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rare = [[f"x{''.join(chr(97 + k // 26**j % 26) for j in range(4))}{chr(97 + r)}" for k in range(2000)] for r in range(20)]
+    for words in rare:
+        text = " ".join(usual + words + usual)
+        assert bpe.encode([text]) == [np.array(ids_of(library, text), "<u4").tobytes()]
+        assert set(usual) <= set(bpe.known) and bpe.held <= bpe.most_bytes
+    assert not set(rare[10]) <= set(bpe.known)
+
+
 def test_memory_of_words_is_bounded_in_bytes(library):
     bpe = WordBpe(most_bytes=1_000_000)
     random = np.random.default_rng(4)
