@@ -96,3 +96,12 @@ def test_stored_counts_are_not_counted_again(spark):
     got = embedder.fit(counted).embed(counted)
     assert {r["i"]: r["embedding"] for r in got.collect()} == plain
     assert not re.search("e_counts", " ".join(got.columns))
+
+
+def test_only_so_many_equal_vectors_are_held(spark):
+    rng = np.random.default_rng(24)
+    matrix = rng.normal(size=(200, 6))
+    matrix[20:60], matrix[60:64], matrix[64:70] = matrix[20], 0.0, -0.0
+    assert set(np.flatnonzero(operator._maybe_repeated(matrix))) == set(range(20, 70))
+    held = operator._Task(3, False, ["q", "rank", "c", "distance"]).slice(operator.pa.array(range(200)), matrix, [])
+    assert held.ids.to_pylist() == [*range(23), *range(60, 63), *range(64, 67), *range(70, 200)]
